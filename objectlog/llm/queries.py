@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, langid, lm, mixing, quality, tokens, topk, toxicity
+from . import chunks, decontaminate, langid, lm, mixing, near, quality, tokens, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,6 +51,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), ratings, at_least=1)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -63,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_benchmark_decontamination, op3_toxicity, op4_source_mixing, op5_language_id, op6_quality_classifier, op8_lm_scoring, op9_exact_top_k, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_benchmark_decontamination, op3_toxicity, op4_source_mixing, op5_language_id, op6_quality_classifier, op7_ngram_jaccard_join, op8_lm_scoring, op9_exact_top_k, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
@@ -78,6 +82,17 @@ items AS (SELECT r, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+c AS (SELECT row_number() OVER () AS c, g, len(g) AS n, min(doc_id) AS least FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
+t AS (SELECT c, n, unnest(g) AS t FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM t a JOIN t b USING (t) WHERE a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT c, c FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+comp AS (SELECT reach.a AS c, min(c.least) AS component FROM reach JOIN c ON reach.b = c.c GROUP BY reach.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE component END AS component_id
+FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN comp ON comp.c = c.c""",
     "op9_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

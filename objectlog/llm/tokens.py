@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +111,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             yield from batches(out, kind)
 
     def resolve(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Join the words of this partition to the counts of its distinct words, summed by document and batch."""
+        """Join the words of this partition to the counts of its distinct words."""
         count, cache = piece_counter(tokenizer), {}
         for batch in found:
             coded = batch.column("word").dictionary_encode()
@@ -123,16 +122,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 cache.update(zip(new, count(new), strict=True))
             pieces = np.fromiter((1 if w.startswith(b" ") else cache[w] for w in distinct), np.int64, len(distinct))
             tokens = pieces[coded.indices.to_numpy()] * batch.column("n").to_numpy()
-            row = batch.column("row").to_numpy()
-            base = pc.is_valid(batch.column("n_bytes")).to_numpy(zero_copy_only=False)
-            rows, at = np.unique(row[~base], return_inverse=True)
-            sums = np.bincount(at, tokens[~base], len(rows)).astype(np.int64)
-            own = batch.filter(pa.array(base))
-            kind = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64())])
-            yield pa.record_batch([pa.array(row[base]), pa.array(tokens[base]), own.column("doc_id"), own.column("n_bytes")], schema=kind)
-            if len(rows):
-                nulls = lambda f: pa.nulls(len(rows), f.type)
-                yield pa.record_batch([pa.array(rows), pa.array(sums), nulls(kind.field(2)), nulls(kind.field(3))], schema=kind)
+            yield pa.record_batch([batch.column("row"), pa.array(tokens), batch.column("doc_id"), batch.column("n_bytes")], names=["row", "n", "doc_id", "n_bytes"])
 
     parts = texts.mapInArrow(split, schema).repartition("word").mapInArrow(resolve, f"row long, n long, doc_id {id_type}, n_bytes long")
     whole = parts.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
