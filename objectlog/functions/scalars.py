@@ -37,7 +37,8 @@ def parsed(text: Column) -> Column:
 
 def duration_s(start: Column, end: Column) -> Column:
     """Seconds between two ISO texts, at least 0; null if one doesn't parse."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(parsed(end)) - F.unix_micros(parsed(start))) / 1e6)
+    seconds = (F.unix_micros(parsed(end)) - F.unix_micros(parsed(start))) / 1e6
+    return F.when(seconds < 0, 0.0).otherwise(seconds)
 
 
 #: Fixed value: type, scope, breaking mark and subject of a conventional commit header.
