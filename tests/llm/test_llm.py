@@ -304,6 +304,6 @@ def test_pipeline_stages(spark, texts, tmp_path):
             assert out.columns == docs.columns, name
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        ids = {r.doc_id for r in docs.collect()}
-        assert {100 + k for k in range(40)} - {110} <= ids, name  # clean documents stay
+        if name != corpus_pipeline.STAGES[-1][0]:  # the mix draws, the stages before it keep clean documents
+            assert {100 + k for k in range(40)} - {110} <= {r.doc_id for r in docs.collect()}, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
