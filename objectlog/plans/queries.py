@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import filters, search, setops, stats, traces, validate
+from ..operators import filters, petri, search, setops, stats, traces, validate
 from ..sources.adapters import activity_log, commerce_log, conversation_log, shipment_log, table, text_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,6 +344,19 @@ def value_summary(spark, d):
     return search.value_summary(activity_log(spark, d)).filter("attribute = 'kind'").withColumn("histogram", text)
 
 
+@query("WITH c AS (" + _CHUNKS + "), w AS (SELECT id, chunk_type, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT id, chunk_type, " + _WORDS.format("content") + " AS t FROM c WHERE chunk_type = 'benchmark')) SELECT term, id, chunk_type, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM w GROUP BY term, id, chunk_type")
+def inverted_index(spark, d):
+    chunks = text_chunks(spark, d).filter("chunk_type = 'benchmark'")
+    return search.inverted_index(chunks).withColumn("positions", F.array_join("positions", ","))
+
+
+@query()
+def petri_nets(spark, d):
+    """Places, transitions and arcs of each object type's net."""
+    nets = petri.discover(conversation_log(spark, d))
+    return spark.createDataFrame([(t, len(n.places), len(n.transitions), len(n.arcs)) for t, n in nets.items()], "otype string, places int, transitions int, arcs int")
+
+
 # Validation and scalars
 
 
