@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import OUT_ROWS, materialise
@@ -25,8 +25,11 @@ from .components import components
 
 #: Shingles whose frequency orders the prefixes (the most frequent ones); all others come first, in the order of their hash.
 FREQUENT = 200_000
-#: Longest l, and what verifying a candidate costs against reading one posting.
-MOST_MATCHES, VERIFY = 8, 4.0
+#: l lies between the larger of LEAST_MATCHES and LEAST_SHARE percent of a set and twice that (a set that must share fewer
+#: shingles takes that many). Sets that merely hold the same passage share few of so many.
+LEAST_MATCHES, LEAST_SHARE = 8, 8
+#: What verifying a candidate costs against reading one posting, and how often a shingle outside the frequent ones occurs.
+VERIFY, RARE = 4.0, 0.25
 #: Classes in a block, and hubs of a cell, on average.
 BLOCK, HUBS = 32, 16
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -108,8 +111,9 @@ def prefix(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: in
         at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
         times = np.where(frequent[0][at] == own, frequent[1][at], 0)
     order = np.lexsort((own, times))
-    reach = np.arange(1, min(MOST_MATCHES, need) + 1)
-    cost = np.cumsum(times[order])[n - need + reach - 1] * (1 + VERIFY / reach)
+    least = max(LEAST_MATCHES, -(-LEAST_SHARE * n // 100))
+    reach = np.arange(min(least, need), min(2 * least, need) + 1)
+    cost = np.cumsum(times[order] + RARE)[n - need + reach - 1] * (1 + VERIFY / reach)
     matches = int(reach[np.argmin(cost)])
     return own[order[: n - need + matches]], matches
 
@@ -166,6 +170,19 @@ def linked_pairs(a: list[tuple[bytes, np.ndarray]], b: list[tuple[bytes, np.ndar
     return out
 
 
+def _number(node: Column) -> Column:
+    """The first eight bytes of a name as the long that numpy reads from them."""
+    return F.conv(F.hex(F.concat(*[F.substring(node, k, 1) for k in range(8, 0, -1)])), 16, -10).cast("long")
+
+
+def _bounds(classes: DataFrame, percent: int) -> DataFrame:
+    """(number, least): how many emitted shingles a class shares at least with any set that it could link with."""
+    # A linked set has percent of this one's size at least, and its l grows with its size.
+    size = F.ceil(F.col("n") * percent / 100)
+    least = F.least(F.ceil(size * percent / 100), F.greatest(F.lit(LEAST_MATCHES), F.ceil(size * LEAST_SHARE / 100)))
+    return classes.select("number", least.alias("least"))
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block: int = BLOCK, hubs: int = HUBS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id (the smallest doc_id over links), root
     (names the component, null without shingles).
@@ -206,39 +223,50 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             if at_node:
                 yield postings(pre, at_node, ids.type)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([none, pa.array(names, pa.binary()), ids, hashes, pa.array(n, pa.int64())], names=["shingle", "node", "doc_id", "text_hash", "n"])
+            yield pa.record_batch([none, none, pa.array(names, pa.binary()), ids, hashes, pa.array(n, pa.int64())], names=["shingle", "number", "node", "doc_id", "text_hash", "n"])
 
     def postings(pre: list[np.ndarray], at_node: list[tuple[bytes, int]], id_kind: pa.DataType) -> pa.RecordBatch:
+        """Rows (shingle, number); a number is half of a class's name, enough to find candidates by."""
         h = np.concatenate(pre).view(np.int64)
-        which = pa.array(np.repeat(np.arange(len(at_node), dtype=np.int32), [k for _, k in at_node]))
-        nodes = pa.DictionaryArray.from_arrays(which, pa.array([x for x, _ in at_node], pa.binary())).cast(pa.binary())
-        return pa.record_batch([pa.array(h), nodes, pa.nulls(len(h), id_kind), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64())], names=["shingle", "node", "doc_id", "text_hash", "n"])
+        numbers = np.repeat(np.frombuffer(b"".join(x[:8] for x, _ in at_node), np.int64), [k for _, k in at_node])
+        return pa.record_batch([pa.array(h), pa.array(numbers), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), id_kind), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64())], names=["shingle", "number", "node", "doc_id", "text_hash", "n"])
 
-    rows = texts.mapInArrow(emit, f"shingle long, node binary, doc_id {id_type}, text_hash long, n long")
+    rows = texts.mapInArrow(emit, f"shingle long, number long, node binary, doc_id {id_type}, text_hash long, n long")
     # One shuffle by shingle finds the shared ones; rows of documents go along under keys of their own.
     over = Window.partitionBy(F.coalesce("shingle", F.xxhash64("doc_id", "text_hash")), F.isnull("shingle"))
     kept = materialise(
-        rows.withColumns({"low": F.when(F.col("shingle").isNotNull(), F.min("node").over(over)), "high": F.when(F.col("shingle").isNotNull(), F.max("node").over(over))}).filter("shingle is null or low <> high"),
+        rows.withColumns({"low": F.when(F.col("shingle").isNotNull(), F.min("number").over(over)), "high": F.when(F.col("shingle").isNotNull(), F.max("number").over(over))}).filter("shingle is null or low <> high").drop("low", "high"),
         "near-rows",
     )
     own = kept.filter("shingle is null").select("doc_id", "text_hash", "n", "node")
-    cells = materialise(components(kept.filter("shingle is not null").select(F.col("node").alias("a"), F.col("low").alias("b"))), "near-cells")
-    classes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("row"))
+    classes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"))
+    numbered = classes.withColumn("number", _number(F.col("node")))
+    bounds = _bounds(classes.withColumn("number", _number(F.col("node"))).groupBy("number").agg(F.min("n").alias("n")), percent)
+    # Linked sets share `least` emitted shingles or more. Without the least - 1 most frequent ones of each set, the rarest that
+    # they share stays in both; what only many sets hold, like a passage, no longer makes candidates.
+    posted = kept.filter("shingle is not null").select("shingle", "number").distinct()
+    posted = posted.withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).join(bounds, "number")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("times"), F.desc("shingle")))
+    over = Window.partitionBy("shingle")
+    rare = posted.withColumn("rank", rank).filter(F.col("rank") >= F.col("least")).select("shingle", "number")
+    stars = rare.withColumns({"low": F.min("number").over(over), "high": F.max("number").over(over)}).filter("low <> high")
+    numbered = classes.withColumn("number", _number(F.col("node")))
+    cells = materialise(components(stars.select(F.col("number").alias("a"), F.col("low").alias("b"))), "near-cells").withColumnRenamed("node", "number")
+    cells = cells.join(cells.groupBy("root").agg(F.count("*").alias("size")), "root")
 
     def sets_of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in found:
             sets = [s.tobytes() for _, t in _texts(batch) for s in shingler(t)]
-            yield pa.record_batch([batch.column("node"), batch.column("cell"), pa.array(sets, pa.binary())], names=["node", "cell", "set"])
+            yield pa.record_batch([batch.column("node"), batch.column("cell"), batch.column("size"), pa.array(sets, pa.binary())], names=["node", "cell", "size", "set"])
 
-    wanted = cells.join(classes, "node").select("node", F.col("root").alias("cell"), F.col("row.doc_id").alias("want_id"), F.col("row.text_hash").alias("want_hash"))
+    wanted = cells.join(numbered, "number").select("node", F.col("root").alias("cell"), "size", F.col("row.doc_id").alias("want_id"), F.col("row.text_hash").alias("want_hash"))
     match = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash"))
-    found = texts.join(wanted, match).dropDuplicates(["node"]).select("node", "cell", "text").mapInArrow(sets_of, "node binary, cell binary, set binary")
-    sets = materialise(found, "near-sets")
-    sizes = sets.groupBy("cell").agg(F.count("*").alias("size"))
+    found = texts.join(wanted, match).select("node", "cell", "size", "text").mapInArrow(sets_of, "node binary, cell long, size long, set binary")
+    sized = materialise(found, "near-sets")  # a class once for each of its repeated rows, which agree in id and text
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = lambda k: [(bytes(n), np.frombuffer(s, np.uint64)) for n, s, x in zip(pdf["node"], pdf["set"], pdf["side"], strict=True) if x == k]
+        side = lambda k: list({bytes(n): np.frombuffer(s, np.uint64) for n, s, x in zip(pdf["node"], pdf["set"], pdf["side"], strict=True) if x == k}.items())
         a, b = side(0), side(1)
         if pdf["alone"].iloc[0]:
             return pd.DataFrame(linked_pairs(a, None, often.value, percent), columns=["a", "b"])
@@ -249,7 +277,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     all_of = lambda n: F.sequence(F.lit(0), n - 1)
 
     # First all against hubs: small cells whole, of a large one each block with the hubs and the hubs among themselves.
-    sized = sets.join(sizes, "cell")
     small = sized.filter(F.col("size") <= 2 * block).select("cell", "node", "set", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"), F.lit(True).alias("alone"))
     large = sized.filter(F.col("size") > 2 * block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     hub = large.filter(number(1, F.ceil(F.col("size") / hubs)) == 0)
