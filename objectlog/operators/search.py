@@ -33,9 +33,26 @@ def term_table(chunks: DataFrame) -> DataFrame:
 
 
 def inverted_index(chunks: DataFrame) -> DataFrame:
-    """term, id, chunk_type, tf, positions (from 0): one row for each token of each chunk."""
-    at = chunks.select("id", "chunk_type", F.posexplode(tokens_of(F.col("content"))).alias("pos", "term"))
-    return at.groupBy("term", "id", "chunk_type").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """term, id, chunk_type, tf, positions (from 0): one row for each token of each chunk; rows that share id and type are
+    one chunk.
+
+    A chunk of one row gets its postings inside the row, by a sort of its tokens; only those of several rows are shuffled
+    as tokens.
+    """
+    key = ("id", "chunk_type")
+    rows = chunks.select(*key, "content")
+    several = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("id2"), F.col("chunk_type").alias("type2"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & F.col("chunk_type").eqNullSafe(F.col("type2"))
+    pairs = F.transform(tokens_of(F.col("content")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    alone = rows.join(several, same, "left_anti").select(*key, F.sort_array(pairs).alias("at"))
+    term = lambda i: F.col("at")[i]["term"]
+    starts = F.filter(F.transform("at", lambda _, i: i), lambda i: (i == 0) | (term(i) != term(F.greatest(i - 1, F.lit(0)))))
+    alone = alone.select(*key, "at", starts.alias("starts"))
+    run = lambda a, k: F.slice("at", a + 1, F.coalesce(F.try_element_at("starts", k + 2), F.size("at")) - a)
+    runs = F.transform("starts", lambda a, k: F.struct(term(a).alias("term"), F.transform(run(a, k), lambda x: x["pos"]).alias("positions")))
+    one = alone.select(*key, F.inline(runs)).select("term", *key, F.size("positions").cast("long").alias("tf"), "positions")
+    at = rows.join(several, same, "left_semi").select(*key, F.posexplode(tokens_of(F.col("content"))).alias("pos", "term"))
+    return one.unionByName(at.groupBy("term", *key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
 
 
 def _of_types(chunks: DataFrame, types: list[str] | None) -> DataFrame:

@@ -346,8 +346,7 @@ def value_summary(spark, d):
 
 @query("WITH c AS (" + _CHUNKS + "), w AS (SELECT id, chunk_type, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT id, chunk_type, " + _WORDS.format("content") + " AS t FROM c WHERE chunk_type = 'benchmark')) SELECT term, id, chunk_type, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM w GROUP BY term, id, chunk_type")
 def inverted_index(spark, d):
-    chunks = text_chunks(spark, d).filter("chunk_type = 'benchmark'")
-    return search.inverted_index(chunks).withColumn("positions", F.array_join("positions", ","))
+    return search.inverted_index(text_chunks(spark, d)).withColumn("positions", F.array_join("positions", ","))
 
 
 @query()

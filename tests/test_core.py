@@ -161,3 +161,23 @@ def test_stream(spark, mini, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("pairs_out"), "oid", "e1", "e2") == rows(traces.pairs(mini), "oid", "e1", "e2")
+
+
+def test_inverted_index_covers_both_tables(spark, tmp_path):
+    """The registered query against brute force; rows that share an id are one chunk."""
+    import re
+    from collections import defaultdict
+
+    from objectlog.plans.queries import QUERIES
+
+    docs = [(1, "Été_1 the cat the"), (2, ""), (3, None), (4, "The cat"), (4, "the dog, the"), (None, "no id"), (None, "id id")]
+    bench = [(1, "the cat 3"), (2, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = defaultdict(list)
+    for letter, kind, table in (("d", "documents", docs), ("b", "benchmark", bench)):
+        for i, text in table:
+            for pos, term in enumerate(re.findall(r"\w+", (text or "").lower())):
+                want[term, None if i is None else f"{letter}{i}", kind].append(pos)
+    got = {(r.term, r.id, r.chunk_type): (r.tf, r.positions) for r in QUERIES["inverted_index"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), ",".join(map(str, sorted(v)))) for k, v in want.items()}
