@@ -90,7 +90,9 @@ def variants(log: ObjectLog, object_type: str | None = None, limit: int | None =
     marks = placed.groupBy(*_KEY).agg(F.count("*").alias("length"), *[F.sum(F.xxhash64(F.lit(s), "pos", "activity").cast("decimal(38,0)")).alias(f"h{s}") for s in (1, 2)])
     found = marks.groupBy("length", "h1", "h2").agg(F.count("*").alias("frequency"), F.sort_array(F.collect_set("otype")).alias("otypes"), F.min(F.struct(*_KEY)).alias("one"))
     if limit:
-        found = found.orderBy(F.desc("frequency"), F.desc("length"), "one").limit(max(limit * 4, limit + 100))
+        # Ties are told apart by their sequences, so all variants as frequent as the limit-th one are put together.
+        least = found.select("frequency").orderBy(F.desc("frequency")).limit(limit).agg(F.min("frequency").alias("least"))
+        found = found.join(F.broadcast(least), F.col("frequency") >= F.col("least")).drop("least")  # one row
     chosen = found.select(F.col("one.otype").alias("otype"), F.col("one.oid").alias("oid"), "length", "frequency", "otypes")
     sequence = F.transform(F.sort_array(F.collect_list(F.struct("pos", "activity"))), lambda x: x["activity"])
     out = placed.join(chosen, list(_KEY)).groupBy(*_KEY, "length", "frequency", "otypes").agg(sequence.alias("sequence"))

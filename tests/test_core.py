@@ -181,3 +181,16 @@ def test_inverted_index_covers_both_tables(spark, tmp_path):
                 want[term, None if i is None else f"{letter}{i}", kind].append(pos)
     got = {(r.term, r.id, r.chunk_type): (r.tf, r.positions) for r in QUERIES["inverted_index"](spark, str(tmp_path)).collect()}
     assert got == {k: (len(v), ",".join(map(str, sorted(v)))) for k, v in want.items()}
+
+
+def test_top_variants_with_many_ties(spark):
+    """Far more variants of one frequency than the limit: the first by sequence stay, however long the others are."""
+    from objectlog.log import ObjectLog
+
+    traces_ = {f"z{k:03d}": ["b"] * 3 + [f"x{k:03d}"] for k in range(150)} | {"zz1": ["a"], "zz2": ["a", "c"], "y1": ["q"], "y2": ["q"]}
+    events = [(f"{o}-{i}", a, o, i) for o, acts in traces_.items() for i, a in enumerate(acts)]
+    df = spark.createDataFrame(events, "eid string, activity string, oid string, at long").withColumn("ts", F.timestamp_seconds("at")).withColumn("otype", F.lit("T")).withColumn("qualifier", F.lit(None).cast("string"))
+    log = ObjectLog.of(df.select("eid", "activity", "ts"), df.select("oid", "otype").distinct(), df.select("eid", "oid", "otype", "qualifier"))
+    want = [("q", 2), ("a", 1), ("a → c", 1), ("b → b → b → x000", 1), ("b → b → b → x001", 1)]
+    assert [(r.sequence, r.frequency) for r in traces.variants(log, limit=5).orderBy("variant_id").collect()] == want
+    assert [r.variant_id for r in traces.variants(log, limit=3).orderBy("variant_id").collect()] == [1, 2, 3] and traces.variants(log, limit=1_000).count() == 153
