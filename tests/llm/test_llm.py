@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables that hold the awkward cases."""
 
+import fractions
 import itertools
 import math
 import zlib
@@ -212,6 +213,23 @@ def test_exact_top_k(spark):
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_exact_top_k_of_large_components(spark):
+    """Finite components of any size take part; a score beyond a long is ranked and null."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 4)]) for i in range(60)]
+    rows += [(100, [2.0**20, 0.5, -1.0, 0.0]), (101, [-(2.0**21), 3.0, 0.25, 0.0]), (150, [1e30, -1e30, 2.0, 0.1]), (151, [-1e38, 5.0, 1e20, 0.3]), (152, [2.0**30 + 0.75, 0.0, 0.0, 1.0]), (153, [1e300, 0.0, 0.0, 0.0])]
+    whole = lambda x: math.floor(fractions.Fraction(x) * 256)
+    good = [(i, [whole(x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in good:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:5]
+            want += [(q, n + 1, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(scored)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(topk.exact_top_k(df, block=16, queries=2), ("query_id", "rank", "vec_id", "score"), want)
+    assert {q for q, *_ in want} == {0, 50, 100, 150} and any(s is None for *_, s in want)
+
+
 def test_mixing_targets():
     got = mixing.targets([("b", 100), ("a", 10), (None, 100), ("c", 1_000)])
     assert got["a"] == 30 and math.isclose(sum(got.values()), 1_210) and all(got[s] <= 3 * n + 1e-9 for s, n in [("b", 100), (None, 100), ("c", 1_000)])
