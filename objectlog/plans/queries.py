@@ -341,7 +341,7 @@ def chunk_sizes(spark, d):
 @query("SELECT 'kind' AS attribute, count(DISTINCT event_type) AS distinct_values, (SELECT string_agg(event_type || '=' || n, ',' ORDER BY event_type) FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)) AS histogram FROM events")
 def value_summary(spark, d):
     text = F.array_join(F.transform(F.sort_array(F.map_entries("histogram")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return search.value_summary(activity_log(spark, d)).filter("attribute = 'kind'").withColumn("histogram", text)
+    return search.value_summary(activity_log(spark, d)).withColumn("histogram", text)
 
 
 @query("WITH c AS (" + _CHUNKS + "), w AS (SELECT id, chunk_type, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT id, chunk_type, " + _WORDS.format("content") + " AS t FROM c WHERE chunk_type = 'benchmark')) SELECT term, id, chunk_type, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM w GROUP BY term, id, chunk_type")

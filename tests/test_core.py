@@ -194,3 +194,20 @@ def test_top_variants_with_many_ties(spark):
     want = [("q", 2), ("a", 1), ("a → c", 1), ("b → b → b → x000", 1), ("b → b → b → x001", 1)]
     assert [(r.sequence, r.frequency) for r in traces.variants(log, limit=5).orderBy("variant_id").collect()] == want
     assert [r.variant_id for r in traces.variants(log, limit=3).orderBy("variant_id").collect()] == [1, 2, 3] and traces.variants(log, limit=1_000).count() == 153
+
+
+def test_value_summary_of_all_attributes(spark, tmp_path):
+    """The registered query against brute force: `user` has over 20 values, so its ten most frequent ones, ties by value."""
+    from collections import Counter
+
+    from objectlog.plans.queries import QUERIES
+
+    events = [(n, ["view", "click"][n % 2], n, None if n % 11 == 0 else n % 30 if n < 90 else 7 + n % 3, '{"k": 1}') for n in range(120)]
+    spark.createDataFrame(events, "event_id long, event_type string, at long, user_id long, props string").withColumn("ts", F.timestamp_seconds("at")).drop("at").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for name, values in (("kind", [e[1] for e in events]), ("user", [f"u{e[3]}" for e in events if e[3] is not None])):
+        c = Counter(values)
+        kept = sorted(c.items(), key=lambda x: (-x[1], x[0]))[: len(c) if len(c) <= 20 else 10]
+        want[name] = (len(c), ",".join(f"{v}={n}" for v, n in sorted(kept)))
+    assert want["user"][0] > 20
+    assert {r.attribute: (r.distinct_values, r.histogram) for r in QUERIES["value_summary"](spark, str(tmp_path)).collect()} == want
