@@ -19,23 +19,30 @@ from .fit import Adam, gather, minibatches, sigmoid
 from .subword import WordCache, ngram_ids, plain_words, word_sums
 
 BUCKETS, SIZES, GAIN = 1 << 14, (1, 2, 3, 4), 8.0
-#: Documents that training reads of each language, and languages that can be learned (the most frequent ones), at most.
-PER_LANGUAGE, LANGUAGES = 400, 1_000
+#: Documents that training reads of each language at most; every language is learned.
+PER_LANGUAGE = 400
+#: Pairs of languages that the draws of codewords compare in all, and (document, language) pairs decoded at once.
+DRAWN, AT_ONCE = 300_000_000, 512_000
 #: A document is ambiguous when the best language leads the second by less than this.
 LEAD = 0.2
 UNKNOWN = "und"
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """n codewords of +1 and -1, as far apart as the best of some hundred draws; no bit is the same for all."""
+    """n codewords of +1 and -1, as far apart as the best of some hundred draws (fewer beyond 1 000); no bit is the same for all."""
     bits, rng, best, apart = max(15, 6 * int(n).bit_length()), np.random.default_rng(seed), None, (-1, -1)
-    for _ in range(300):
+    for _ in range(min(300, max(1, DRAWN // n**2))):
         code = np.where(rng.random((n, bits)) < 0.5, -1, 1)
         flat = np.abs(code.sum(0)) == n
         code[rng.integers(0, n, flat.sum()), np.flatnonzero(flat)] *= -1 if n > 1 else 1
-        gaps = (code[:, None] != code[None]).sum(2)[~np.eye(n, dtype=bool)]
-        if best is None or (len(gaps) and (gaps.min(), gaps.mean()) > apart):
-            best, apart = code, (gaps.min(), gaps.mean()) if len(gaps) else (0, 0)
+        least, total, signs = bits, 0, code.astype(np.float32)
+        for at in range(0, n if n > 1 else 0, 1_000):
+            gaps = ((bits - signs[at : at + 1_000] @ signs.T) / 2).astype(np.int64)
+            total += int(gaps.sum())
+            gaps[np.arange(len(gaps)), np.arange(at, at + len(gaps))] = bits  # its own
+            least = min(least, int(gaps.min()))
+        if best is None or (n > 1 and (least, total / (n * (n - 1))) > apart):
+            best, apart = code, (least, total / (n * (n - 1))) if n > 1 else (0, 0)
     return best
 
 
@@ -52,7 +59,8 @@ def train(targets: list[str], rows: list[tuple[np.ndarray, np.ndarray]], epochs:
     """Languages, their codewords, n-gram weights of all bits, biases, and each bit's say in decoding."""
     names = sorted(set(targets))
     code = codewords(max(len(names), 1))
-    y = np.array([names.index(t) for t in targets], np.int64)
+    number = {t: k for k, t in enumerate(names)}
+    y = np.array([number[t] for t in targets], np.int64)
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     each = 1 / np.bincount(y, minlength=len(names))[y] if len(y) else np.empty(0)
     adam, right = Adam([w, b], 0.02), np.zeros(code.shape[1])
@@ -69,7 +77,8 @@ def train(targets: list[str], rows: list[tuple[np.ndarray, np.ndarray]], epochs:
 
 def decode(margins: np.ndarray, code: np.ndarray, say: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row of margins the nearest codeword by weighted logistic loss, its probability, and its lead."""
-    loss = (np.logaddexp(0, -margins[:, None, :] * code[None]) * say).sum(2) * code.shape[1]
+    step = max(1, AT_ONCE // len(code))
+    loss = np.concatenate([(np.logaddexp(0, -margins[at : at + step, None, :] * code[None]) * say).sum(2) * code.shape[1] for at in range(0, max(len(margins), 1), step)])
     p = np.exp(loss.min(1, keepdims=True) - loss)
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)
@@ -77,18 +86,18 @@ def decode(margins: np.ndarray, code: np.ndarray, say: np.ndarray) -> tuple[np.n
     return best, top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
 
 
-def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, parts: int = 3, held: int = 1) -> DataFrame:
+def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 3, held: int = 1) -> DataFrame:
     """All columns of ``docs`` and held_out, lang_pred, score (0 to 1), ambiguous; one row for each row.
 
-    Learns from doc_id, text and non-null lang only, of rows whose crc32(doc_id as text) mod ``parts`` is not ``held``: at
-    most ``per_language`` documents of each of at most ``languages`` languages. A null text, one without a letter, and any
+    Learns from doc_id, text and non-null lang only, of rows whose crc32(doc_id as text) mod ``parts`` is not ``held``:
+    about ``per_language`` documents of each language, of which there may be any number. A null text, one without a letter, and any
     text when nothing could be learned is ``und`` with score 0 and ambiguous. Whole texts; repeated rows agree. Columns of
     ``docs`` that are named as the new ones are replaced.
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", F.col("lang").cast("string").alias("target")).filter(F.col("target").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), parts) != held))
-    sizes = marked.groupBy("target").count().orderBy(F.desc("count"), "target").limit(languages)
-    # At most `languages` rows are broadcast; a language's share of its rows is drawn by the hash of their ids.
+    sizes = marked.groupBy("target").count()
+    # One row for each language is broadcast, as is its codeword later; a language's share of its rows is drawn by the hash of their ids.
     drawn = marked.join(F.broadcast(sizes), "target").filter(share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 5) * F.col("count") < per_language)
     names, code, w, b, say = train(*gather(drawn, features, BUCKETS))
     model = spark.sparkContext.broadcast((names, code, w, b, say))

@@ -269,6 +269,24 @@ def test_language_id(spark, empty, docs):
     assert {r.lang_pred for r in langid.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    """Over 1 000 lang values; the rarest one is learned too."""
+    rng = np.random.default_rng(1)
+    learned = [i for i in range(4_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghijkl"), 5)) for _ in range(6)), f"l{k % 1_005:04d}", "s", 0) for k, i in enumerate(learned[:2_010])]
+    rows.append((learned[2_010], "αβγδ εζηθ αβεζ γδηθ", "zz", "s", 0))
+    seen, real = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda targets, x: seen.extend(targets) or real(targets, x, epochs=1))
+    got = langid.language_id(spark.createDataFrame(rows, DOCS)).collect()
+    assert set(seen) == {r[2] for r in rows} and len(got) == len(rows)
+    code = langid.codewords(1_500)
+    assert len({tuple(c) for c in code}) == 1_500
+    margins = rng.normal(0, 1, (700, code.shape[1]))
+    parts = [langid.decode(m[None], code, np.full(code.shape[1], 1 / code.shape[1])) for m in margins[::100]]
+    whole = langid.decode(margins, code, np.full(code.shape[1], 1 / code.shape[1]))
+    assert all(whole[j][100 * k] == p[j][0] for k, p in enumerate(parts) for j in range(3))
+
+
 def auc(scores, truth):
     s, y = np.array(scores), np.array(truth)
     a, b = s[y == 1], s[y == 0]
