@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes decides at each word whether a chunk ends there, so boundaries depend on
-nearby bytes only and come back in step after an insertion. A digest covers a chunk and the one before it. An occurrence
+A chunk ends at a word whose gear rolling hash over the last 16 bytes is the least of some nine words in a row, so
+boundaries depend on nearby bytes only, come back in step after an insertion, and are never more than nine words apart. A digest covers a chunk and the one before it. An occurrence
 of a digest is a repeat unless it is the first one, by document id and place. Repeats that follow each other form a run;
 runs of at least ``MIN_RUN`` bytes are taken out of the text.
 """
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import OUT_ROWS, batches, rows_of
 
-#: One word start in five ends a chunk; a chunk of more bytes than this is cut, at a word if it has one (periodic texts
-#: have no boundary at all); shorter runs of repeats stay.
-CUT, MAX_CHUNK, MIN_RUN = (1 << 16) // 5, 256, 112
+#: Of so many word starts in a row one ends a chunk, which is one in five of all; a chunk of more bytes than this is cut, at
+#: a word if it has one; shorter runs of repeats stay.
+WINDOW, MAX_CHUNK, MIN_RUN = 9, 256, 112
 #: Digests that a task compares among themselves before it passes on the first of each.
 HELD = 250_000
 _GEAR = np.random.default_rng(20_240_607).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -38,13 +38,15 @@ def boundaries(text: bytes) -> list[int]:
     space = (b == 32) | ((b >= 9) & (b <= 13))
     place = np.zeros(n, bool)
     place[1:] = (space[:-1] & ~space[1:]) | ((b[1:] >= 0xE0) & (b[:-1] >= 0x80))
-    ends = (np.flatnonzero(place[1:] & (h[:-1] < CUT)) + 1).tolist()
+    places = np.flatnonzero(place)
+    ends = []
+    if len(places) >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(h[places - 1], WINDOW).argmin(1)
+        ends = places[np.unique(least + np.arange(len(least)))].tolist()
     ends.append(n)
-    places = None
     out, last = [], 0
     for e in ends:
         while e - last > MAX_CHUNK:
-            places = np.flatnonzero(place) if places is None else places
             k = int(np.searchsorted(places, last + MAX_CHUNK, side="right")) - 1
             if k >= 0 and places[k] > last:
                 last = int(places[k])

@@ -187,6 +187,21 @@ def test_substring_dedup(spark, docs, empty, texts):
     assert len({e - 20 for e in shifted} & set(chunks.boundaries(rows[0][1].encode()))) > 0.8 * len(shifted) - 2
 
 
+def test_short_passages_are_found():
+    """Passages of 55 words between other words: nearly all are found, and no chunk spans more than nine words."""
+    rng, missed = np.random.default_rng(6), 0
+    vocabulary = [f"{w}{k}" for w in WORDS for k in range(40)]
+    some = lambda n: " ".join(rng.choice(vocabulary, n))
+    for _ in range(1_000):
+        passage = some(55)
+        a, b = (f"{some(40)} {passage} {some(40)}".encode() for _ in range(2))
+        first, ends = set(chunks.digests(a, chunks.boundaries(a))), chunks.boundaries(b)
+        again = [k for k, d in enumerate(chunks.digests(b, ends)) if d in first]
+        missed += not again or chunks.without(b, again, chunks.MIN_RUN)[2] == 0
+        assert max(len(b[x:y].split()) for x, y in zip([0, *ends], ends)) <= 9
+    assert missed <= 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bit_slices(seed):
     rng = np.random.default_rng(seed)
