@@ -311,12 +311,24 @@ def _branch() -> Kind:
 
 
 def _tag() -> Kind:
+    """A tag as the host gives it, light (its target is a commit) or annotated (its target is a tag object), or with the
+    fields of both already brought to one form. A target of another type is no tag."""
     me, v = oid("tag", F.coalesce(get("id"), get("name"))), scalars.semver(get("name"))
-    tagger = oid("user", F.coalesce(get("tagger.login"), get("tagger.name"), get("tagger.email")))
-    commit, version = oid("commit", get("commit.sha")), v.isNotNull().cast("int")
-    attrs = {"name": get("name"), "github_node_id": get("id"), "is_annotated": number("is_annotated"), "message": scalars.shortened(get("message"), 500), "is_semver": version, "major": v["major"], "minor": v["minor"], "patch": v["patch"], "prerelease": v["prerelease"], "ci_state": get("ci_state"), "is_signed": number("is_signed"), "release_pr_count": number("release_pr_count")}
+    target = get("target.__typename")
+    of = lambda light, annotated, plain: F.when(target == "Commit", light).when(target == "Tag", annotated).when(target.isNull(), plain)
+    who = of(F.coalesce(get("target.author.user.login"), get("target.author.name"), get("target.author.email")), F.coalesce(get("target.tagger.user.login"), get("target.tagger.name"), get("target.tagger.email")), F.coalesce(get("tagger.login"), get("tagger.name"), get("tagger.email")))
+    sha = of(get("target.oid"), get("target.target.oid"), get("commit.sha"))
+    message = of(F.lit(None).cast("string"), get("target.message"), get("message"))
+    annotated = of(F.lit("0"), F.lit("1"), number("is_annotated"))
+    ci = of(get("target.statusCheckRollup.state"), get("target.target.statusCheckRollup.state"), get("ci_state"))
+    signed = of(flag("target.signature.isValid").cast("string"), F.lit("0"), number("is_signed"))
+    pulls = of(_counts("target.associatedPullRequests"), _counts("target.target.associatedPullRequests"), number("release_pr_count"))
+    at = scalars.safe_timestamp(of(get("target.committedDate"), get("target.tagger.date"), get("date")))
+    tagger, commit, version = oid("user", who), oid("commit", sha), v.isNotNull().cast("int")
+    attrs = {"name": get("name"), "github_node_id": get("id"), "is_annotated": annotated, "message": scalars.shortened(message, 500), "is_semver": version, "major": v["major"], "minor": v["minor"], "patch": v["patch"], "prerelease": v["prerelease"], "ci_state": ci, "is_signed": signed, "release_pr_count": pulls}
     about = rels(rel(me, "Tag", "created_item"), rel(repo(), "Repository", "repository_context"), rel(commit, "Commit", "tagged_commit"), rel(tagger, "User", "actor"))
-    return Kind(me, "Tag", attrs, [rels(_root(), rel(commit, "Commit", "tags_commit"), rel(tagger, "User", "created_by"))], [event("TagCreated", time("date"), about, version=get("name"), change_type=scalars.release_kind(get("name")), is_annotated=number("is_annotated"), is_semver=version, message=scalars.shortened(get("message"), 500), source="graphql")])
+    made = event("TagCreated", at, about, version=get("name"), change_type=scalars.release_kind(get("name")), is_annotated=annotated, is_semver=version, message=scalars.shortened(message, 500), source="graphql")
+    return Kind(F.when(target.isNull() | target.isin("Commit", "Tag"), me), "Tag", attrs, [rels(_root(), rel(commit, "Commit", "tags_commit"), rel(tagger, "User", "created_by"))], [made])
 
 
 def _release() -> Kind:
@@ -374,15 +386,16 @@ def _workflow_job() -> Kind:
 
 def _discussion() -> Kind:
     me = oid("discussion", get("number"))
-    attrs = {"number": get("number"), "title": scalars.shortened(get("title"), 255), "url": get("url"), "locked": flag("locked"), "category": get("category.name"), "body_length": F.length(F.coalesce(get("bodyText"), F.lit(""))), "upvote_count": number("upvoteCount"), "reactions_count": _counts("reactions"), "comments_total": _counts("comments"), "updated_at": time("updatedAt")}
+    attrs = {"number": get("number"), "title": scalars.shortened(get("title"), 255), "url": get("url"), "locked": flag("locked"), "category": get("category.name"), "body_length": F.length(F.coalesce(get("bodyText"), F.lit(""))), "upvote_count": number("upvoteCount"), "reactions_count": _counts("reactions"), "comments_total": _counts("comments"), "comments_overflow": (_counts("comments").cast("bigint") > F.size(items("comments.nodes"))).cast("int"), "updated_at": time("updatedAt")}
     answered = event("DiscussionAnswered", F.when(get("answerChosenAt").isNotNull(), time("answerChosenAt")), rels(rel(me, "Discussion", "subject"), _context(), rel(user("answerChosenBy.login"), "User", "actor")), source="graphql")
     labels = each(items("labels.nodes"), lambda x: rel(oid("label", get("id", x)), "Label", "has_label"))
     return Kind(me, "Discussion", attrs, [rels(_root(), rel(user("author.login"), "User", "created_by")), labels], [_opened(me, "Discussion", time("createdAt"), "DiscussionCreated", source="graphql"), answered])
 
 
-def _commit_files() -> Kind:
+def _commit_files(most: int | None = None) -> Kind:
+    """The files of a commit: all, or the first ``most``."""
     me = oid("commit", get("sha"))
-    files = F.slice(items("files"), 1, 100)
+    files = items("files") if most is None else F.slice(items("files"), 1, most)
     links = [each(files, lambda f: rel(oid("file", get("path", f)), "File", F.concat(F.lit("modifies_file_"), F.coalesce(get("status", f), F.lit("modified"))))), each(files, lambda f: rel(oid("file", get("previous_path", f)), "File", "modifies_file_renamed_from"))]
     return Kind(me, "Commit", {"verification_reason": get("verification_reason"), "diff_total": number("stats.total")}, links, owns=False)
 
@@ -403,23 +416,25 @@ def nested(nodes: DataFrame) -> DataFrame:
     pull requests of commits. What a child needs of its parent is put into its JSON."""
 
     def inside(kind: str, path: str, new: str, **carried: str) -> DataFrame:
-        rows = nodes.filter(F.col("kind") == kind).select("repo", F.explode(items(path)).alias("child"), *[get(p).alias(n) for n, p in carried.items()])
+        rows = nodes.filter(F.col("kind") == kind).select("repo", "seq", F.explode(items(path)).alias("child"), *[get(p).alias(n) for n, p in carried.items()])
         more = F.concat(*[x for n in carried for x in (F.lit(f'"{n}":"'), F.coalesce(F.col(n), F.lit("")), F.lit('",'))])
-        return rows.filter("child is not null").select("repo", F.lit(new).alias("kind"), F.concat(F.lit("{"), more, F.expr("substring(child, 2)")).alias("node"))
+        return rows.filter("child is not null").select("repo", F.lit(new).alias("kind"), F.concat(F.lit("{"), more, F.expr("substring(child, 2)")).alias("node"), "seq")
 
-    out = nodes.select("repo", "kind", "node")
+    if "seq" not in nodes.columns:
+        nodes = nodes.withColumn("seq", F.lit(0))
+    out = nodes = nodes.select("repo", "kind", "node", F.col("seq").cast("bigint").alias("seq"))
     out = out.unionByName(inside("review", "comments.nodes", "review_comment", __review_id="id", __pr_number="__pr_number"))
     out = out.unionByName(inside("review_thread", "comments.nodes", "thread_comment", __thread_id="id", __pr_number="__pr_number"))
     out = out.unionByName(inside("workflow_run", "extracted_jobs", "workflow_job", __run_id="id"))
     out = out.unionByName(inside("commit", "associatedPullRequests.nodes", "commit_of_pr", __commit="oid"))
     talk = inside("discussion", "comments.nodes", "discussion_comment", __discussion_number="number")
-    replies = talk.select("repo", get("__discussion_number").alias("n"), get("id").alias("parent"), F.explode(items("replies.nodes")).alias("child"))
+    replies = talk.select("repo", "seq", get("__discussion_number").alias("n"), get("id").alias("parent"), F.explode(items("replies.nodes")).alias("child"))
     answer = F.concat(F.lit('{"__discussion_number":"'), "n", F.lit('","__reply_to":"'), "parent", F.lit('",'), F.expr("substring(child, 2)"))
-    return out.unionByName(talk).unionByName(replies.select("repo", F.lit("discussion_comment").alias("kind"), answer.alias("node")))
+    return out.unionByName(talk).unionByName(replies.select("repo", F.lit("discussion_comment").alias("kind"), answer.alias("node"), "seq"))
 
 
-def _facts(nodes: DataFrame, name: str) -> DataFrame:
-    k = KINDS[name]()
+def _facts(nodes: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    k = _commit_files(files) if name == "commit_files" else KINDS[name]()
     bag = F.map_filter(F.map_from_arrays(F.array(*[F.lit(a) for a in k.attrs]), F.array(*[c.cast("string") for c in k.attrs.values()])), lambda _, v: v.isNotNull()) if k.attrs else F.lit(None).cast("map<string,string>")
     kind = "struct<activity:string,time:string,attrs:map<string,string>,rels:array<" + _REL + ">>"
     whole = F.array().cast(f"array<{kind}>")
@@ -432,18 +447,19 @@ def _facts(nodes: DataFrame, name: str) -> DataFrame:
         links = F.concat(links, a)
     otype = F.when(_is_pr(), "PullRequest").otherwise("Issue") if name == "timeline" else F.lit(k.otype)
     later = k.later if k.later is not None else F.lit(None).cast("struct<time:string,changed_field:string,attrs:map<string,string>>")
-    rows = nodes.filter(F.col("kind") == name).select(k.id.alias("oid"), otype.alias("otype"), F.lit(k.owns).alias("owns"), bag.alias("attrs"), links.alias("links"), F.filter(whole, lambda e: e.isNotNull()).alias("events"), later.alias("later"))
+    rows = nodes.filter(F.col("kind") == name).select(k.id.alias("oid"), otype.alias("otype"), F.lit(k.owns).alias("owns"), bag.alias("attrs"), links.alias("links"), F.filter(whole, lambda e: e.isNotNull()).alias("events"), later.alias("later"), "seq")
     return rows.filter("oid is not null")
 
 
-def assemble(nodes: DataFrame) -> ObjectLog:
-    """The log of all nodes (repo, kind, node); unknown kinds are left out. Repeated nodes count once, and of two that
-    describe one object the attributes of the first in the order of their text win, attribute by attribute. Nodes
-    and facts are written once to the shared folder, since all five tables read them."""
+def assemble(nodes: DataFrame, files: int | None = None) -> ObjectLog:
+    """The log of all nodes (repo, kind, node, and optionally seq, the order of ingest); unknown kinds are left out. Repeated
+    nodes count once, and of several that describe one object the first write wins, attribute by attribute: that of the
+    least seq, and of those the first in the order of its text. ``files`` bounds how many files of a commit are linked
+    (None: all). Nodes and facts are written once to the shared folder, since all five tables read them."""
     nodes = staged(nested(nodes), "nodes")
     facts = None
     for name in KINDS:
-        one = _facts(nodes, name)
+        one = _facts(nodes, name, files)
         facts = one if facts is None else facts.unionByName(one)
     facts = staged(facts, "facts")  # read by each of the tables below
     described = facts.filter("owns").select("oid", "otype").distinct()
@@ -460,8 +476,8 @@ def assemble(nodes: DataFrame) -> ObjectLog:
     o2o = linked.join(names, "oid", "left_semi").join(sources, "src", "left_semi").select(F.col("src").alias("src_oid"), F.col("oid").alias("tgt_oid"), "qualifier").distinct()
     o2o = o2o.unionByName(retries(facts, objects))
     events = happened.join(e2o.select("eid"), "eid", "left_semi").select("eid", "activity", F.try_to_timestamp("time").alias("ts"), "attrs")
-    said = facts.filter("attrs is not null").join(names, "oid", "left_semi").select("oid", F.explode("attrs").alias("name", "value"))
-    first = said.groupBy("oid", "name").agg(F.min("value").alias("value")).groupBy("oid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("attrs"))
+    said = facts.filter("attrs is not null").join(names, "oid", "left_semi").select("oid", "seq", F.explode("attrs").alias("name", "value"))
+    first = said.groupBy("oid", "name").agg(F.min_by("value", F.struct("seq", "value")).alias("value")).groupBy("oid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("attrs"))
     static = first.join(objects, "oid").select("oid", "otype", F.to_timestamp(F.lit(EPOCH)).alias("ts"), F.lit(None).cast("string").alias("changed_field"), "attrs")
     partial = facts.filter("later is not null").select("oid", "otype", F.try_to_timestamp("later.time").alias("ts"), F.col("later.changed_field").alias("changed_field"), F.col("later.attrs").alias("attrs"))
     return ObjectLog.of(events, objects.select("oid", "otype"), e2o, o2o, static.unionByName(partial.dropDuplicates(["oid", "ts", "changed_field"])))
@@ -472,3 +488,13 @@ def retries(facts: DataFrame, objects: DataFrame) -> DataFrame:
     runs = facts.filter("otype = 'WorkflowRun' and owns").select("oid", F.col("attrs")["name"].alias("name"), F.col("attrs")["run_number"].alias("run"), F.col("attrs")["run_attempt"].cast("int").alias("attempt")).distinct()
     before = runs.select(F.col("oid").alias("tgt_oid"), "name", "run", (F.col("attempt") + 1).alias("attempt"))
     return runs.join(before, ["name", "run", "attempt"]).select(F.col("oid").alias("src_oid"), "tgt_oid", F.lit("retry_of").alias("qualifier"))
+
+
+def unread_commits(nodes: DataFrame) -> DataFrame:
+    """repo, pr_number, oid: commits that pull requests name and no commit node describes, such as those of branches that
+    were never merged. `assemble` links them as stubs."""
+    pulls = nodes.filter("kind = 'pull_request'").select("repo", get("number").alias("pr_number"), F.explode(items("commits.nodes")).alias("c"))
+    named = pulls.select("repo", "pr_number", F.coalesce(get("commit.oid", F.col("c")), get("oid", F.col("c"))).alias("oid"))
+    named = named.unionByName(nodes.filter("kind = 'commit_of_pr'").select("repo", get("number").alias("pr_number"), get("__commit").alias("oid")))
+    read = nodes.filter("kind = 'commit'").select("repo", get("oid").alias("oid"))
+    return named.filter("oid is not null").distinct().join(read, ["repo", "oid"], "left_anti").select("repo", "pr_number", "oid")

@@ -80,3 +80,33 @@ def test_attributes_and_integrity(log):
     assert at["own_r_milestone_M1"]["rejection_rate_pct"] == "25.0" and at["own_r_release_5"]["total_downloads"] == "7" and at["own_r_tag_T1"]["minor"] == "2"
     assert [r.attrs["state"] for r in log.changes.filter("changed_field = 'state'").collect()] == ["CLOSED"]
     assert validate.semantics(log).count() == 0
+
+
+def _nodes(spark, rows):
+    return spark.createDataFrame([(r, k, json.dumps(n), q) for r, k, n, q in rows], "repo string, kind string, node string, seq long")
+
+
+def test_raw_tags_and_plain_ones(spark):
+    light = {"id": "T1", "name": "v1.2.3", "target": {"__typename": "Commit", "oid": "c1", "committedDate": "2024-01-01T00:00:00Z", "author": {"name": "Ann", "user": {"login": "ann"}}, "signature": {"isValid": True}, "statusCheckRollup": {"state": "SUCCESS"}, "associatedPullRequests": {"totalCount": 2}}}
+    annotated = {"id": "T2", "name": "v2.0.0", "target": {"__typename": "Tag", "message": "two", "tagger": {"name": "Bob", "date": "2024-02-01T00:00:00Z"}, "target": {"oid": "c2"}}}
+    plain = {"id": "T3", "name": "x", "date": "2024-03-01T00:00:00Z", "tagger": {"email": "e@x"}, "commit": {"sha": "c3"}, "is_annotated": 1}
+    tree = {"id": "T4", "name": "tree", "target": {"__typename": "Tree", "oid": "t"}}
+    log = mappers.assemble(_nodes(spark, [("r", "tag", n, 0) for n in (light, annotated, plain, tree)]))
+    attrs = {r.oid: r.attrs for r in log.changes.filter("otype = 'Tag'").collect()}
+    got = {a["name"]: (a["is_annotated"], a.get("message"), a["is_signed"], a.get("ci_state"), a["release_pr_count"]) for a in attrs.values()}
+    assert got == {"v1.2.3": ("0", None, "1", "SUCCESS", "2"), "v2.0.0": ("1", "two", "0", None, "0"), "x": ("1", None, "0", None, "0")}
+    assert sorted(str(r.ts)[:10] for r in log.events.filter("activity = 'TagCreated'").collect()) == ["2024-01-01", "2024-02-01", "2024-03-01"]
+    assert {r.qualifier for r in log.o2o.collect()} >= {"tags_commit", "created_by"} and log.o2o.filter("qualifier = 'tags_commit'").count() == 3
+
+
+def test_first_write_files_and_unread_commits(spark):
+    files = {"sha": "c1", "files": [{"path": f"f{k}"} for k in range(130)]}
+    rows = [("r", "commit", {"oid": "c1", "message": "zz"}, 1), ("r", "commit", {"oid": "c1", "message": "aa"}, 2), ("r", "commit_files", files, 3), ("r", "pull_request", {"number": 1, "commits": {"nodes": [{"commit": {"oid": "c1"}}, {"commit": {"oid": "c9"}}]}}, 4)]
+    rows.append(("r", "discussion", {"number": 4, "comments": {"totalCount": 60, "nodes": [{"id": "x"}]}}, 5))
+    nodes = _nodes(spark, rows)
+    log = mappers.assemble(nodes)
+    said = {r.otype: r.attrs for r in log.changes.collect()}
+    assert said["Commit"]["message"] == "zz" and said["Discussion"]["comments_overflow"] == "1"
+    assert log.objects.filter("otype = 'File'").count() == 130 and mappers.assemble(nodes, files=100).objects.filter("otype = 'File'").count() == 100
+    assert [tuple(r) for r in mappers.unread_commits(nodes).collect()] == [("r", "1", "c9")]
+    assert log.o2o.filter("qualifier = 'contains_commit'").count() == 2
