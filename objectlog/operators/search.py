@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..log import ObjectLog
@@ -100,15 +101,108 @@ def phrase(chunks: DataFrame, query: str, k: int | None = 5, types: list[str] |
 
 def hybrid(chunks: DataFrame, query: str, k: int = 5, types: list[str] | None = None) -> DataFrame:
     """id, score: the best 2k by phrase and by BM25, half of each score, summed where both have the chunk."""
-    a = phrase(chunks, query, 2 * k, types).select("id", F.col("score").alias("p"))
-    b = bm25(chunks, query, 2 * k, types).select("id", F.col("score").alias("s"))
+    return _halves(phrase(chunks, query, 2 * k, types), bm25(chunks, query, 2 * k, types), k)
+
+
+def _halves(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    a, b = first.select("id", F.col("score").alias("p")), second.select("id", F.col("score").alias("s"))
     score = F.round(0.5 * F.coalesce("p", F.lit(0.0)) + 0.5 * F.coalesce("s", F.lit(0.0)), 6)
     return a.join(b, "id", "full").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+MODES = {"bm25": bm25, "phrase": phrase, "hybrid": hybrid}
+
+
 def search(chunks: DataFrame, query: str, k: int = 5, types: list[str] | None = None, mode: str = "bm25") -> DataFrame:
     """Search by mode: bm25, phrase or hybrid."""
-    return {"bm25": bm25, "phrase": phrase, "hybrid": hybrid}[mode](chunks, query, k, types)
+    return MODES[mode](chunks, query, k, types)
+
+
+#: Up to how many bytes of a log phrases are searched alone, and from where on BM25 alone.
+SMALL, LARGE = 5_000_000, 100_000_000
+
+
+def strategy(size: int, force: str | None = None) -> str:
+    """How a log of so many bytes is searched: phrase, hybrid or bm25; ``force`` names one."""
+    if force is not None and force not in MODES:
+        raise ValueError(f"no strategy {force!r}; there are {sorted(MODES)}")
+    return force or ("phrase" if size < SMALL else "bm25" if size > LARGE else "hybrid")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: postings by bucket of their term, sorted by it, so that a search reads those of its own terms."""
+
+    postings: DataFrame  # bucket, term, id, chunk_type, tf, positions, dl
+    totals: DataFrame  # one row: n, avgdl, bytes
+    buckets: int
+    mode: str = "bm25"
+
+    @staticmethod
+    def build(chunks: DataFrame, folder: str, buckets: int = 64, force: str | None = None) -> Index:
+        """Index ``chunks`` (id, content, chunk_type) into a folder; rows that share id and type are one chunk."""
+        rows = inverted_index(chunks)
+        lengths = chunks.groupBy("id", "chunk_type").agg(F.sum(F.size(tokens_of(F.col("content")))).alias("dl"), F.sum(F.octet_length("content")).alias("bytes"))
+        same = [F.col("id").eqNullSafe(F.col("id_")), F.col("chunk_type").eqNullSafe(F.col("type_"))]
+        posted = rows.join(lengths.select(F.col("id").alias("id_"), F.col("chunk_type").alias("type_"), "dl"), same).drop("id_", "type_").withColumn("bucket", _bucket(F.col("term"), buckets))
+        # Several files a bucket at scale: the order of rows within each is what lets row groups be skipped.
+        posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/totals")
+        return Index.open(chunks.sparkSession, folder, force)
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str, force: str | None = None) -> Index:
+        """An index that `build` has written."""
+        totals = spark.read.parquet(f"{folder}/totals")
+        said = totals.first()
+        schema = "term string, id string, chunk_type string, tf long, positions array<int>, dl long, bucket int"
+        return Index(spark.read.schema(schema).parquet(f"{folder}/postings"), totals.drop("buckets"), said.buckets, strategy(said.bytes, force))
+
+    def info(self) -> dict:
+        """The strategy, megabytes of text, chunks, and that there is an index."""
+        said = self.totals.first()
+        return {"strategy": self.mode, "size_mb": round(said.bytes / 1e6, 2), "chunks": said.n, "indexed": True}
+
+    def _of(self, terms: list[str]) -> DataFrame:
+        spark = self.postings.sparkSession
+        wanted = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), self.buckets)).collect()})
+        return self.postings.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+
+    def bm25(self, query: str, k: int | None = 5, types: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """As `bm25` over the chunks."""
+        terms = list(dict.fromkeys(query_terms(query)))
+        if not terms:
+            return self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
+        mine = self._of(terms)
+        df = mine.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        rows = _of_types(mine, types).join(F.broadcast(df), "term").crossJoin(F.broadcast(self.totals.select("n", "avgdl")))  # one row
+        out = rows.groupBy("id", "chunk_type").agg(F.round(F.sum(part), 6).alias("score")).select("id", "score")
+        return out.orderBy(F.desc("score"), "id").limit(k) if k else out
+
+    def phrase(self, query: str, k: int | None = 5, types: list[str] | None = None) -> DataFrame:
+        """As `phrase` over the chunks: by the positions of the query's terms."""
+        terms = query_terms(query)
+        if not terms:
+            return self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
+        wide = self._of(terms).groupBy("id", "chunk_type").agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(terms)])
+        follows = lambda p: F.forall(F.array(*[F.array_contains(F.col(f"p{i}"), p + i) for i in range(1, len(terms))]), lambda x: x) if len(terms) > 1 else F.lit(True)
+        ids = wide.filter(F.forall(F.array(*[F.col(f"p{i}").isNotNull() for i in range(len(terms))]), lambda x: x)).filter(F.exists("p0", follows)).select("id")
+        out = self.bm25(query, None, types).join(ids, "id", "left_semi")
+        return out.orderBy(F.desc("score"), "id").limit(k) if k else out
+
+    def hybrid(self, query: str, k: int = 5, types: list[str] | None = None) -> DataFrame:
+        """As `hybrid` over the chunks."""
+        return _halves(self.phrase(query, 2 * k, types), self.bm25(query, 2 * k, types), k)
+
+    def search(self, query: str, k: int = 5, types: list[str] | None = None, mode: str | None = None) -> DataFrame:
+        """Search by a mode, or by the index's own strategy."""
+        return {"bm25": self.bm25, "phrase": self.phrase, "hybrid": self.hybrid}[mode or self.mode](query, k, types)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def event_chunks(log: ObjectLog, per: int = 100) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..log import ObjectLog
+
 
 @dataclass
 class Cursor:
@@ -51,3 +56,30 @@ class Cursors:
 
     def __len__(self) -> int:
         return len(self._held)
+
+
+class Models:
+    """Discovered models by log and name, the ones used last; safe to share between threads.
+
+    A log is told by the meaning of its tables' plans, so the same files read again give the same model, another log not.
+    """
+
+    def __init__(self, most: int = 32):
+        self.most, self._lock, self._held = most, threading.Lock(), OrderedDict()
+
+    def get(self, log: ObjectLog, name: str, make: Callable[[], Any]) -> Any:
+        """The model, made if it isn't held."""
+        key = (log.spark.sparkContext.applicationId, log.events.semanticHash(), log.objects.semanticHash(), log.e2o.semanticHash(), name)
+        with self._lock:
+            if key in self._held:
+                self._held.move_to_end(key)
+                return self._held[key]
+        made = make()
+        with self._lock:
+            self._held[key] = made
+            while len(self._held) > self.most:
+                self._held.popitem(last=False)
+        return made
+
+    def __len__(self) -> int:
+        return len(self._held)

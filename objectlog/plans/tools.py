@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from ..functions import render
 from ..log import ObjectLog
 from ..operators import filters, petri, search, setops, stats, traces
-from .cursor import Cursors
+from ..sources.staging import folder
+from .cursor import Cursors, Models
+
+#: Models of all logs of this process.
+MODELS = Models()
 
 
 class Tools:
     """Operations over one log. Those that find events keep them as a cursor and answer with its name; others answer with
     a dict of rows and a Markdown summary. A mistake in the arguments is an answer with ``error``."""
 
-    def __init__(self, log: ObjectLog):
+    def __init__(self, log: ObjectLog, strategy: str | None = None):
         self.log, self.cursors = log, Cursors()
-        self._nets: dict[str | None, dict] = {}
+        self._strategy, self._index = strategy, None
 
     def call(self, tool: str, **arguments: Any) -> dict:
         """Run a tool by name."""
@@ -77,9 +81,20 @@ class Tools:
         """Objects without events."""
         return self._keep("find_orphaned_objects", stats.orphaned_objects(self.log).select(F.col("oid").alias("object_id"), F.lit("orphaned").alias("status")))
 
-    def search_ocel(self, query: str, top_k: int = 5, chunk_types: list[str] | None = None, mode: str = "bm25") -> dict:
-        """Search in types, events and objects; ``chunk_types`` names chunk types or the groups schema and data."""
-        return self._answer("Search", search.search(search.chunks(self.log), query, top_k, chunk_types, mode))
+    def search_ocel(self, query: str, top_k: int = 5, chunk_types: list[str] | None = None, mode: str | None = "bm25") -> dict:
+        """Search in types, events and objects; ``chunk_types`` names chunk types or the groups schema and data, a null mode
+        the strategy by size."""
+        return self._answer("Search", self._indexed().search(query, top_k, chunk_types, mode))
+
+    def get_search_info(self) -> dict:
+        """The index's strategy, size and chunks."""
+        return self._indexed().info()
+
+    def _indexed(self) -> search.Index:
+        """The index of the log's chunks, written at the first search."""
+        if self._index is None:
+            self._index = search.Index.build(search.chunks(self.log), folder(self.log.spark, "index"), force=self._strategy)
+        return self._index
 
     # Process mining
 
@@ -94,9 +109,7 @@ class Tools:
 
     def discover_petri_net(self, object_type: str | None = None, include_visualization: bool = False) -> dict:
         """A Petri net for each object type; kept for this log."""
-        if object_type not in self._nets:
-            self._nets[object_type] = petri.discover(self.log, object_type)
-        nets = self._nets[object_type]
+        nets = MODELS.get(self.log, f"petri:{object_type}", lambda: petri.discover(self.log, object_type))
         out = petri.summary(nets) | {"summary": render.report("Petri nets", render.table([{"object_type": t, "places": len(n.places), "transitions": len(n.transitions), "arcs": len(n.arcs)} for t, n in nets.items()]))}
         return out | ({"dot": {t: render.petri_dot(n) for t, n in nets.items()}} if include_visualization else {})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,8 +87,18 @@ def event_batches(log: ObjectLog, size: int = 1_000) -> Iterator[list[dict]]:
         yield batch
 
 
-def read_schema(spark: SparkSession, path: str) -> dict[str, dict[str, list[str]]]:
-    """Declared types and their attributes: {"events": {type: names}, "objects": {type: names}}; ValueError without any."""
+def located(path: str | None = None) -> str:
+    """The document's path: the argument, else the environment's OBJECT_LOG_FILE; ValueError if neither names one."""
+    found = path or os.environ.get("OBJECT_LOG_FILE")
+    if not found:
+        raise ValueError("name a log by argument or by OBJECT_LOG_FILE")
+    return found
+
+
+def read_schema(spark: SparkSession, path: str | None = None) -> dict[str, dict[str, list[str]]]:
+    """Declared types and their attributes: {"events": {type: names}, "objects": {type: names}}; ValueError without any.
+    The path may come from the environment, see `located`."""
+    path = located(path)
     doc = spark.read.schema(schema.DOCUMENT).option("multiLine", True).json(path)
     found = {side: {r.name: [a.name for a in r.attributes or []] for r in doc.select(F.inline(c)).distinct().collect()} for side, c in (("events", "eventTypes"), ("objects", "objectTypes"))}
     if not any(found.values()):

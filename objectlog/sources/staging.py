@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a temporary folder only where none is set: tests, local mode) and read
-    it back: the plan starts anew, and a lost executor costs nothing that has been written."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``. Where no folder is set a temporary one is made, in local mode only."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="objectlog-")
         sc.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{top.rstrip('/')}/{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` in such a folder and read it back: the plan starts anew, and a lost executor costs nothing that has been
+    written."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def streamed(spark: SparkSession, rows: Iterable[tuple], schema: str, name: str, batch: int = 50_000) -> DataFrame:
+    """Rows from the driver as a table, a batch in memory at a time."""
+    path, rows = folder(spark, name), iter(rows)
+    while part := list(itertools.islice(rows, batch)):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("append").parquet(path)
+    return spark.read.schema(empty.schema).parquet(path)

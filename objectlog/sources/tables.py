@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..log import ObjectLog
+from .staging import staged, streamed
 
 NAMES = ("events", "objects", "e2o", "o2o", "changes", "event_types", "object_types")
 
@@ -94,23 +95,50 @@ def export_sqlite(log: ObjectLog, path: str, batch: int = 5_000) -> None:
 
 
 def import_sqlite(spark: SparkSession, path: str) -> ObjectLog:
-    """A log from such a file."""
+    """A log from such a file, streamed through the driver a batch at a time."""
     db = sqlite3.connect(path)
     db.row_factory = sqlite3.Row
-    all_ = lambda q: [dict(r) for r in db.execute(q)]
-    map_of = lambda prefix: {r["ocel_type"]: r["ocel_type_map"] for r in all_(f"SELECT * FROM {prefix}_map_type")}
-    bag = lambda r, skip: {k: str(v) for k, v in r.items() if k not in skip and v is not None}
-    skip = ("ocel_id", "ocel_time", "ocel_changed_field")
-    events = [(r["ocel_id"], t, r["ocel_time"], bag(r, skip)) for t, name in map_of("event").items() for r in all_(f'SELECT * FROM "event_{name}"')]
-    changes = [(r["ocel_id"], t, r["ocel_time"], r["ocel_changed_field"] or None, bag(r, skip)) for t, name in map_of("object").items() for r in all_(f'SELECT * FROM "object_{name}"')]
-    objects = [(r["ocel_id"], r["ocel_type"]) for r in all_("SELECT * FROM object")]
-    kinds = dict(objects)
-    e2o = [(r["ocel_event_id"], r["ocel_object_id"], kinds.get(r["ocel_object_id"]), r["ocel_qualifier"]) for r in all_("SELECT * FROM event_object")]
-    o2o = [tuple(r.values()) for r in all_("SELECT * FROM object_object")]
-    db.close()
-    make = spark.createDataFrame
+    all_ = lambda q: (dict(r) for r in db.execute(q))
+    kinds_of = lambda prefix: [(r["ocel_type"], r["ocel_type_map"]) for r in all_(f"SELECT * FROM {prefix}_map_type")]
+    bag = lambda r: {k: str(v) for k, v in r.items() if k not in ("ocel_id", "ocel_time", "ocel_changed_field") and v is not None}
+    events = ((r["ocel_id"], t, r["ocel_time"], bag(r)) for t, name in kinds_of("event") for r in all_(f'SELECT * FROM "event_{name}"'))
+    changes = ((r["ocel_id"], t, r["ocel_time"], r["ocel_changed_field"] or None, bag(r)) for t, name in kinds_of("object") for r in all_(f'SELECT * FROM "object_{name}"'))
+    e2o = "SELECT ocel_event_id, ocel_object_id, o.ocel_type, ocel_qualifier FROM event_object LEFT JOIN object o ON o.ocel_id = ocel_object_id"
+    plain = lambda q: (tuple(r) for r in db.execute(q))
     ts = lambda df: df.withColumn("ts", F.try_to_timestamp("ts"))
-    return ObjectLog.of(
-        ts(make(events, "eid string, activity string, ts string, attrs map<string,string>")), make(objects, "oid string, otype string"), make(e2o, "eid string, oid string, otype string, qualifier string"),
-        make(o2o, "src_oid string, tgt_oid string, qualifier string"), ts(make(changes, "oid string, otype string, ts string, changed_field string, attrs map<string,string>")),
-    )
+    try:
+        return ObjectLog.of(
+            ts(streamed(spark, events, "eid string, activity string, ts string, attrs map<string,string>", "events")), streamed(spark, plain("SELECT ocel_id, ocel_type FROM object"), "oid string, otype string", "objects"),
+            streamed(spark, plain(e2o), "eid string, oid string, otype string, qualifier string", "e2o"), streamed(spark, plain("SELECT * FROM object_object"), "src_oid string, tgt_oid string, qualifier string", "o2o"),
+            ts(streamed(spark, changes, "oid string, otype string, ts string, changed_field string, attrs map<string,string>", "changes")),
+        )
+    finally:
+        db.close()
+
+
+def insert(log: ObjectLog, folder: str) -> dict[str, int]:
+    """Add a log to the tables that `write` has written; how many rows each gained.
+
+    What is there stays: of a key (an event's id, an object's id, a relation, a snapshot's object, time and field) the first
+    write wins. ValueError if a new event has no object. Types and attributes may be new: attributes are maps, and `wide`
+    gives each its column. Rows are compared by joins, and only new ones are written; each part is complete before the next
+    begins, objects and events before what refers to them, so a rerun after a failure adds what is missing.
+    """
+    spark = log.spark
+    if log.events.join(log.e2o.select("eid"), "eid", "left_anti").limit(1).count():
+        raise ValueError("an event without an object can't be stored")
+    keys = {"objects": ["oid"], "events": ["eid"], "e2o": ["eid", "oid", "qualifier"], "o2o": ["src_oid", "tgt_oid", "qualifier"], "changes": ["oid", "ts", "changed_field"], "event_types": ["name"], "object_types": ["name"]}
+    gained = {}
+    for name, key in keys.items():
+        there = spark.read.parquet(f"{folder}/{name}").select(*[F.col(k).alias(f"{k}_") for k in key]).distinct()
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        new = staged(getattr(log, name).dropDuplicates(key).join(there, same, "left_anti"), name)
+        gained[name] = new.count()
+        if gained[name]:
+            if name == "events":
+                new.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(f"{folder}/{name}")
+            else:
+                new.write.mode("append").parquet(f"{folder}/{name}")
+    return gained
