@@ -48,9 +48,9 @@ def syntax(raw: DataFrame) -> DataFrame:
 
 
 def semantics(log: ObjectLog) -> DataFrame:
-    """Findings of a log: missing and repeated ids, undeclared types, relations to missing objects or events, changes
+    """Findings of a log: missing (null or empty) and repeated ids, undeclared types, relations to missing objects or events, changes
     without a time."""
-    twice = lambda df, c, code: _row(df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).filter("n > 1"), code, c, "n")
+    twice = lambda df, c, code: _row(df.filter(F.col(c) != "").groupBy(c).agg(F.count("*").alias("n")).filter("n > 1"), code, c, "n")
     undeclared = lambda df, c, types, code: _row(df.select(F.col(c).alias("name")).distinct().join(types.select("name"), "name", "left_anti"), code, "name")
     oids, eids = log.objects.select("oid"), log.events.select("eid")
     return _all(

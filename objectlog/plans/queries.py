@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import filters, petri, search, setops, stats, traces, validate
+from ..sources import mappers
 from ..sources.adapters import activity_log, commerce_log, conversation_log, shipment_log, table, text_chunks
+from ..sources.staging import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,9 +136,18 @@ def orphaned_objects(spark, d):
     return stats.orphaned_objects(shipment_log(spark, d)).select("oid", "otype")
 
 
-@query("SELECT 'orphaned_object' AS anomaly_type, 'medium' AS severity, 'o' || o_orderkey AS affected_id, 'no event relates to object o' || o_orderkey AS description FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query(
+    """SELECT 'orphaned_object' AS anomaly_type, 'medium' AS severity, 'o' || o_orderkey AS affected_id, 'no event relates to object o' || o_orderkey AS description FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <> 3)
+UNION ALL SELECT 'event_no_objects', 'high', eid, 'no object relates to event ' || eid FROM (SELECT 'l-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS eid FROM lineitem WHERE l_linenumber = 3)
+UNION ALL SELECT DISTINCT 'broken_reference', 'high', 'o' || l_orderkey, 'the log has no object o' || l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber <> 3"""
+)
 def anomalies(spark, d):
-    return stats.anomalies(shipment_log(spark, d), broken_references=True)
+    """A shipment log without every tenth order and without the relations of third lines: all three kinds of findings."""
+    from dataclasses import replace
+
+    log = shipment_log(spark, d)
+    whole = replace(log, objects=log.objects.filter("cast(substring(oid, 2) as bigint) % 10 <> 0"), e2o=log.e2o.filter("split(eid, '-')[2] <> '3'"))
+    return stats.anomalies(whole, broken_references=True)
 
 
 @query(
@@ -190,10 +201,11 @@ def difference_results(spark, d):
     return setops.difference(filters.references(log, filters.by_activity(log, "view")), filters.references(log, filters.lifecycle(log, "u7"))).select("event_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber")
+@query("SELECT l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS l_partkey, arg_min(l_suppkey, (l_shipdate, l_linenumber, l_partkey)) AS l_suppkey FROM lineitem GROUP BY l_orderkey")
 def first_write_wins(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return setops.first_write_wins(li, ["l_orderkey", "l_linenumber"], "l_partkey")
+    """Of each order the part and supplier of the line that was shipped first."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return setops.first_write_wins(li, ["l_orderkey"], "struct(l_shipdate, l_linenumber, l_partkey)").select("l_orderkey", "l_partkey", "l_suppkey")
 
 
 @query("SELECT 'c' || o_custkey AS oid, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS value FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' GROUP BY o_custkey")
@@ -255,6 +267,13 @@ def top_variants(spark, d):
     return traces.variants(conversation_log(spark, d), limit=5).withColumn("otypes", F.array_join("otypes", ","))
 
 
+@query(_LOG + """, v AS (SELECT string_agg(activity, ' → ' ORDER BY ts, eid) AS sequence, count(*) AS length, otype FROM t GROUP BY otype, oid)
+SELECT row_number() OVER (ORDER BY frequency DESC, sequence) AS variant_id, * FROM (SELECT sequence, length, count(*) AS frequency, string_agg(DISTINCT otype, ',' ORDER BY otype) AS otypes FROM v GROUP BY sequence, length ORDER BY frequency DESC, sequence LIMIT 20)""")
+def tied_variants(spark, d):
+    """Users' traces are long and nearly all occur once: the limit cuts through a tie of most variants."""
+    return traces.variants(activity_log(spark, d), limit=20).withColumn("otypes", F.array_join("otypes", ","))
+
+
 @query(_LOG + "SELECT * FROM perf")
 def performance(spark, d):
     return traces.performance(activity_log(spark, d))
@@ -317,34 +336,73 @@ def search_of_type(spark, d):
     return search.search(text_chunks(spark, d), _QUERY, 5, ["benchmark"])
 
 
-@query(
-    "WITH c AS (" + _CHUNKS + "), w AS (SELECT id, ' ' || array_to_string(" + _WORDS.format("content") + ", ' ') || ' ' AS t FROM c) SELECT id FROM w WHERE contains(t, ' of the ')"
-)
+_OF_THE = _BM25.replace("['ention', 'the', 'and']", "['of', 'the']") + ", ph AS (SELECT id, ' ' || array_to_string(t, ' ') || ' ' AS t FROM w)"
+
+
+@query(_OF_THE + "\nSELECT id, score FROM sc WHERE id IN (SELECT id FROM ph WHERE contains(t, ' of the '))")
 def phrase_search(spark, d):
-    return search.phrase(text_chunks(spark, d), "Of the", None).select("id")
+    return search.phrase(text_chunks(spark, d), "Of the", None)
 
 
-@query(
-    _BM25.replace("['ention', 'the', 'and']", "['of', 'the']")
-    + ", ph AS (SELECT id, ' ' || array_to_string(t, ' ') || ' ' AS t FROM w), a AS (SELECT id, score FROM sc WHERE id IN (SELECT id FROM ph WHERE contains(t, ' of the ')) ORDER BY score DESC, id LIMIT 20), b AS (SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 20)\n"
+_HYBRID = (
+    _OF_THE + ", a AS (SELECT id, score FROM sc WHERE id IN (SELECT id FROM ph WHERE contains(t, ' of the ')) ORDER BY score DESC, id LIMIT 20), b AS (SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 20)\n"
     "SELECT id, round(0.5 * coalesce(a.score, 0) + 0.5 * coalesce(b.score, 0), 6) AS score FROM a FULL JOIN b USING (id) ORDER BY score DESC, id LIMIT 10"
 )
+
+
+@query(_HYBRID)
 def hybrid_search(spark, d):
     return search.hybrid(text_chunks(spark, d), "of the", 10)
 
 
+def _index(spark, d):
+    """The stored index of all chunks, written once for the searches of a session over the same tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.Index.build(text_chunks(spark, d), folder(spark, "index"))
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+@query(_BM25 + "SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 10")
+def indexed_bm25(spark, d):
+    return _index(spark, d).bm25(_QUERY, 10)
+
+
+@query(_BM25 + "SELECT id, score FROM sc WHERE chunk_type = 'benchmark' ORDER BY score DESC, id LIMIT 5")
+def indexed_search_of_type(spark, d):
+    return _index(spark, d).search(_QUERY, 5, ["benchmark"], "bm25")
+
+
+@query(_OF_THE + "\nSELECT id, score FROM sc WHERE id IN (SELECT id FROM ph WHERE contains(t, ' of the '))")
+def indexed_phrase(spark, d):
+    return _index(spark, d).phrase("Of the", None)
+
+
+@query(_HYBRID)
+def indexed_hybrid(spark, d):
+    return _index(spark, d).hybrid("of the", 10)
+
+
 @query("SELECT chunk_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'events' AS chunk_type, count(*) AS n FROM events UNION ALL SELECT 'objects', count(DISTINCT user_id) + count(DISTINCT json_extract_string(props, '$.k')) FROM events UNION ALL SELECT 'event_types', count(DISTINCT event_type) FROM events UNION ALL SELECT 'object_types', 2) GROUP BY chunk_type")
 def chunk_sizes(spark, d):
     return search.chunks(activity_log(spark, d)).groupBy("chunk_type").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT 'kind' AS attribute, count(DISTINCT event_type) AS distinct_values, (SELECT string_agg(event_type || '=' || n, ',' ORDER BY event_type) FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)) AS histogram FROM events")
+@query(
+    """WITH v AS (SELECT 'kind' AS attribute, event_type AS value FROM events WHERE event_type IS NOT NULL UNION ALL SELECT 'user', 'u' || user_id FROM events WHERE user_id IS NOT NULL),
+c AS (SELECT attribute, value, count(*) AS n FROM v GROUP BY attribute, value),
+k AS (SELECT *, count(*) OVER (PARTITION BY attribute) AS distinct_values, row_number() OVER (PARTITION BY attribute ORDER BY n DESC, value) AS k FROM c)
+SELECT attribute, distinct_values, string_agg(value || '=' || n, ',' ORDER BY value) AS histogram FROM k WHERE distinct_values <= 20 OR k <= 10 GROUP BY attribute, distinct_values"""
+)
 def value_summary(spark, d):
     text = F.array_join(F.transform(F.sort_array(F.map_entries("histogram")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return search.value_summary(activity_log(spark, d)).withColumn("histogram", text)
 
 
-@query("WITH c AS (" + _CHUNKS + "), w AS (SELECT id, chunk_type, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT id, chunk_type, " + _WORDS.format("content") + " AS t FROM c WHERE chunk_type = 'benchmark')) SELECT term, id, chunk_type, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM w GROUP BY term, id, chunk_type")
+@query("WITH c AS (" + _CHUNKS + "), w AS (SELECT id, chunk_type, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT id, chunk_type, " + _WORDS.format("content") + " AS t FROM c)) SELECT term, id, chunk_type, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM w GROUP BY term, id, chunk_type")
 def inverted_index(spark, d):
     return search.inverted_index(text_chunks(spark, d)).withColumn("positions", F.array_join("positions", ","))
 
@@ -359,13 +417,73 @@ def petri_nets(spark, d):
 # Validation and scalars
 
 
-@query("SELECT 'semantic' AS level, 'dangling_event_object' AS code, 'o' || l_orderkey AS subject, 'l-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS detail FROM lineitem WHERE l_orderkey % 10 = 0")
+_EID = "'l-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+
+
+@query(
+    f"""WITH li AS (SELECT {_EID} AS eid, * FROM lineitem), n AS (SELECT eid, count(*) AS n FROM li GROUP BY eid)
+SELECT 'semantic' AS level, code, subject, detail FROM (
+SELECT 'dangling_event_object' AS code, 'o' || l_orderkey AS subject, eid AS detail FROM li WHERE l_orderkey % 10 = 0
+UNION ALL SELECT 'dangling_event', eid, 'o' || l_orderkey FROM li WHERE l_linenumber = 5
+UNION ALL SELECT 'missing_event_id', '', '' FROM li WHERE l_linenumber = 6
+UNION ALL SELECT 'dangling_event', eid, 'o' || l_orderkey FROM li WHERE l_linenumber = 6
+UNION ALL SELECT 'duplicate_event_id', eid, CAST(2 * n AS VARCHAR) FROM li JOIN n USING (eid) WHERE l_linenumber = 7
+UNION ALL SELECT 'missing_object_id', '', '' FROM orders WHERE o_orderkey % 10 = 1
+UNION ALL SELECT 'dangling_event_object', 'o' || l_orderkey, eid FROM li WHERE l_orderkey % 10 = 1
+UNION ALL SELECT 'duplicate_object_id', 'o' || o_orderkey, '2' FROM orders WHERE o_orderkey % 10 = 2
+UNION ALL SELECT 'undeclared_event_type', 'ItemShipped', '' WHERE (SELECT count(*) FROM lineitem) > 0
+UNION ALL SELECT 'undeclared_object_type', 'Order', '' WHERE (SELECT count(*) FROM orders) > 0
+UNION ALL SELECT 'dangling_object_object', 'c' || o_custkey, 'o' || o_orderkey FROM orders
+UNION ALL SELECT 'dangling_object_object', 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderkey % 10 IN (0, 1)
+UNION ALL SELECT 'attribute_without_time', 'o' || o_orderkey, '' FROM orders WHERE o_orderkey % 10 = 3)"""
+)
 def validate_references(spark, d):
-    """Findings of a shipment log from which every tenth order has been taken out."""
+    """Findings of all eleven kinds in a shipment log with lines and orders left out, blanked and doubled, undeclared types,
+    relations to customers it doesn't have, and snapshots without a time."""
     from dataclasses import replace
 
-    log = shipment_log(spark, d)
-    return validate.semantics(replace(log, objects=log.objects.filter("cast(substring(oid, 2) as bigint) % 10 <> 0"))).filter("code = 'dangling_event_object'")
+    log, orders = shipment_log(spark, d), commerce_log(spark, d).o2o
+    line, order = F.split("eid", "-")[2], F.expr("cast(substring(oid, 2) as bigint) % 10")
+    events = log.events.filter(line != "5").withColumn("eid", F.when(line != "6", F.col("eid")))
+    objects = log.objects.filter(order != 0).withColumn("oid", F.when(order != 1, F.col("oid")).otherwise(""))
+    broken = replace(
+        log, events=events.unionByName(log.events.filter(line == "7")), objects=objects.unionByName(log.objects.filter(order == 2)), o2o=orders, event_types=log.event_types.limit(0), object_types=log.object_types.limit(0),
+        changes=log.objects.filter(order == 3).select("oid", "otype", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("changed_field"), F.lit(None).cast("map<string,string>").alias("attrs")),
+    )
+    return validate.semantics(broken)
+
+
+@query("SELECT 'semantic' AS level, 'wrong_type' AS code, CAST(event_id AS VARCHAR) AS subject, 'user integer u' || user_id AS detail FROM events WHERE user_id IS NOT NULL UNION ALL SELECT 'semantic', 'unknown_type', 'colour', '' WHERE (SELECT count(*) FROM events) > 0")
+def validate_attribute_types(spark, d):
+    """Values against declared types: users aren't integers, and no type is called colour."""
+    from dataclasses import replace
+
+    log = activity_log(spark, d)
+    declared = F.array(F.struct(F.lit("user").alias("name"), F.lit("integer").alias("type")), F.struct(F.lit("kind").alias("name"), F.lit("colour").alias("type")))
+    return validate.attribute_types(replace(log, event_types=log.event_types.withColumn("attributes", declared)))
+
+
+_NODE = """to_json(named_struct('number', o_orderkey, 'title', o_orderstatus, 'createdAt', date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss'Z'"), 'author', named_struct('login', concat('c', o_custkey)), 'milestone', named_struct('id', o_orderkey % 3)))"""
+
+
+@query(
+    """WITH m AS (SELECT 'r_issue_' || o_orderkey AS oid, o_orderkey % 3 AS m, * FROM orders), o AS (SELECT oid, 'Issue' AS otype FROM m UNION ALL SELECT DISTINCT 'r_user_c' || o_custkey, 'User' FROM m UNION ALL SELECT DISTINCT 'r', 'Repository' FROM m UNION ALL SELECT DISTINCT 'r_milestone_0', 'Milestone' FROM m)
+SELECT 'object' AS part, oid AS a, otype AS b, '' AS c FROM o
+UNION ALL SELECT 'event', 'IssueOpened', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), oid FROM m
+UNION ALL SELECT 'o2o', oid, 'r', 'contained_in' FROM m UNION ALL SELECT 'o2o', oid, 'r_user_c' || o_custkey, 'created_by' FROM m UNION ALL SELECT 'o2o', oid, 'r_milestone_0', 'belongs_to_milestone' FROM m WHERE m = 0
+UNION ALL SELECT DISTINCT 'o2o', 'r_milestone_0', 'r', 'contained_in' FROM m
+UNION ALL SELECT 'title', oid, o_orderstatus, '' FROM m"""
+)
+def mapped_nodes(spark, d):
+    """Orders as landed issue nodes of which every third names a milestone that is there, the others one that isn't."""
+    issues = table(spark, d, "orders").selectExpr("'r' as repo", "'issue' as kind", f"{_NODE} as node")
+    milestone = issues.limit(1).selectExpr("'r' as repo", "'milestone' as kind", """'{"id": "0", "number": 1}' as node""")
+    log = mappers.assemble(issues.unionByName(milestone))
+    four = lambda df, part, a, b, c: df.select(F.lit(part).alias("part"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col(c) if c else F.lit("")).alias("c"))
+    subject = log.e2o.filter("qualifier = 'subject'").select("eid", "oid")
+    happened = log.events.filter("activity = 'IssueOpened'").join(subject, "eid").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    titles = log.changes.filter("otype = 'Issue'").select("oid", F.col("attrs")["title"].alias("title"))
+    return four(log.objects, "object", "oid", "otype", None).unionByName(four(happened, "event", "activity", "ts", "oid")).unionByName(four(log.o2o, "o2o", "src_oid", "tgt_oid", "qualifier")).unionByName(four(titles, "title", "oid", "title", None))
 
 
 @query("SELECT event_id, 'my_org_repo_event_' || replace(event_type || '_' || strftime(ts, '%H%M%S'), ' ', '_') AS id FROM events")
