@@ -198,6 +198,65 @@ def test_nets(mini):
     assert str(petri.mine({"a", "b"}, {("a", "b"), ("b", "a")}, {"a"}, {"a"})) == "loop(a, b)"
 
 
+def accepts(net, trace):
+    """Whether a net can play a trace from its source to its sink, by search over markings."""
+    ins, outs, label = {}, {}, dict(net.transitions)
+    for a, b in net.arcs:
+        (ins.setdefault(b, []) if b in label else outs.setdefault(a, [])).append(a if b in label else b)
+    start = (("source", 1),)
+    seen, todo = {(0, start)}, [(0, start)]
+    while todo:
+        at, marking = todo.pop()
+        if at == len(trace) and marking == (("sink", 1),):
+            return True
+        have = dict(marking)
+        for t, name in label.items():
+            if all(have.get(p, 0) > 0 for p in ins[t]) and (name is None or (at < len(trace) and trace[at] == name)):
+                after = dict(have)
+                for p in ins[t]:
+                    after[p] -= 1
+                for p in outs[t]:
+                    after[p] = after.get(p, 0) + 1
+                state = (at + (name is not None), tuple(sorted((p, n) for p, n in after.items() if n)))
+                if state not in seen and all(n <= 3 for _, n in state[1]):
+                    seen.add(state)
+                    todo.append(state)
+    return False
+
+
+def test_nets_play_their_logs():
+    """Logs played at random from process trees: the net mined from their directly-follows graph plays every trace."""
+    import random
+
+    rng = random.Random(5)
+
+    def tree(names, depth):
+        if len(names) == 1:
+            return names[0]
+        op, cut = rng.choice(["seq", "xor", "and"]), rng.randint(1, len(names) - 1)
+        return (op, tree(names[:cut], depth + 1), tree(names[cut:], depth + 1))
+
+    def play(t):
+        if isinstance(t, str):
+            return [t]
+        a, b = t[1], t[2]
+        if t[0] == "seq":
+            return play(a) + play(b)
+        if t[0] == "xor":
+            return play(rng.choice([a, b]))
+        x, y, out = play(a), play(b), []
+        while x or y:
+            out.append((x if x and (not y or rng.random() < 0.5) else y).pop(0))
+        return out
+
+    for _ in range(60):
+        t = tree(list("abcdef")[: rng.randint(1, 6)], 0)
+        log = [play(t) for _ in range(300)]
+        edges = {(a, b) for x in log for a, b in zip(x, x[1:])}
+        net = petri.net_of(petri.mine({a for x in log for a in x}, edges, {x[0] for x in log}, {x[-1] for x in log}))
+        assert all(accepts(net, x) for x in set(map(tuple, log))), t
+
+
 def test_tools(mini):
     t = Tools(mini)
     assert len(TOOLS) >= 24 and len(t.call("list_available_tools")["tools"]) == len(TOOLS)
