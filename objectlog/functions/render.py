@@ -28,13 +28,16 @@ def _quoted(text: str) -> str:
 
 
 def dfg_dot(edges: Iterable[tuple[str, str, int]], starts: Iterable[str] = ()) -> str:
-    """A directly-follows graph: widths between 1 and 5 by frequency, start activities in green."""
+    """A directly-follows graph: an edge is as thick as it is frequent beside the most frequent one, start activities have a
+    double line."""
     edges, starts = list(edges), set(starts)
-    names = sorted({x for a, b, _ in edges for x in (a, b)} | starts)
-    mark = lambda n: ', style="rounded,filled", fillcolor=lightgreen' if n in starts else ""
-    body = [f"  {_quoted(n)} [label={_quoted(n)}{mark(n)}];" for n in names]
-    body += [f"  {_quoted(a)} -> {_quoted(b)} [label={_quoted(str(n))}, penwidth={min(5.0, max(1.0, n / 10)):g}];" for a, b, n in edges]
-    return "\n".join(["digraph {", "  rankdir=LR;", "  node [shape=box, style=rounded];", *body, "}"])
+    most = max((n for *_, n in edges), default=1)
+    lines = ["digraph follows {", "  graph [rankdir=TB]"]
+    for name in sorted({x for a, b, _ in edges for x in (a, b)} | starts):
+        lines.append(f"  {_quoted(name)} [shape=ellipse, peripheries={2 if name in starts else 1}]")
+    for a, b, n in edges:
+        lines.append(f"  {_quoted(a)} -> {_quoted(b)} [label={_quoted(str(n))}, penwidth={0.5 + 3.5 * n / most:.2f}]")
+    return "\n".join([*lines, "}"])
 
 
 def petri_dot(net: Net) -> str:

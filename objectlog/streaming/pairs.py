@@ -25,20 +25,20 @@ def stream_pairs(events: DataFrame, late: str = "1 hour", forget_s: int = 30 * 8
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "eid"])
-        last = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples(index=False):
-            if last is not None and (r.ts, r.eid) <= (pd.Timestamp(last[2]), last[0]):
-                continue
-            if last is not None:
-                out.append((*key, *last, r.eid, r.activity, r.ts))
-            last = (r.eid, r.activity, r.ts)
-        if last is not None:
-            state.update((last[0], last[1], pd.Timestamp(last[2]).to_pydatetime()))
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(last[2]).timestamp() * 1000), state.getCurrentWatermarkMs()) + forget_s * 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["otype", "oid", "e1", "src", "t1", "e2", "tgt", "t2"])
+        names = ["eid", "activity", "ts"]
+        rows = pd.concat([b[names] for b in batches])
+        if state.exists:
+            last = pd.DataFrame([state.get], columns=names).astype({"ts": rows["ts"].dtype})
+            rows = rows[(rows["ts"] > last["ts"][0]) | ((rows["ts"] == last["ts"][0]) & (rows["eid"] > last["eid"][0]))]
+            rows = pd.concat([last, rows])
+        rows = rows.sort_values(["ts", "eid"]).drop_duplicates(["ts", "eid"])
+        end = rows.iloc[-1]
+        state.update((end["eid"], end["activity"], end["ts"].to_pydatetime()))
+        state.setTimeoutTimestamp(max(int(end["ts"].timestamp() * 1000), state.getCurrentWatermarkMs()) + forget_s * 1000)
+        if len(rows) > 1:
+            first, second = rows.iloc[:-1].reset_index(drop=True), rows.iloc[1:].reset_index(drop=True)
+            out = pd.concat([first.set_axis(["e1", "src", "t1"], axis=1), second.set_axis(["e2", "tgt", "t2"], axis=1)], axis=1)
+            yield out.assign(otype=key[0], oid=key[1])[["otype", "oid", "e1", "src", "t1", "e2", "tgt", "t2"]]
 
     rows = events.select("otype", "oid", "eid", "activity", "ts").withWatermark("ts", late)
     return rows.groupBy("otype", "oid").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
