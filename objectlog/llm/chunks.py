@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import OUT_ROWS, batches, rows_of
+from .common import OUT_ROWS, batches, lean, rowed, rows_of, slices, text_of, unrowed, with_text
 
 #: Of so many word starts in a row one ends a chunk, which is one in five of all; a chunk of more bytes than this is cut, at
 #: a word if it has one; shorter runs of repeats stay.
@@ -71,53 +72,52 @@ def digests(text: bytes, ends: list[int]) -> list[bytes]:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_key, text_hash, chunks): numbers of the chunks whose digest occurs earlier, of documents that have any.
 
-    ``docs`` has doc_key (long), text_hash (long) and text (binary). Within a task all but the first occurrence of a digest
-    are repeats at once, so a digest that very many documents share leaves a task once.
+    ``docs`` has doc_key (integers or text, null first), text_hash (long) and text (binary). Within a task all but the first
+    occurrence of a digest are repeats at once, so a digest that very many documents share leaves a task once.
     """
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_key", pa.int64()), ("text_hash", pa.int64()), ("chunk", pa.int32()), ("own", pa.list_(pa.int32()))])
+    kind = docs.schema["doc_key"].dataType.simpleString()
 
     def split(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple[int, int, int]] = {}
-        own: dict[tuple[int, int], list[int]] = {}
-        out: list[list] = [[] for _ in schema]
+        first: dict[bytes, tuple] = {}
+        own: dict[tuple, list[int]] = {}
+        schema = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            raw = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
-            keys = list(first.values())
+            raw, keys = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2), list(first.values())
             for at in range(0, len(keys), OUT_ROWS):
-                part = keys[at : at + OUT_ROWS]
-                yield pa.record_batch(
-                    [pa.array(raw[at : at + OUT_ROWS, 0]), pa.array(raw[at : at + OUT_ROWS, 1]), pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.int64()), pa.array([k[2] for k in part], pa.int32()), pa.nulls(len(part), schema.field("own").type)],
-                    schema=schema,
-                )
-            for (doc, h), chunks in own.items():
-                for col, value in zip(out, (None, h ^ doc, doc, h, None, chunks), strict=True):
+                part, two = keys[at : at + OUT_ROWS], raw[at : at + OUT_ROWS]
+                cols = [pa.array([k[1] if k[0] else None for k in part], schema.field("doc_key").type), pa.array([k[2] for k in part], pa.int64()), pa.array([k[3] for k in part], pa.int32())]
+                yield pa.record_batch([pa.array(two[:, 0]), pa.array(two[:, 1]), *cols, pa.nulls(len(part), schema.field("own").type)], schema=schema)
+            out: list[list] = [[] for _ in schema]
+            for (known, doc, h), chunks in own.items():
+                for col, value in zip(out, (None, h, doc if known else None, h, None, chunks), strict=True):
                     col.append(value)
                 yield from batches(out, schema, OUT_ROWS)
             yield from batches(out, schema)
             first.clear(), own.clear()
 
-        for doc, h, text in rows_of(found, ["doc_key", "text_hash", "text"]):
-            if not text:
-                continue
-            for chunk, d in enumerate(digests(text, boundaries(text))):
-                key = (doc, h, chunk)
-                old = first.setdefault(d, key)
-                if old != key:
-                    if key < old:
-                        first[d] = key
-                        old, key = key, old
-                    own.setdefault(key[:2], []).append(key[2])
-            if len(first) > HELD:
-                yield from flush()
-        yield from flush()
-
-    found = docs.select("doc_key", "text_hash", "text").mapInArrow(split, "h1 long, h2 long, doc_key long, text_hash long, chunk int, own array<int>")
+        for batch in found:
+            schema = schema or pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_key", batch.schema.field("doc_key").type), ("text_hash", pa.int64()), ("chunk", pa.int32()), ("own", pa.list_(pa.int32()))])
+            for doc, h, text in rows_of([batch], ["doc_key", "text_hash", "text"]):
+                me = (doc is not None, doc, h)
+                for chunk, d in enumerate(digests(text, boundaries(text)) if text else ()):
+                    key = (*me, chunk)
+                    old = first.setdefault(d, key)
+                    if old != key:
+                        if key < old:
+                            first[d] = key
+                            old, key = key, old
+                        own.setdefault(key[:3], []).append(key[3])
+                if len(first) > HELD:
+                    yield from flush()
+        if schema:
+            yield from flush()
+
+    found = docs.select("doc_key", "text_hash", "text").mapInArrow(lean(split), f"h1 long, h2 long, doc_key {kind}, text_hash long, chunk int, own array<int>")
     key = F.struct("doc_key", "text_hash", "chunk")
-    first = F.min(key).over(Window.partitionBy("h1", "h2"))
-    known = found.withColumn("first", first).filter(F.col("own").isNotNull() | (key > F.col("first")))
-    chunks = F.array_distinct(F.concat(F.flatten(F.collect_list("own")), F.collect_list("chunk")))
-    return known.groupBy("doc_key", "text_hash").agg(chunks.alias("chunks"))
+    known = found.withColumn("first", F.min(key).over(Window.partitionBy("h1", "h2"))).filter(F.col("own").isNotNull() | (key > F.col("first")))
+    # Sets, so that copies of a row add nothing.
+    return known.select("doc_key", "text_hash", F.explode(F.coalesce("own", F.array("chunk"))).alias("chunk")).groupBy("doc_key", "text_hash").agg(F.collect_set("chunk").alias("chunks"))
 
 
 def without(text: bytes, chunks: list[int], least: int) -> tuple[bytes, int, int]:
@@ -137,35 +137,42 @@ def without(text: bytes, chunks: list[int], least: int) -> tuple[bytes, int, int
     return b"".join([*out, text[at:]]), len(ends), runs
 
 
-def substring_dedup(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
-    """All columns of ``docs`` with repeated passages taken out of ``text``, and n_bytes, kept_bytes, n_chunks, n_runs.
+NEW = ["n_bytes", "kept_bytes", "n_chunks", "n_runs"]
 
-    One row for each row. The occurrence that stays is the one of the smallest doc_id (null ids first), then of the smallest
-    text hash and place; passages that repeat within a document leave their first. Runs shorter than ``least`` bytes stay.
-    Rows that agree in id and text are one document and get the same result. Null and empty texts stay as they are.
-    Columns of ``docs`` named as the new ones are replaced.
-    """
-    added = ("n_bytes", "kept_bytes", "n_chunks", "n_runs")
-    names = [c for c in docs.columns if c not in added]
-    whole = docs.select(names)
-    numbered = dict(whole.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
-    key = F.coalesce(F.col("doc_id").cast("long") if numbered else F.xxhash64("doc_id"), F.lit(-(1 << 63)))
-    keyed = whole.withColumns({"doc_key": key, "text_hash": F.xxhash64("text")})
-    found = repeats(keyed.select("doc_key", "text_hash", F.col("text").cast("binary").alias("text")))
-    joined = keyed.join(found, ["doc_key", "text_hash"], "left").select(*names, "chunks")
+
+def deduplicated(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
+    """row (all columns of ``docs``, repeated passages taken out of ``text``), n_bytes, kept_bytes, n_chunks, n_runs: see
+    `substring_dedup`."""
+    kind = docs.schema["doc_id"].dataType.typeName()
+    ordered = "long" if kind in ("long", "integer", "short", "byte") else "string"
+    doc_key, text_hash = F.col("row.doc_id").cast(ordered).alias("doc_key"), F.xxhash64("row.text").alias("text_hash")
+    keyed = rowed(docs).select("row", doc_key, text_hash)
+    found = repeats(keyed.select("doc_key", "text_hash", F.col("row.text").cast("binary").alias("text")))
+    found = found.select(F.col("doc_key").alias("found_key"), F.col("text_hash").alias("found_hash"), "chunks")
+    joined = keyed.join(found, F.col("doc_key").eqNullSafe(F.col("found_key")) & (F.col("text_hash") == F.col("found_hash")), "left").select("row", "chunks")
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            texts, cols = [], ([], [], [], [])
-            for text, chunks in rows_of([batch], ["text", "chunks"]):
-                raw = (text or "").encode()
-                kept, n, runs = without(raw, chunks, least) if chunks else (raw, len(boundaries(raw)), 0)
-                texts.append(text if not runs else kept.decode())
-                for col, value in zip(cols, (len(raw), len(kept), n, runs), strict=True):
-                    col.append(value)
-            new = pa.array(texts, pa.string())
-            yield pa.record_batch([*(new if c == "text" else batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in cols)], names=[*names, *added])
+            for part in slices(batch, "row"):
+                rows, texts, cols = part.column("row"), [], ([], [], [], [])
+                for text, chunks in zip(text_of(rows).to_pylist(), part.column("chunks").to_pylist(), strict=True):
+                    raw = (text or "").encode()
+                    kept, n, runs = without(raw, chunks, least) if chunks else (raw, len(boundaries(raw)), 0)
+                    texts.append(text if not runs else kept.decode())
+                    for col, value in zip(cols, (len(raw), len(kept), n, runs), strict=True):
+                        col.append(value)
+                yield pa.record_batch([with_text(rows, texts) if any(cols[3]) else rows, *(pa.array(c, pa.int64()) for c in cols)], names=["row", *NEW])
 
-    from pyspark.sql.types import LongType, StructField, StructType
+    return joined.mapInArrow(lean(cut), T.StructType([keyed.schema["row"], *(T.StructField(c, T.LongType()) for c in NEW)]))
 
-    return joined.mapInArrow(cut, StructType([*whole.schema.fields, *(StructField(c, LongType()) for c in added)]))
+
+def substring_dedup(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
+    """All columns of ``docs`` with repeated passages taken out of ``text``, and n_bytes, kept_bytes, n_chunks, n_runs.
+
+    One row for each row. The occurrence that stays is the one of the smallest doc_id (by number or by code point; ids of
+    other types go by their text; null ids first), then of the smallest text hash and place; passages that repeat within a
+    document leave their first. Runs shorter than ``least`` bytes stay. Rows that agree in id and text are one document and
+    get the same result. Null and empty texts stay as they are. Columns of ``docs`` may have any name; those named as the new
+    ones are replaced.
+    """
+    return unrowed(deduplicated(docs, least), docs.columns, NEW)

@@ -8,7 +8,7 @@ each run. All phrases are searched backward at once by wavelet ranks; hits walk
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, materialise, rowed, send, slices, text_of, unrowed, with_text
 from .subword import LETTERS
 
 #: Words of text in a shard, words of benchmark items in one search, and the distance of sampled suffix positions.
@@ -216,55 +217,65 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b} for a, b in out]
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, item_words: int = ITEM_WORDS) -> DataFrame:
-    """All columns of ``docs`` and n_words (long), hit_spans (array of word spans [first, last)), hit_items (array of item
-    ids as text, sorted); one row for each row.
+NEW = ["n_words", "hit_spans", "hit_items"]
 
-    A window is ``window`` consecutive words of an item, or all words of a shorter one. Null texts have no words; null and
-    wordless items no windows; a null item id counts as the text ''. Repeated rows are searched once a shard and agree;
-    items that share an id count as one. Columns of ``docs`` named as the new ones are replaced. Items go to the workers
-    in parts of at most ``item_words`` words (an item longer than that is a part of its own), each part searched by a
-    stage of its own after the other, so what is broadcast at once is bounded.
-    """
+
+def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, item_words: int = ITEM_WORDS, last: Callable | None = None) -> DataFrame:
+    """row (all columns of ``docs``), n_words, hit_spans, hit_items: see `find_benchmark`. ``last`` turns batches of them to
+    batches of row alone, in the workers that found them."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).filter(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).filter(F.col("text").isNotNull()).distinct()
+    size = items.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     parts = max(1, -(-size // (item_words * 6)))
-    out = docs.drop("n_words", "hit_spans", "hit_items").withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
+    out = rowed(docs).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
     schema = out.schema
     for part in range(parts):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        phrases = spark.sparkContext.broadcast(Phrases(sorted((r.item, bytes(r.text)) for r in own), window))
+        phrases = send(spark, Phrases(sorted((r.item, bytes(r.text)) for r in own), window))
 
         def search(found: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            from .decontaminate import _merged, hits
-
             for batch in found:
-                texts = batch.column("text").cast(pa.binary())
-                n, spans, items_ = [], batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
+                texts = text_of(batch.column("row")).cast(pa.binary())
                 at = 0
-                while at < batch.num_rows:
-                    own, number, bytes_, rows = {}, [], 0, 0
-                    while at + rows < batch.num_rows and bytes_ < shard_words * 6:
-                        t = texts[at + rows].as_py() or b""
+                while at < batch.num_rows:  # a shard
+                    own, number, bytes_ = {}, [], 0
+                    while at + len(number) < batch.num_rows and bytes_ < shard_words * 6:
+                        t = texts[at + len(number)].as_py() or b""
                         bytes_ += len(t) if t not in own else 0
                         number.append(own.setdefault(t, len(own)))  # copies in a shard are indexed once
-                        rows += 1
-                    got = hits(list(own), phrases.value)
+                    got, shard = hits(list(own), phrases.value), batch.slice(at, len(number))
+                    n, spans, items_ = [got[k][0] for k in number], shard.column("hit_spans").to_pylist(), shard.column("hit_items").to_pylist()
                     for i, k in enumerate(number):
-                        words, s, it = got[k]
-                        n.append(words)
+                        _, s, it = got[k]
                         if s:
-                            spans[at + i] = _merged([(x["first"], x["last"]) for x in spans[at + i]] + s)
-                            items_[at + i] = sorted({*items_[at + i], *it})
-                    at += rows
-                new = {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(spans, batch.schema.field("hit_spans").type), "hit_items": pa.array(items_, batch.schema.field("hit_items").type)}
-                yield pa.record_batch([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
-
-        out = out.mapInArrow(search, schema)
+                            spans[i] = _merged([(x["first"], x["last"]) for x in spans[i]] + s)
+                            items_[i] = sorted({*items_[i], *it})
+                    at += len(number)
+                    new = [pa.array(n, pa.int64()), pa.array(spans, batch.schema.field("hit_spans").type), pa.array(items_, batch.schema.field("hit_items").type)]
+                    yield pa.record_batch([shard.column("row"), *new], names=["row", *NEW])
+
+        if last and part == parts - 1:
+            return out.mapInArrow(lean(lambda found, search=search: last(search(found))), out.select("row").schema)
+        out = out.mapInArrow(lean(search), schema)
+        if part < parts - 1:  # one stage for each part: no task holds the phrases of two
+            out = materialise(out, "benchmark-part")
+            phrases.unpersist()
     return out
 
 
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, item_words: int = ITEM_WORDS) -> DataFrame:
+    """All columns of ``docs`` and n_words (long), hit_spans (array of word spans [first, last)), hit_items (array of item
+    ids as text, sorted); one row for each row.
+
+    A window is ``window`` consecutive words of an item, or all words of a shorter one. Null texts have no words; null and
+    wordless items no windows; a null item id counts as the text ''. Repeated rows are searched once a shard and agree;
+    items that share an id count as one. Columns of ``docs`` named as the new ones are replaced. Items go to the workers
+    in parts of at most ``item_words`` words (an item longer than that is a part of its own); each part is searched by a
+    stage of its own, written before the next one begins, so what is broadcast at once is bounded.
+    """
+    return unrowed(searched(docs, benchmark, window, shard_words, item_words), docs.columns, NEW)
+
+
 def removed(text: str | None, spans: list[dict]) -> str | None:
     """The text without the words of the spans; what stands between them and around them stays once."""
     if not text or not spans:
@@ -282,16 +293,21 @@ def removed(text: str | None, spans: list[dict]) -> str | None:
 
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with every occurrence of a window taken out of ``text``; documents of which no word is left go."""
-    found = find_benchmark(docs, benchmark, window)
-    names = docs.columns
+    """``docs`` with every occurrence of a window taken out of ``text``; documents of which no word is left go.
+
+    Columns of ``docs`` may have any name; rows without an occurrence, those of null and empty texts among them, stay as they
+    are.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("hit_spans").to_pylist()
-            texts = [removed(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
-            keep = pa.array([not s or any(words_of(t.encode())) for t, s in zip(texts, spans, strict=True)])
-            new = pa.array(texts, pa.string())
-            yield pa.record_batch([new if c == "text" else batch.column(c) for c in names], names=names).filter(keep)
-
-    return found.select(*names, "hit_spans").mapInArrow(cut, docs.schema)
+            for part in slices(batch, "row"):
+                spans = part.column("hit_spans").to_pylist()
+                if any(spans):
+                    texts = [removed(t, s) for t, s in zip(text_of(part.column("row")).to_pylist(), spans, strict=True)]
+                    keep = pa.array([not s or any(words_of(t.encode())) for t, s in zip(texts, spans, strict=True)])
+                    yield pa.record_batch([with_text(part.column("row"), texts)], names=["row"]).filter(keep)
+                else:
+                    yield part.select(["row"])
+
+    return searched(docs, benchmark, window, last=cut).select("row.*")

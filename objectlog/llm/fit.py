@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import rows_of
+from .common import lean, rows_of
 
 
 def sparse(dense: np.ndarray) -> tuple[bytes, bytes]:
@@ -27,7 +27,7 @@ def gather(sample: DataFrame, features: Callable[[str], np.ndarray], buckets: in
             yield pa.record_batch([pa.array([str(doc)]), pa.array([target], pa.string() if kind == "string" else pa.int64()), pa.array([at], pa.binary()), pa.array([values], pa.binary())], names=["doc_id", "target", "at", "values"])
 
     # Few partitions hold the sample's rows; spread them, since features cost more than the scan of the other columns.
-    got = sample.select("doc_id", "text", "target").mapInArrow(build, f"doc_id string, target {kind}, at binary, values binary").toArrow()
+    got = sample.select("doc_id", "text", "target").mapInArrow(lean(build), f"doc_id string, target {kind}, at binary, values binary").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "at", "values", "target")), strict=True))
     wide = np.uint16 if buckets <= 1 << 16 else np.uint32
     return [r[3] for r in rows], [(np.frombuffer(r[1], wide), np.frombuffer(r[2], np.float32)) for r in rows]

@@ -13,14 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, rows_of, share
+from .common import bounded, fold, lean, rowed, send, slices, text_of, unrowed
 from .fit import Adam, gather, minibatches, sigmoid
 from .subword import WordCache, ngram_ids, plain_words, word_sums
 
 BUCKETS, SIZES, GAIN = 1 << 14, (1, 2, 3, 4), 8.0
-#: Documents that training reads of each language at most; every language is learned.
-PER_LANGUAGE = 400
+#: Documents that training reads of each language at most, and bytes of them; every language is learned.
+PER_LANGUAGE, MOST_BYTES = 400, 4 << 20
 #: Pairs of languages that the draws of codewords compare in all, and (document, language) pairs decoded at once.
 DRAWN, AT_ONCE = 300_000_000, 512_000
 #: A document is ambiguous when the best language leads the second by less than this.
@@ -86,43 +87,45 @@ def decode(margins: np.ndarray, code: np.ndarray, say: np.ndarray) -> tuple[np.n
     return best, top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
 
 
-def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 3, held: int = 1) -> DataFrame:
-    """All columns of ``docs`` and held_out, lang_pred, score (0 to 1), ambiguous; one row for each row.
+NEW = ["held_out", "lang_pred", "score", "ambiguous"]
 
-    Learns from doc_id, text and non-null lang only, of rows whose crc32(doc_id as text) mod ``parts`` is not ``held``:
-    about ``per_language`` documents of each language, of which there may be any number. A null text, one without a letter, and any
-    text when nothing could be learned is ``und`` with score 0 and ambiguous. Whole texts; repeated rows agree. Columns of
-    ``docs`` that are named as the new ones are replaced.
-    """
+
+def identified(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 3, held: int = 1) -> DataFrame:
+    """row (all columns of ``docs``), held_out, lang_pred, score, ambiguous: see `language_id`."""
     spark = docs.sparkSession
-    marked = docs.select("doc_id", "text", F.col("lang").cast("string").alias("target")).filter(F.col("target").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), parts) != held))
-    sizes = marked.groupBy("target").count()
-    # One row for each language is broadcast, as is its codeword later; a language's share of its rows is drawn by the hash of their ids.
-    drawn = marked.join(F.broadcast(sizes), "target").filter(share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 5) * F.col("count") < per_language)
-    names, code, w, b, say = train(*gather(drawn, features, BUCKETS))
-    model = spark.sparkContext.broadcast((names, code, w, b, say))
+    marked = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), parts) != held)).select("doc_id", "text", F.col("lang").cast("string").alias("target"))
+    languages = marked.agg(F.approx_count_distinct("target").alias("n")).first().n
+    names, code, w, b, say = train(*gather(bounded(marked, per_language, languages, 5, MOST_BYTES), features, BUCKETS))
+    model = send(spark, (names, code, w.astype(np.float32), b, say))
 
     def predict(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, code, w, b, say = model.value
         cache = WordCache(lambda words: word_sums(words, w, SIZES, True))
         for batch in found:
-            lang, score, unsure = [], [], []
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.column("text").slice(at, 512).to_pylist()
+            for part in slices(batch, "row"):
+                texts = text_of(part.column("row")).to_pylist()
                 lettered = [bool(t) and bool(names) and next((True for c in t if c.isalpha()), False) for t in texts]
                 bags = [plain_words(t) if ok else [] for t, ok in zip(texts, lettered, strict=True)]
                 cache.add(bags)
-                margins = np.stack([(cache.of(bag).mean(0) if bag else np.zeros(code.shape[1])) + b for bag in bags])
+                margins = np.stack([cache.mean(bag, code.shape[1]) + b for bag in bags])
                 best, p, lead = decode(margins, code, say)
-                for i, ok in enumerate(lettered):
-                    lang.append(names[best[i]] if ok else UNKNOWN)
-                    score.append(float(p[i]) if ok else 0.0)
-                    unsure.append(not ok or bool(lead[i] < LEAD))
-            kept = [n for n in batch.schema.names if n not in ("lang_pred", "score", "ambiguous")]
-            yield pa.record_batch([*(batch.column(n) for n in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=[*kept, "lang_pred", "score", "ambiguous"])
-
-    texts = docs.drop("lang_pred", "score", "ambiguous", "held_out").withColumn("held_out", fold(F.col("doc_id"), parts) == held)
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*texts.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
-    return texts.mapInArrow(predict, schema)
+                lang = pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, lettered, strict=True)], pa.string())
+                sure = pa.array(np.where(lettered, p, 0.0))
+                unsure = pa.array([not ok or bool(x < LEAD) for x, ok in zip(lead, lettered, strict=True)], pa.bool_())
+                yield pa.record_batch([part.column("row"), part.column("held_out"), lang, sure, unsure], names=["row", *NEW])
+
+    rows = rowed(docs).select("row", (fold(F.col("row.doc_id"), parts) == held).alias("held_out"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    return rows.mapInArrow(lean(predict), schema)
+
+
+def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 3, held: int = 1) -> DataFrame:
+    """All columns of ``docs`` and held_out, lang_pred, score (0 to 1), ambiguous; one row for each row.
+
+    Learns from doc_id, text and non-null lang only, of rows whose crc32(doc_id as text) mod ``parts`` is not ``held`` (a
+    null id counts as the empty text): at most ``per_language`` documents of each language, of which there may be any number;
+    rows that share an id are drawn one by one. A null text, one without a letter, and any text when nothing could be
+    learned is ``und`` with score 0 and ambiguous. Whole texts; repeated rows agree; of languages that are equally near the
+    first by name is taken, and the document is ambiguous. Columns of ``docs`` named as the new ones are replaced.
+    """
+    return unrowed(identified(docs, per_language, parts, held), docs.columns, NEW)

@@ -55,20 +55,32 @@ def word_sums(words: list[bytes], weights: np.ndarray, sizes: tuple[int, ...], m
 class WordCache:
     """Scores of words, computed once for each distinct word a worker meets; emptied when it holds ``most`` words."""
 
-    def __init__(self, score: Callable[[list[bytes]], np.ndarray], most: int = 400_000):
+    def __init__(self, score: Callable[[list[bytes]], np.ndarray], most: int = 200_000):
         self.score, self.most = score, most
         self.index: dict[bytes, int] = {}
-        self.rows = np.empty((0, 0))
+        self.rows = np.empty((0, 1), np.float32)
 
     def add(self, bags: list[list[bytes]]) -> None:
         """Make sure that every word of the bags has its row."""
         if len(self.index) > self.most:
-            self.index, self.rows = {}, np.empty((0, 0))
+            self.index, self.rows = {}, np.empty((0, self.rows.shape[1]), np.float32)
         new = list({w for bag in bags for w in bag} - self.index.keys())
         if new:
-            rows = self.score(new)
-            self.rows = np.concatenate([self.rows, rows]) if len(self.rows) else rows
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            rows = self.score(new).astype(np.float32)
+            first, end = len(self.index), len(self.index) + len(new)
+            if end > len(self.rows):  # room for more, so that it is seldom copied
+                grown = np.empty((max(2 * len(self.rows), end), rows.shape[1]), np.float32)
+                grown[:first] = self.rows[:first] if first else 0
+                self.rows = grown
+            self.rows[first:end] = rows
+            self.index.update(zip(new, range(first, end), strict=True))
 
     def of(self, bag: list[bytes]) -> np.ndarray:
         return self.rows[np.fromiter(map(self.index.__getitem__, bag), np.int64, len(bag))]
+
+    def mean(self, bag: list[bytes], columns: int, step: int = 100_000) -> np.ndarray:
+        """The mean of the words' rows (0 without words), summed in parts so that a long text takes no more than they do."""
+        total = np.zeros(columns)
+        for at in range(0, len(bag), step):
+            total += self.of(bag[at : at + step]).sum(0, dtype=float)
+        return total / max(len(bag), 1)
