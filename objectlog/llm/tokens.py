@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OUT_ROWS, batches, row_keys, rows_of
+from .common import OUT_ROWS, batches, cleaned, lean, row_key, rows_of, send
 
 #: Pre-tokens whose counts are sent to every worker (the most frequent ones); all others are joined by a shuffle.
 FREQUENT = 200_000
@@ -66,15 +66,16 @@ def frequent_words(texts: DataFrame, split: Callable[[bytes], list[bytes]], most
                     yield from often()
         yield from often()
 
-    counted = texts.select("text").mapInArrow(local, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()
+    counted = texts.select("text").mapInArrow(lean(local), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    with cleaned(texts.sparkSession):
+        return counted.orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column(0).to_pylist()
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    Null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows are counted each; other columns
-    of ``docs`` take no part. No begin, end or added special tokens; special strings inside texts as the library's
+    Null and empty texts have 0 bytes and 0 tokens; a null id stays null; each of repeated rows has its row; other columns
+    of ``docs`` take no part. Rows are told apart by 128-bit hashes of id and text, so a rerun task agrees with the lost one. No begin, end or added special tokens; special strings inside texts as the library's
     default has them; no truncation. The frequent pre-tokens (a bounded number) are counted on the driver and sent to
     the workers; the others meet in one shuffle by pre-token, where each distinct one is counted once.
     """
@@ -82,17 +83,16 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     words = frequent_words(texts, bytes.split, frequent)
-    known = spark.sparkContext.broadcast(dict(zip(words, piece_counter(tokenizer)(words) if words else [], strict=True)))
-    schema = f"word binary, row long, n long, doc_id {id_type}, n_bytes long"
+    known = send(spark, dict(zip(words, piece_counter(tokenizer)(words) if words else [], strict=True)))
 
     def split(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, with what its frequent words amount to, and one for each other word of it."""
-        get, keys, out, kind = known.value.get, row_keys(), [[], [], [], [], []], None
+        get, out, kind = known.value.get, [[] for _ in range(6)], None
+        word, h1, h2, n, ids, sizes = out
         for batch in found:
-            kind = kind or pa.schema([("word", pa.binary()), ("row", pa.int64()), ("n", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64())])
+            kind = kind or pa.schema([("word", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("n_bytes", pa.int64())])
             for doc, text in rows_of([batch], ["doc_id", "text"]):
-                row, total = next(keys), 0
-                word, number, n = out[0], out[1], out[2]
+                key, total = row_key(doc, text), 0
                 before = len(word)
                 for w, k in Counter(text.split()).items() if text else ():
                     if (p := get(w)) is None:
@@ -100,12 +100,13 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                         n.append(k)
                     else:
                         total += p * k
-                word.append(b" %d" % row)  # no pre-token has a space
+                word.append(b" %d %d" % key)  # no pre-token has a space
                 n.append(total)
                 more = len(word) - before
-                number.extend([row] * more)
-                out[3].extend([None] * (more - 1) + [doc])
-                out[4].extend([None] * (more - 1) + [len(text or b"")])
+                h1.extend([key[0]] * more)
+                h2.extend([key[1]] * more)
+                ids.extend([None] * (more - 1) + [doc])
+                sizes.extend([None] * (more - 1) + [len(text or b"")])
                 yield from batches(out, kind, OUT_ROWS)
         if kind:
             yield from batches(out, kind)
@@ -116,14 +117,16 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in found:
             coded = batch.column("word").dictionary_encode()
             distinct = coded.dictionary.to_pylist()
-            if len(cache) > 1_000_000:
+            if len(cache) > HELD:
                 cache.clear()
             if new := [w for w in distinct if w not in cache and not w.startswith(b" ")]:
                 cache.update(zip(new, count(new), strict=True))
             pieces = np.fromiter((1 if w.startswith(b" ") else cache[w] for w in distinct), np.int64, len(distinct))
             tokens = pieces[coded.indices.to_numpy()] * batch.column("n").to_numpy()
-            yield pa.record_batch([batch.column("row"), pa.array(tokens), batch.column("doc_id"), batch.column("n_bytes")], names=["row", "n", "doc_id", "n_bytes"])
+            yield pa.record_batch([batch.column("h1"), batch.column("h2"), pa.array(tokens), batch.column("doc_id"), batch.column("n_bytes")], names=["h1", "h2", "n", "doc_id", "n_bytes"])
 
-    parts = texts.mapInArrow(split, schema).repartition("word").mapInArrow(resolve, f"row long, n long, doc_id {id_type}, n_bytes long")
-    whole = parts.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
-    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    parts = texts.mapInArrow(lean(split), f"word binary, h1 long, h2 long, n long, doc_id {id_type}, n_bytes long").repartition("word").mapInArrow(lean(resolve), f"h1 long, h2 long, n long, doc_id {id_type}, n_bytes long")
+    # Rows that agree in id and text share a key; each of them has brought the same sum.
+    whole = parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count("n_bytes").alias("rows"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
+    tokens = F.expr("n div rows")
+    return whole.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("again")).drop("again")
