@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, share
+from .common import fold, labelled, lean, send, slices
 from .fit import Adam, gather, minibatches, sigmoid
 from .subword import WordCache, ngram_ids, word_sums
 
 BUCKETS, SIZES, GAIN = 1 << 15, (2, 3, 4), 10.0
-#: Rated rows that training reads of each grade, at most, and grades at most.
-PER_GRADE, GRADES = 1_500, 16
+#: Rated documents that training reads of each grade, at most, and bytes of them; every grade is learned.
+PER_GRADE, MOST_BYTES = 1_500, 16 << 20
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -81,44 +81,39 @@ def quality(docs: DataFrame, ratings: DataFrame, at_least: int = 1, threshold: f
     """One row for each row of ``docs``: doc_id, held_out, expected_grade, tail_prob (P(grade >= at_least)), top_prob
     (P(grade = highest)), selected (tail_prob >= threshold).
 
-    ``ratings`` holds doc_id and an integer grade; null ids and grades are left out. Training reads at most ``per_grade``
-    rows of each of at most 16 grades (the most frequent ones), none held out. Null and empty texts are scored by their
+    ``ratings`` holds doc_id and an integer grade; null ids and grades are left out, repeated ratings count once. Training
+    reads at most ``per_grade`` documents of each grade and ``MOST_BYTES`` bytes of their texts, none held out; there may be
+    any number of grades. Null and empty texts are scored by their
     manner alone. With one grade only that grade is certain; with no rating at all the numbers are null and nothing is
     selected. Repeated rows agree; other columns take no part.
     """
     spark = docs.sparkSession
     marked = ratings.select("doc_id", F.col("grade").cast("long").alias("target")).filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & (fold(F.col("doc_id"), parts) != held))
-    found = [r.target for r in marked.groupBy("target").count().orderBy(F.desc("count"), "target").limit(GRADES).collect()]
-    chosen = marked.limit(0)
-    for g in found:
-        chosen = chosen.unionByName(marked.filter(F.col("target") == g).orderBy(share(F.col("doc_id"), 9), "doc_id").limit(per_grade))
-    # At most 16 * per_grade rows: a bound that no input moves.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    grades, weights, cuts = train(*gather(sample, features, BUCKETS))
-    model = spark.sparkContext.broadcast((grades, weights, cuts))
+    grades_in = marked.agg(F.approx_count_distinct("target").alias("n")).first().n
+    grades, weights, cuts = train(*gather(labelled(marked, docs, per_grade, grades_in, 9, MOST_BYTES), features, BUCKETS))
+    model = send(spark, (grades, weights.astype(np.float32), cuts))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades, weights, cuts = model.value
         cache = WordCache(lambda words: word_sums(words, weights, SIZES, True) * GAIN)
         for batch in batches:
-            f = []
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.column("text").slice(at, 512).to_pylist()
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
                 words = [raw_words(t) for t in texts]
                 bags = [list(set(w)) for w in words]
                 cache.add(bags)
-                f += [(float(np.sort(cache.of(bag)[:, 0]).mean()) if bag else 0.0) + float(weights[style(t, w), 0].sum()) for t, w, bag in zip(texts, words, bags, strict=True)]
-            n = batch.num_rows
-            if grades:
-                above = np.concatenate([np.ones((n, 1)), 1 - sigmoid(cuts[None] - np.array(f)[:, None])], axis=1) if len(cuts) else np.ones((n, 1))
-                p = above - np.concatenate([above[:, 1:], np.zeros((n, 1))], axis=1)
-                tail = above[:, np.searchsorted(grades, at_least)] if at_least <= grades[-1] else np.zeros(n)
-                out = [pa.array(p @ np.array(grades, float)), pa.array(tail), pa.array(above[:, -1])]
-            else:
-                out = [pa.nulls(n, pa.float64())] * 3
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), *out], names=["doc_id", "held_out", "expected_grade", "tail_prob", "top_prob"])
+                f = [(float(np.sort(cache.of(bag)[:, 0]).mean(dtype=float)) if bag else 0.0) + float(weights[style(t, w), 0].sum(dtype=float)) for t, w, bag in zip(texts, words, bags, strict=True)]
+                n = part.num_rows
+                if grades:
+                    above = np.concatenate([np.ones((n, 1)), 1 - sigmoid(cuts[None] - np.array(f)[:, None])], axis=1) if len(cuts) else np.ones((n, 1))
+                    p = above - np.concatenate([above[:, 1:], np.zeros((n, 1))], axis=1)
+                    tail = above[:, np.searchsorted(grades, at_least)] if at_least <= grades[-1] else np.zeros(n)
+                    out = [pa.array(p @ np.array(grades, float)), pa.array(tail), pa.array(above[:, -1])]
+                else:
+                    out = [pa.nulls(n, pa.float64())] * 3
+                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), *out], names=["doc_id", "held_out", "expected_grade", "tail_prob", "top_prob"])
 
     texts = docs.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "text")
-    scored = texts.mapInArrow(score, f"doc_id {id_type}, held_out boolean, expected_grade double, tail_prob double, top_prob double")
+    scored = texts.mapInArrow(lean(score), f"doc_id {id_type}, held_out boolean, expected_grade double, tail_prob double, top_prob double")
     return scored.withColumn("selected", F.coalesce(F.col("tail_prob") >= threshold, F.lit(False)))

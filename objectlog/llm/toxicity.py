@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, rows_of, share
+from .common import fold, labelled, lean, send, slices
 from .fit import Adam, gather, minibatches, sigmoid
 from .subword import WordCache, ngram_ids, plain_words, word_sums
 
 BUCKETS, SIZES, DIM = 1 << 15, (3, 4, 5), 8
 #: Gain on the averages, which toxic words share with hundreds of others.
 GAIN = 30.0
-#: Labelled rows that training reads of each class, at most; the rows with the least hash of their id.
-PER_CLASS = 2_000
+#: Labelled documents that training reads of each class, at most, and bytes of them; those with the least hash of id and text.
+PER_CLASS, MOST_BYTES = 2_000, 16 << 20
 
 
 def features(text: str | None) -> np.ndarray:
@@ -54,32 +54,28 @@ def train(targets: list[int], rows: list[tuple[np.ndarray, np.ndarray]], steps:
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, parts: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    ``labels`` holds doc_id and toxic (0 or 1; other values and null ids are left out). Training reads at most ``per_class``
-    rows of each class, none of those held out (crc32(doc_id as text) mod ``parts`` = ``held``). Only texts are scored:
-    whole texts; null, empty and wordless ones get the bias's score. Repeated rows get the same score; other columns
-    take no part. With labels of one class only, or none, every score is that class's.
+    ``labels`` holds doc_id and toxic (0 or 1; other values and null ids are left out; repeated labels count once, a document
+    with both is learned as both). Training reads at most ``per_class`` documents of each class and ``MOST_BYTES`` bytes of
+    their texts, whatever ids and labels repeat, and none of those held out (crc32(doc_id as text) mod ``parts`` = ``held``).
+    Only texts are scored: whole texts; null, empty and wordless ones get the bias's score. Repeated rows get the same
+    score; other columns take no part. With labels of one class only, or none, every score is that class's.
     """
     spark = docs.sparkSession
     marked = labels.select("doc_id", F.col("toxic").cast("long").alias("target")).filter(F.col("doc_id").isNotNull() & F.col("target").isin(0, 1) & (fold(F.col("doc_id"), parts) != held))
-    draw = [share(F.col("doc_id"), 3), "doc_id"]
-    chosen = marked.filter("target = 0").orderBy(*draw).limit(per_class).unionByName(marked.filter("target = 1").orderBy(*draw).limit(per_class))
-    # At most 2 * per_class rows: a bound that no input moves.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    weights, bias = train(*gather(sample, features, BUCKETS))
-    model = spark.sparkContext.broadcast((weights, bias))
+    weights, bias = train(*gather(labelled(marked, docs, per_class, 2, 3, MOST_BYTES), features, BUCKETS))
+    model = send(spark, (weights.astype(np.float32), bias))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = model.value
         cache = WordCache(lambda words: word_sums(words, w, SIZES, True))
         for batch in found:
-            out = []
-            for at in range(0, batch.num_rows, 512):
-                bags = [list(set(plain_words(t))) for t in batch.column("text").slice(at, 512).to_pylist()]
+            for part in slices(batch, "text"):
+                bags = [list(set(plain_words(t))) for t in part.column("text").to_pylist()]
                 cache.add(bags)
                 # Sorted, so that sums don't depend on the order of a set.
-                out += [float(np.sort(cache.of(bag)[:, 0]).mean()) if bag else 0.0 for bag in bags]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(sigmoid(np.array(out) + b))], names=["doc_id", "held_out", "score"])
+                out = [float(np.sort(cache.of(bag)[:, 0]).mean(dtype=float)) if bag else 0.0 for bag in bags]
+                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(sigmoid(np.array(out) + b))], names=["doc_id", "held_out", "score"])
 
     texts = docs.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "text")
-    return texts.mapInArrow(score, f"doc_id {id_type}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return texts.mapInArrow(lean(score), f"doc_id {id_type}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
