@@ -86,10 +86,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     that agree in id and text are interchangeable. Other columns take no part.
     """
     spark = docs.sparkSession
-    sized = materialise(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), F.xxhash64("text").alias("row_hash")),
-        "mix-sizes",
-    )
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    each = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("row_hash"))
+    # Rows that agree are numbered, so that their blocks differ and don't depend on the order of rows.
+    again = each.groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("n"))
+    sized = materialise(again.select("doc_id", "source", "size", "row_hash", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     goal = targets([(r.source, r["size"]) for r in totals], weights, most)
     plan = spark.createDataFrame(
@@ -97,15 +98,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         "source string, source_size long, target double, rate double, blocks int",
     )
     whole = F.floor(F.col("rate") + 1e-9)
-    small = F.broadcast(plan) if len(totals) <= 10_000 else plan
+    small = F.broadcast(plan) if len(totals) <= 10_000 else plan  # one row for each source; the same rows either way
     docs_of = sized.join(small, sized.source.eqNullSafe(plan.source)).select(
-        "doc_id", sized.source, "size", "row_hash", "source_size", "target", whole.cast("long").alias("base"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), "blocks"
+        "doc_id", sized.source, "size", "row_hash", "copy", "source_size", "target", whole.cast("long").alias("base"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), "blocks"
     )
     schema = docs_of.drop("blocks").schema
 
     def run(last: bool, level: int):
         def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["row_hash", "doc_id", "size"], na_position="last", kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["row_hash", "doc_id", "size", "copy"], na_position="last", kind="stable").reset_index(drop=True)
             p, x = pdf["p"].tolist(), pdf["size"].astype(float).tolist()
             start = zlib.crc32(repr((seed, level, pdf["source"].iloc[0], pdf["row_hash"].iloc[0], len(p))).encode())
             flight(p, x, start)
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         return fly
 
     settled, level, most_blocks = [], 0, max((r.blocks for r in plan.collect()), default=1)
-    todo = docs_of.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "row_hash"), F.col("blocks")).cast("int"))
+    todo = docs_of.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "row_hash", "copy"), F.col("blocks")).cast("int"))
     while True:
         last = most_blocks == 1
         flown = todo.groupBy("source", "block").applyInPandas(run(last, level), schema)
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         flown = materialise(flown, f"mix-level{level}")
         settled.append(flown.filter("p <= 0 or p >= 1"))
         level, most_blocks = level + 1, max(1, -(-2 * most_blocks // block))
-        todo = flown.filter("p > 0 and p < 1").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "row_hash"), F.lit(most_blocks)).cast("int"))
+        todo = flown.filter("p > 0 and p < 1").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "row_hash", "copy"), F.lit(most_blocks)).cast("int"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)

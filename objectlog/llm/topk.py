@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Candidates in a block of the index, queries that one task runs against a block, and queries added at once.
 BLOCK, QUERIES, AT_ONCE = 8_192, 1_024, 64
 SCALE = 256
@@ -149,7 +151,8 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "
     floor(256 * component)) of its k best rows other than itself, ties to the smaller id; fewer if there are fewer.
 
     Rows with a null id, a null vector or a null or non-finite component take no part. Only vectors of equal length are
-    compared; empty ones all score 0. Rows that share a query's id count as its own row; repeated candidates count each.
+    compared; empty ones all score 0. Rows that share a query's id count as its own row, and an id with several vectors has
+    one ranking over the scores of all of them; repeated candidates count each.
     Vectors too large for sums of 64 bits are compared in integers of any size; a score that no long holds is ranked all
     the same and given as null. Queries meet candidates in blocks: (queries / 1024) x (rows / 8192) tasks, none of which
     holds more than one block of each.
@@ -160,7 +163,9 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "
     small = F.forall("v", lambda x: F.abs(x) < F.lit(float(SAFE)) / SCALE / F.sqrt(F.greatest("dim", F.lit(1))))
     # Of v and wide, one is null.
     v = v.select("vec_id", F.when(small, F.transform("v", lambda x: F.floor(x * SCALE).cast("int"))).alias("v"), F.when(~small, F.col("v")).alias("wide"), "dim")
-    asked = v.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    # No result holds more than k copies of a row: of rows that agree no more take part, so that none fills a block.
+    v = materialise(v.groupBy("vec_id", "v", "wide", "dim").agg(F.least(F.count("*"), F.lit(k)).alias("n")), "vectors").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    asked = v.filter((F.pmod("vec_id", F.lit(every)) == 0) & (F.col("copy") == 1))
     n = v.agg(F.count("*").alias("n"), F.sum((F.pmod("vec_id", F.lit(every)) == 0).cast("long")).alias("q")).first()
     c_blocks, q_blocks = max(1, -(-n.n // block)), max(1, -(-(n.q or 0) // queries))
     spread = lambda seed, count, *cols: F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(count)).cast("int")
