@@ -2,12 +2,14 @@
 
 Documents become sets of word shingles; equal sets are one class. All sets are ordered alike, rare shingles first. Two sets
 that link share at least l shingles within their l-prefixes, so a longer prefix may ask for more matches. Each class takes
-the l with the least estimated cost from the frequencies of its prefix, emits that prefix, and a pair is verified only if it
-shares min(l, l') emitted shingles.
-
-Classes that share emitted shingles, directly or over others, form a cell. Cells are compared in blocks of a few dozen
-classes: first all against a few hubs; what hangs together after that is not compared again, only classes outside a
-cell's largest group meet the others. A large group of near copies so costs about as much as its size, not its square.
+the l with the least estimated cost from the frequencies of its prefix and emits that prefix as postings. Of a prefix, a
+first part is indexed: a pair meets only in shingles that the smaller set has in that part, which is shorter since the
+larger set must share as much of itself. A pair with min(l, l') such shingles is a candidate, and is verified by its sets.
+
+Pairs come from the posting lists in two rounds. First each list pairs its classes with one hub, the same for most lists of
+a group of near copies: the class whose prefix holds most frequent shingles, since edits leave shingles that no other has. What verified links join to one hub isn't compared again: the second round pairs, in each list, the
+classes outside its largest group with all others of other groups, in blocks. A group of near copies so costs about as much
+as its size, and no list of it is paired out.
 """
 
 from __future__ import annotations
@@ -15,23 +17,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OUT_ROWS, materialise
+from .common import OUT_ROWS, cleaned, discard, lean, materialise, rowed, send, slices
 from .components import components
 
 #: Shingles whose frequency orders the prefixes (the most frequent ones); all others come first, in the order of their hash.
 FREQUENT = 200_000
-#: l lies between the larger of LEAST_MATCHES and LEAST_SHARE percent of a set and twice that (a set that must share fewer
-#: shingles takes that many). Sets that merely hold the same passage share few of so many.
-LEAST_MATCHES, LEAST_SHARE = 8, 8
-#: What verifying a candidate costs against reading one posting, and how often a shingle outside the frequent ones occurs.
-VERIFY, RARE = 4.0, 0.25
-#: Classes in a block, and hubs of a cell, on average.
-BLOCK, HUBS = 32, 16
+#: One in how many of a task's single shingles is counted, for so many.
+CHANCE = 16
+#: Cost, against passing on a posting, of a pair that meets in a list, and of verifying one for each shingle of the set; and
+#: how many others hold a shingle outside the frequent ones.
+MEET, VERIFY, RARE = 1.0, 0.1, 0.25
+#: l is at least this many percent of a set, so that its longest lists, of which one less than l is out, make no candidates.
+LEAST_SHARE = 6
+#: Postings of a frequent shingle in a lane, and of any list in a block.
+LANE, LIST = 10_000, 2_048
+#: What may stand for l and for a set's size in a posting.
+MOST, SIZES = (1 << 24) - 1, (1 << 32) - 1
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -45,7 +50,7 @@ class Shingler:
         from xxhash import xxh3_64_intdigest
 
         known, out = self.known, []
-        if len(known) > 1_000_000:
+        if len(known) > 400_000:
             known.clear()
         for text in texts:
             words = text.lower().split() if text else []
@@ -68,106 +73,77 @@ class Shingler:
         return out
 
 
-def _texts(batch: pa.RecordBatch, step: int = 512) -> Iterator[tuple[int, list]]:
-    for at in range(0, batch.num_rows, step):
-        yield at, batch.column("text").slice(at, step).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[list]:
+    for part in slices(batch, "text"):
+        yield part.column("text").to_pylist()
 
 
 def frequent_shingles(texts: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and document counts of the most frequent shingles, at most ``most``. Counts leave a task from two
-    on and are sums over all documents; they only order the prefixes, so a rare shingle that is left out costs nothing."""
+    """Hashes (sorted) and document counts of the most frequent shingles, at most ``most``.
+
+    Counts leave a part of a task's documents as they are from two on; a shingle that is there once leaves with the chance of
+    one in ``CHANCE`` and counts so many times. So shingles that many tasks see once are found, at little to shuffle. Counts
+    order the prefixes and choose l; the links are the same whatever they are.
+    """
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(width), [], 0
 
         def flush() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(3, size / (5 * most))
-            return pa.record_batch([pa.array(h[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
+            often = n >= max(2, size / (5 * most))
+            mixed = (h ^ h[0] ^ np.uint64(size)) * _P[0]
+            drawn = ~often & (((mixed ^ mixed >> np.uint64(32)) * _P[1]) >> np.uint64(32) < np.uint64((1 << 32) // CHANCE))
+            return pa.record_batch([pa.array(np.concatenate([h[often], h[drawn]]).view(np.int64)), pa.array(np.concatenate([n[often], n[drawn] * CHANCE]))], names=["shingle", "n"])
 
         for batch in found:
-            for _, texts_ in _texts(batch):
+            for texts_ in _texts(batch):
                 own = shingler(texts_)
                 held += own
                 size += sum(map(len, own))
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
 
-    got = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    counted = texts.mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    with cleaned(texts.sparkSession):
+        got = counted.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
     h = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], got.column("n").to_numpy()[order]
 
 
-def prefix(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
-    """The adaptive prefix of a set and its l."""
+def prefix(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The adaptive prefix of a set, how often its shingles occur (0: not a frequent one), and l."""
     n = len(own)
-    need = -(-percent * n // 100)  # a linked set shares at least so many
+    least = -(-percent * n // 100)  # a linked set of this size or a smaller one shares at least so many
+    most = -(-2 * percent * n // (100 + percent))  # and one of this size or a larger one so many
     times = np.zeros(n, np.int64)
     if len(frequent[0]):
         at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
         times = np.where(frequent[0][at] == own, frequent[1][at], 0)
     order = np.lexsort((own, times))
-    least = max(LEAST_MATCHES, -(-LEAST_SHARE * n // 100))
-    reach = np.arange(min(least, need), min(2 * least, need) + 1)
-    cost = np.cumsum(times[order] + RARE)[n - need + reach - 1] * (1 + VERIFY / reach)
-    matches = int(reach[np.argmin(cost)])
-    return own[order[: n - need + matches]], matches
-
-
-def linked_pairs(a: list[tuple[bytes, np.ndarray]], b: list[tuple[bytes, np.ndarray]] | None, frequent: tuple, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that connect all that is linked, among ``a`` (b None) or between ``a`` and ``b``: pairs of few sets."""
-    rows = a if b is None else a + b
-    if len(rows) < 2 or (b is not None and not (a and b)):
-        return []
-    size = np.array([len(s) for _, s in rows])
-    pre = [prefix(s, frequent, percent) for _, s in rows]
-    reach = np.array([m for _, m in pre])
-
-    def shared(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
-        """Common elements of the sets ``own`` with all sets."""
-        flat = np.concatenate(sets)
-        _, code, n = np.unique(flat, return_inverse=True, return_counts=True)
-        common = np.flatnonzero(n[code] > 1)
-        names, code = np.unique(code[common], return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[common]
-        out = np.zeros((len(own), len(sets)), np.float32)
-        for at in range(0, len(names), 16_384):
-            part = (code >= at) & (code < at + 16_384)
-            m = np.zeros((len(sets), min(16_384, len(names) - at)), np.float32)
-            m[row[part], code[part] - at] = 1
-            out += m[own] @ m.T
-        return np.rint(out).astype(np.int64)
-
-    candidate = shared([p for p, _ in pre], np.arange(len(rows))) >= np.minimum.outer(reach, reach)
-    candidate &= 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
-    candidate &= np.tri(len(rows), k=-1, dtype=bool)
-    if b is not None:
-        candidate[: len(a)] = False
-        candidate[:, len(a) :] = False
-    later = np.flatnonzero(candidate.any(1))
-    if not len(later):
-        return []
-    both = shared([s for _, s in rows], later)
-    verified = candidate[later] & (100 * both >= percent * (size[later][:, None] + size[None] - both))
-    parent = list(range(len(rows)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(verified), strict=True):
-        x, y = root(int(later[i])), root(int(j))
-        if x != y:
-            parent[x] = y
-            out.append((rows[int(later[i])][0], rows[int(j)][0]))
-    return out
+    low = -(-LEAST_SHARE * n // 100)
+    reach = np.arange(low, max(low, min(least, n // 6, MOST)) + 1)
+    meets = np.cumsum(times[order] + RARE)[n - most + reach - 1]
+    l = int(reach[np.argmin(reach + meets * (MEET + VERIFY * n / reach))])  # noqa: E741
+    order = order[: n - least + l]
+    return own[order], times[order], l
+
+
+def verified(found: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b) of (a, b, set_a, set_b) whose sets link."""
+    for batch in found:
+        for at in range(0, batch.num_rows, 1_024):
+            part = batch.slice(at, 1_024)
+            keep = []
+            for x, y in zip(part.column("set_a"), part.column("set_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _number(node: Column) -> Column:
@@ -175,15 +151,45 @@ def _number(node: Column) -> Column:
     return F.conv(F.hex(F.concat(*[F.substring(node, k, 1) for k in range(8, 0, -1)])), 16, -10).cast("long")
 
 
-def _bounds(classes: DataFrame, percent: int) -> DataFrame:
-    """(number, least): how many emitted shingles a class shares at least with any set that it could link with."""
-    # A linked set has percent of this one's size at least, and its l grows with its size.
-    size = F.ceil(F.col("n") * percent / 100)
-    least = F.least(F.ceil(size * percent / 100), F.greatest(F.lit(LEAST_MATCHES), F.ceil(size * LEAST_SHARE / 100)))
-    return classes.select("number", least.alias("least"))
+def _size(meta: str) -> Column:
+    return F.shiftright(meta, 24).bitwiseAND(F.lit(SIZES))
+
+
+def _l(meta: str) -> Column:
+    return F.col(meta).bitwiseAND(F.lit(MOST))
+
+
+def _least(size: Column, percent: int) -> Column:
+    """How many shingles sets must share that hold ``size`` in all."""
+    return F.ceil(size * percent / (100 + percent))
+
 
+def _can_link(percent: int, before: str) -> Column:
+    """Whether a pair that meets in a shingle at pos_a and pos_b of its prefixes can link: by the sizes, and since it shares no
+    more than ``before`` (_a and _b) says of what stands before these places, and what stands from there on."""
+    a, b = _size("meta_a"), _size("meta_b")
+    most = F.least(f"{before}_a", f"{before}_b") + F.least(a - F.col("pos_a"), b - F.col("pos_b"))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (most >= _least(a + b, percent))
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block: int = BLOCK, hubs: int = HUBS) -> DataFrame:
+
+def _low(size: Column) -> Column:
+    """The least l of a set of this size; of a larger one it is no less."""
+    return F.ceil(size * LEAST_SHARE / 100)
+
+
+def _candidates(met: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of rows (a, meta_a, b, meta_b) that share enough shingles. ``whole`` says that a is the smaller set, and
+    that the shingles in which it meets others are all there but for its least l - 1 longest lists."""
+    size = lambda k: _size(f"meta_{k}")
+    n = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("meta_a").alias("meta_a"), F.max("meta_b").alias("meta_b"))
+    enough = F.least(_l("meta_a"), _l("meta_b"))
+    if whole:
+        after = F.greatest(_least(2 * size("a"), percent) - _l("meta_a"), F.ceil(size("b") * percent / 100) - _l("meta_b"))
+        enough = F.greatest(enough, _least(size("a") + size("b"), percent) - after) - (_low(size("a")) - 1)
+    return n.filter(F.col("n") >= enough).select("a", "b")
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, lane: int = LANE, block: int = LIST) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id (the smallest doc_id over links), root
     (names the component, null without shingles).
 
@@ -195,114 +201,115 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    often = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), width, frequent))
+    often = send(spark, frequent_shingles(texts.select("text"), width, frequent))
 
     def emit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and the emitted prefix of each class once a task."""
+        """A row for each document, and the postings of each class about once a task."""
         from xxhash import xxh3_128_digest
 
         shingler, seen = Shingler(width), set()
         for batch in found:
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
-            names, n, pre, at_node = [], [], [], []
-            for _, texts_ in _texts(batch):
+            names, n, new, waiting = [], [], [], 0
+            for texts_ in _texts(batch):
                 for own in shingler(texts_):
                     name = xxh3_128_digest(own.tobytes())
                     names.append(name if len(own) else None)
                     n.append(len(own))
                     if len(own) and name not in seen:
                         seen.add(name)
-                        p, _ = prefix(own, often.value, percent)
-                        pre.append(p)
-                        at_node.append((name, len(p)))
-                if len(seen) > 500_000:
+                        new.append((name, len(own), *prefix(own, often.value, percent)))
+                        waiting += len(new[-1][2])
+                if len(seen) > 200_000:
                     seen.clear()
-                if sum(k for _, k in at_node) > OUT_ROWS:
-                    yield postings(pre, at_node, ids.type)
-                    pre, at_node = [], []
-            if at_node:
-                yield postings(pre, at_node, ids.type)
+                if waiting > OUT_ROWS:
+                    yield postings(new, ids.type)
+                    new, waiting = [], 0
+            if new:
+                yield postings(new, ids.type)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([none, none, pa.array(names, pa.binary()), ids, hashes, pa.array(n, pa.int64())], names=["shingle", "number", "node", "doc_id", "text_hash", "n"])
-
-    def postings(pre: list[np.ndarray], at_node: list[tuple[bytes, int]], id_kind: pa.DataType) -> pa.RecordBatch:
-        """Rows (shingle, number); a number is half of a class's name, enough to find candidates by."""
-        h = np.concatenate(pre).view(np.int64)
-        numbers = np.repeat(np.frombuffer(b"".join(x[:8] for x, _ in at_node), np.int64), [k for _, k in at_node])
-        return pa.record_batch([pa.array(h), pa.array(numbers), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), id_kind), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64())], names=["shingle", "number", "node", "doc_id", "text_hash", "n"])
-
-    rows = texts.mapInArrow(emit, f"shingle long, number long, node binary, doc_id {id_type}, text_hash long, n long")
+            yield pa.record_batch([none, pa.nulls(len(n), pa.int32()), none, none, pa.nulls(len(n), pa.int32()), pa.array(names, pa.binary()), ids, hashes, pa.array(n, pa.int64())], names=columns)
+
+    def postings(new: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
+        """Rows (shingle, lane, number, meta, pos): a number is half of a class's name, enough to find candidates by; meta packs
+        how much of the prefix is frequent, the size of the set, and its l; pos is the place in the prefix. Very frequent
+        shingles are dealt over lanes from 1 by number; others are in lane 0."""
+        h = np.concatenate([x[2] for x in new]).view(np.int64)
+        each = [len(x[2]) for x in new]
+        numbers = np.repeat(np.frombuffer(b"".join(x[0][:8] for x in new), np.int64), each)
+        pos = np.arange(len(h)) - np.repeat(np.cumsum(each) - each, each)
+        meta = np.repeat([int(127 * (x[3] > 1).mean()) << 56 | x[1] << 24 | x[4] for x in new], each)
+        many = np.concatenate([x[3] for x in new]).astype(np.uint64) // np.uint64(lane)
+        lanes = np.where(many > 0, numbers.view(np.uint64) % (many + np.uint64(1)) + np.uint64(1), 0).astype(np.int32)
+        return pa.record_batch([pa.array(h), pa.array(lanes), pa.array(numbers), pa.array(meta), pa.array(pos, pa.int32()), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), id_kind), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64())], names=columns)
+
+    columns = ["shingle", "lane", "number", "meta", "pos", "node", "doc_id", "text_hash", "n"]
+    rows = texts.mapInArrow(lean(emit), f"shingle long, lane int, number long, meta long, pos int, node binary, doc_id {id_type}, text_hash long, n long")
     # One shuffle by shingle finds the shared ones; rows of documents go along under keys of their own.
-    over = Window.partitionBy(F.coalesce("shingle", F.xxhash64("doc_id", "text_hash")), F.isnull("shingle"))
-    kept = materialise(
-        rows.withColumns({"low": F.when(F.col("shingle").isNotNull(), F.min("number").over(over)), "high": F.when(F.col("shingle").isNotNull(), F.max("number").over(over))}).filter("shingle is null or low <> high").drop("low", "high"),
-        "near-rows",
-    )
+    over = Window.partitionBy(F.coalesce("shingle", F.xxhash64("doc_id", "text_hash")), F.coalesce("lane", F.lit(-1)))
+    shared = (F.min("number").over(over) != F.max("number").over(over)) | (F.col("lane") > 0)
+    kept = materialise(rows.withColumn("shared", F.isnull("shingle") | shared).filter("shared").drop("shared"), "near-rows")
     own = kept.filter("shingle is null").select("doc_id", "text_hash", "n", "node")
-    classes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"))
-    numbered = classes.withColumn("number", _number(F.col("node")))
-    bounds = _bounds(classes.withColumn("number", _number(F.col("node"))).groupBy("number").agg(F.min("n").alias("n")), percent)
-    # Linked sets share `least` emitted shingles or more. Without the least - 1 most frequent ones of each set, the rarest that
-    # they share stays in both; what only many sets hold, like a passage, no longer makes candidates.
-    posted = kept.filter("shingle is not null").select("shingle", "number").distinct()
-    posted = posted.withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).join(bounds, "number")
-    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("times"), F.desc("shingle")))
-    over = Window.partitionBy("shingle")
-    rare = posted.withColumn("rank", rank).filter(F.col("rank") >= F.col("least")).select("shingle", "number")
-    stars = rare.withColumns({"low": F.min("number").over(over), "high": F.max("number").over(over)}).filter("low <> high")
-    numbered = classes.withColumn("number", _number(F.col("node")))
-    cells = materialise(components(stars.select(F.col("number").alias("a"), F.col("low").alias("b"))), "near-cells").withColumnRenamed("node", "number")
-    cells = cells.join(cells.groupBy("root").agg(F.count("*").alias("size")), "root")
+    classes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("row"))
+    numbered = classes.select("node", "row", _number(F.col("node")).alias("number"))
+    over = Window.partitionBy("shingle", "lane")
+    posted = kept.filter("shingle is not null").select("shingle", "lane", "number", "meta", "pos").withColumn("hub", F.max(F.struct(F.shiftright("meta", 56).alias("shared"), "number", "meta", "pos")).over(over)).dropDuplicates(["shingle", "lane", "number"])
 
     def sets_of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in found:
-            sets = [s.tobytes() for _, t in _texts(batch) for s in shingler(t)]
-            yield pa.record_batch([batch.column("node"), batch.column("cell"), batch.column("size"), pa.array(sets, pa.binary())], names=["node", "cell", "size", "set"])
-
-    wanted = cells.join(numbered, "number").select("node", F.col("root").alias("cell"), "size", F.col("row.doc_id").alias("want_id"), F.col("row.text_hash").alias("want_hash"))
-    match = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash"))
-    found = texts.join(wanted, match).select("node", "cell", "size", "text").mapInArrow(sets_of, "node binary, cell long, size long, set binary")
-    sized = materialise(found, "near-sets")  # a class once for each of its repeated rows, which agree in id and text
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = lambda k: list({bytes(n): np.frombuffer(s, np.uint64) for n, s, x in zip(pdf["node"], pdf["set"], pdf["side"], strict=True) if x == k}.items())
-        a, b = side(0), side(1)
-        if pdf["alone"].iloc[0]:
-            return pd.DataFrame(linked_pairs(a, None, often.value, percent), columns=["a", "b"])
-        return pd.DataFrame(linked_pairs(a, b, often.value, percent), columns=["a", "b"])
-
-    number = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "node"), count).cast("int")
-    runs = lambda df: df.groupBy("cell", "one", "two").applyInPandas(compare, "a binary, b binary")
-    all_of = lambda n: F.sequence(F.lit(0), n - 1)
-
-    # First all against hubs: small cells whole, of a large one each block with the hubs and the hubs among themselves.
-    small = sized.filter(F.col("size") <= 2 * block).select("cell", "node", "set", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"), F.lit(True).alias("alone"))
-    large = sized.filter(F.col("size") > 2 * block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    hub = large.filter(number(1, F.ceil(F.col("size") / hubs)) == 0)
-    rest = large.filter(number(1, F.ceil(F.col("size") / hubs)) != 0)
-    at_hubs = (
-        rest.select("cell", "node", "set", F.lit(-1).alias("one"), number(2, F.col("blocks")).alias("two"), F.lit(0).alias("side"), F.lit(False).alias("alone"))
-        .unionByName(hub.select("cell", "node", "set", F.lit(-1).alias("one"), F.explode(all_of(F.col("blocks"))).alias("two"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-        .unionByName(hub.select("cell", "node", "set", F.lit(-2).alias("one"), F.lit(-2).alias("two"), F.lit(0).alias("side"), F.lit(True).alias("alone")))
-    )
-    links = materialise(runs(small.unionByName(at_hubs)), "near-links")
-
-    # Then, in large cells, classes outside the largest group against each other and against that group.
-    if large.limit(1).count():
-        group = components(links)
-        grouped = large.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        count = grouped.groupBy("cell", "root").agg(F.count("*").alias("n"))
-        main = count.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("in_main"))
-        split = grouped.join(main, "cell").withColumn("out", F.col("root") != F.col("main")).withColumn("left", F.col("size") - F.col("in_main"))
-        split = split.withColumn("outs", F.ceil(F.col("left") / block).cast("int")).withColumn("ins", F.ceil(F.col("in_main") / block).cast("int")).filter("outs > 0")
-        outside = split.filter("out").withColumn("own", number(3, F.col("outs")))
-        inside = split.filter("not out").withColumn("own", number(4, F.col("ins")))
-        each = outside.withColumn("other", F.explode(all_of(F.col("outs"))))
-        among = each.select("cell", "node", "set", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"))
-        meet = outside.withColumn("other", F.explode(all_of(F.col("ins")))).select("cell", "node", "set", (-F.col("own") - 1).alias("one"), F.col("other").alias("two"), F.lit(0).alias("side"), F.lit(False).alias("alone"))
-        meet = meet.unionByName(inside.withColumn("other", F.explode(all_of(F.col("outs")))).select("cell", "node", "set", (-F.col("other") - 1).alias("one"), F.col("own").alias("two"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-        links = links.unionByName(materialise(runs(among.unionByName(meet)), "near-links"))
+            for part in slices(batch, "text"):
+                sets = [s.tobytes() for s in shingler(part.column("text").to_pylist())]
+                yield pa.record_batch([part.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs of numbers (a, b) that link, as pairs of names."""
+        pairs = materialise(pairs.select("a", "b"), "near-pairs")
+        wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        rows_ = numbered.join(wanted, numbered.number == wanted.a, "left_semi").select("node", F.col("row.doc_id").alias("want_id"), F.col("row.text_hash").alias("want_hash"))
+        found = texts.join(rows_, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash"))).select("node", "text").dropDuplicates(["node"])
+        sets = materialise(found.mapInArrow(lean(sets_of), "node binary, set binary"), "near-sets")
+        side = lambda k: sets.select(_number(F.col("node")).alias(k), F.col("node").alias(f"node_{k}"), F.col("set").alias(f"set_{k}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "set_a", "set_b")
+        links = materialise(both.mapInArrow(lean(lambda found: verified(found, percent)), "a binary, b binary"), "near-links")
+        discard(pairs, sets)
+        return links
+
+    # Round one: a list's classes with its lane's hub, and the lanes' hubs with the first of them.
+    posted = materialise(posted, "near-posted")
+    hubs = posted.filter("number = hub.number").withColumn("top", F.max("hub").over(Window.partitionBy("shingle")))
+    spokes = posted.select("hub", "number", "meta", "pos").unionByName(hubs.select(F.col("top").alias("hub"), "number", "meta", "pos")).filter("number <> hub.number")
+    spokes = spokes.select(F.col("hub.number").alias("a"), F.col("hub.meta").alias("meta_a"), F.col("hub.pos").alias("pos_a"), F.col("number").alias("b"), F.col("meta").alias("meta_b"), F.col("pos").alias("pos_b"))
+    first = links_of(_candidates(spokes.filter(_can_link(percent, "pos")), percent, False))
+
+    # Round two: what isn't joined to the same hub by now.
+    to = first.select(_number(F.col("b")).alias("number"), _number(F.col("a")).alias("up")).groupBy("number").agg(F.min("up").alias("up"))
+    for _ in range(2):
+        to = to.join(to.select(F.col("number").alias("up"), F.col("up").alias("further")), "up", "left").select("number", F.coalesce("further", "up").alias("up"))
+    # What a class shares with others before a shingle that both have in their prefixes is among its postings.
+    rank = (F.row_number().over(Window.partitionBy("number").orderBy("pos")) - 1).alias("rank")
+    ranked = posted.select("shingle", "number", "meta", "pos", rank)
+    grouped = ranked.join(to, "number", "left").select("shingle", "number", "meta", "pos", "rank", F.coalesce("up", "number").alias("group"))
+    lists = grouped.groupBy("shingle", "group").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+    split = grouped.join(lists.filter("groups > 1").select("shingle", "main", F.col("n").alias("length"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "shingle")
+    # As the smaller set a class needs its least l indexed postings in such lists at least, and meets others in the shorter ones
+    # of them; as the larger set it needs as many of any kind as a set of the least size that it can link with.
+    size, of = _size("meta"), Window.partitionBy("number")
+    indexed = (F.col("pos") < size - _least(2 * size, percent) + _l("meta")).alias("indexed")
+    split = split.select("*", indexed).withColumns({"inside": F.sum(F.col("indexed").cast("int")).over(of), "postings": F.count("*").over(of)})
+    split = split.withColumn("place", F.row_number().over(Window.partitionBy("number", "indexed").orderBy(F.desc("length"), F.desc("shingle"))))
+    split = split.withColumn("use", F.col("indexed") & (F.col("inside") >= _low(size)) & (F.col("place") >= _low(size)))
+    split = materialise(split.filter(F.col("use") | (F.col("postings") >= _low(F.ceil(size * percent / 100)))).drop("indexed", "inside", "postings", "place", "length"), "near-split")
+    side = lambda k: [F.col("number").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("meta", "pos", "rank", "use", "group")]]
+    left = split.filter("group <> main").select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *side("x"))
+    right = split.select("shingle", F.pmod("number", "blocks").cast("int").alias("part"), *side("y"), "main")
+    met = left.join(right, ["shingle", "part"]).filter((F.col("use_x") | F.col("use_y")) & (F.col("group_x") != F.col("group_y")) & ((F.col("group_y") == F.col("main")) | (F.col("x") < F.col("y"))))
+    # Of each pair the smaller set comes first.
+    turn = F.struct(_size("meta_x"), F.col("x")) > F.struct(_size("meta_y"), F.col("y"))
+    met = met.select(*[F.when(turn, F.col(f"{c}{k}")).otherwise(F.col(f"{c}{j}")).alias(f"{c}{m}") for c in ("", "meta_", "pos_", "rank_", "use_") for m, j, k in (("a", "x", "y"), ("b", "y", "x"))])
+    met = met.filter(F.col("use_a") & _can_link(percent, "rank"))
+    links = first.unionByName(links_of(_candidates(met, percent, True)))
+    discard(posted, split)
 
     group = components(links)
     labelled = group.join(classes.select("node", "least"), "node")
@@ -314,12 +321,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest doc_id (null ids only if there is no other).
 
-    Texts without shingles are groups of their own; rows that agree in id and text count as one.
+    Texts without shingles are groups of their own; rows that agree in id and text count as one, of which any may stay.
+    Ids may be of any type that has an order, other columns of any name.
     """
-    found = jaccard_components(docs, width, percent)
+    found = jaccard_components(docs.select("doc_id", "text"), width, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     kept = found.filter("n_shingles > 0").groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
     kept = kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "text_hash"))
-    key = lambda: [F.col("doc_id").isNull().alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("text_hash").alias("k2")]
-    keyed = docs.withColumn("text_hash", F.xxhash64("text")).select(*docs.columns, *key())
-    return keyed.join(kept.select(*key()), ["k0", "k1", "k2"], "left_semi").dropDuplicates(["k0", "k1", "k2"]).select(*docs.columns)
+    key = lambda id_, text_hash: [id_.isNull().alias("k0"), F.coalesce(id_.cast("string"), F.lit("")).alias("k1"), text_hash.alias("k2")]
+    keyed = rowed(docs).select("row", *key(F.col("row.doc_id"), F.xxhash64("row.text")))
+    kept = kept.select(*key(F.col("doc_id"), F.col("text_hash")))
+    return keyed.join(kept, ["k0", "k1", "k2"], "left_semi").dropDuplicates(["k0", "k1", "k2"]).select("row.*")
