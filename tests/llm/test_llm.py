@@ -73,7 +73,7 @@ def test_lattice_is_a_sum_over_segmentations():
     words = [b"a", b"abba", "aéb".encode(), b"", b"ab" * 40]
     got, uses, _ = model.words(words, np.ones(5))
     assert np.allclose(got[:4], [math.log(brute("▁" + w.decode())) for w in words[:4]])
-    assert np.isfinite(got).all() and np.isclose(model.words([b"a"], np.ones(1))[1].sum(), (0.1 * 1 + 0.01 * 2) / 0.11)
+    assert np.isfinite(got).all() and np.isclose(model.words([b"ab" * 300])[0][0], model._long("▁" + "ab" * 300, None, None, None)) and np.isclose(model.words([b"a"], np.ones(1))[1].sum(), (0.1 * 1 + 0.01 * 2) / 0.11)
 
 
 def test_lm_scores(docs, empty, texts):
@@ -157,7 +157,7 @@ def test_jaccard_components(docs, empty, texts):
 
 
 def test_jaccard_in_a_large_group(spark):
-    """Hundreds of copies with edits around the threshold, so that hubs, blocks and the second round all take part."""
+    """Hundreds of copies with edits around the threshold, so that hubs, lanes, blocks and the second round all take part."""
     rng = np.random.default_rng(4)
     base = [f"w{x}" for x in rng.integers(0, 10_000, 120)]
     rows = []
@@ -166,7 +166,7 @@ def test_jaccard_in_a_large_group(spark):
         for k in rng.integers(0, len(words), int(rng.integers(0, 6))):
             words[k] = f"x{rng.integers(0, 50)}"
         rows.append((i, " ".join(words)))
-    got = near.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=16, hubs=4)
+    got = near.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=16, lane=30)
     same(got, ("doc_id", "n_shingles", "component_id"), jaccard_brute(rows, 4, 85))
 
 
