@@ -25,7 +25,7 @@ from .common import OUT_ROWS, cleaned, discard, lean, materialise, rowed, send,
 from .components import components
 
 #: Shingles whose frequency orders the prefixes (the most frequent ones); all others come first, in the order of their hash.
-FREQUENT = 200_000
+FREQUENT = 500_000
 #: One in how many of a task's single shingles is counted, for so many.
 CHANCE = 16
 #: Cost, against passing on a posting, of a pair that meets in a list, and of verifying one for each shingle of the set; and
@@ -82,8 +82,8 @@ def frequent_shingles(texts: DataFrame, width: int, most: int = FREQUENT) -> tup
     """Hashes (sorted) and document counts of the most frequent shingles, at most ``most``.
 
     Counts leave a part of a task's documents as they are from two on; a shingle that is there once leaves with the chance of
-    one in ``CHANCE`` and counts so many times. So shingles that many tasks see once are found, at little to shuffle. Counts
-    order the prefixes and choose l; the links are the same whatever they are.
+    one in ``CHANCE`` and counts so many times, if that happens twice. So shingles that many tasks see once are found, at
+    little to shuffle. Counts order the prefixes and choose l; the links are the same whatever they are.
     """
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def frequent_shingles(texts: DataFrame, width: int, most: int = FREQUENT) -> tup
             often = n >= max(2, size / (5 * most))
             mixed = (h ^ h[0] ^ np.uint64(size)) * _P[0]
             drawn = ~often & (((mixed ^ mixed >> np.uint64(32)) * _P[1]) >> np.uint64(32) < np.uint64((1 << 32) // CHANCE))
-            return pa.record_batch([pa.array(np.concatenate([h[often], h[drawn]]).view(np.int64)), pa.array(np.concatenate([n[often], n[drawn] * CHANCE]))], names=["shingle", "n"])
+            return pa.record_batch([pa.array(np.concatenate([h[often], h[drawn]]).view(np.int64)), pa.array(np.concatenate([n[often], n[drawn] * CHANCE])), pa.array(np.repeat([True, False], [often.sum(), drawn.sum()]))], names=["shingle", "n", "sure"])
 
         for batch in found:
             for texts_ in _texts(batch):
@@ -107,9 +107,10 @@ def frequent_shingles(texts: DataFrame, width: int, most: int = FREQUENT) -> tup
         if size:
             yield flush()
 
-    counted = texts.mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(lean(count), "shingle long, n long, sure boolean").groupBy("shingle").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"), F.count("*").alias("parts"))
     with cleaned(texts.sparkSession):
-        got = counted.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+        # One draw alone tells nothing: most shingles are there once.
+        got = counted.filter("sure or parts > 1").select("shingle", "n").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
     h = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], got.column("n").to_numpy()[order]
