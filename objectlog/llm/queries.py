@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chunks, decontaminate, langid, lm, mixing, near, quality, sharding, tokens, topk, toxicity
+from . import align, chunks, decontaminate, dialogue, langid, lm, mixing, near, quality, sharding, tokens, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,7 +77,13 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), text_of_groups=False)[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_benchmark_decontamination, op3_toxicity, op4_source_mixing, op5_language_id, op6_quality_classifier, op7_ngram_jaccard_join, op8_lm_scoring, op9_exact_top_k, op10_substring_dedup, op11_sharding, op12_cross_tokenizer_alignment)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of all conversations after their damage; every original conv_id has its row."""
+    found = table(spark, sf_dir, "conversations")
+    return dialogue.repair_report(dialogue.damage(found), found)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_benchmark_decontamination, op3_toxicity, op4_source_mixing, op5_language_id, op6_quality_classifier, op7_ngram_jaccard_join, op8_lm_scoring, op9_exact_top_k, op10_substring_dedup, op11_sharding, op12_cross_tokenizer_alignment, op13_conversation_repair)}
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
