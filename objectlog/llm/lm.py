@@ -228,7 +228,8 @@ def lm_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     ``base_score`` the add-one word model's. Repeated rows are scored and counted each; other columns take no part.
     Word counts are exact over all rows, kept as a table that grows with the vocabulary and is only joined, never
     broadcast; ``frequent`` words (a bounded number) go to the workers with their scores, which keeps hot words out of the
-    join. Long words, such as sentences of scripts without spaces, are joined by digest and scored where they stand. With
+    join. Long words, such as sentences of scripts without spaces, go by digest, the frequent ones among them too, and are
+    scored where they stand. With
     no training rows at all, N and V are 0 and the prior weights score. Rows are told apart by 128-bit hashes of id and
     text, so a rerun task agrees with the lost one.
     """
@@ -302,9 +303,10 @@ def lm_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
         both[used.column("piece").to_numpy()] = used.column("uses").to_numpy()
         model = model.refitted(both[:-256], both[-256:], ends)
 
-    hot = words_only.filter("short").orderBy(F.desc("c"), "word").limit(frequent).toArrow()
-    hot_words = hot.column("word").to_pylist()
-    known = send(spark, (model, dict(zip(hot_words, zip(hot.column("c").to_pylist(), model.words(hot_words)[0].tolist(), strict=True), strict=True))))
+    # Of a long word only its digest and its count are sent; it is scored where it stands.
+    hot = words_only.select("word", "c", "short").orderBy(F.desc("c"), "word").limit(frequent).toArrow().to_pydict()
+    scores = iter(model.words([w for w, short in zip(hot["word"], hot["short"], strict=True) if short])[0].tolist())
+    known = send(spark, (model, {w: (c, next(scores) if short else None) for w, c, short in zip(hot["word"], hot["c"], hot["short"], strict=True)}))
     floor, log10 = tokens + distinct + 1, math.log(10)
     end_score = model.end_logp / log10
 
@@ -337,14 +339,15 @@ def lm_scores(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
                     held_bytes += sum(map(len, far))
                 for w, k in bag.items():
                     n += k
+                    if len(w) > LONG:
+                        score += k * long_scores[w]
+                        w = key_of(w)
                     if (there := get(w)) is not None:
                         n_known += k * (there[0] > 0)
                         base += k * math.log10((there[0] + 1) / floor)
-                        score += k * there[1] / log10
+                        if there[1] is not None:
+                            score += k * there[1] / log10
                         continue
-                    if len(w) > LONG:
-                        score += k * long_scores[w]
-                        w = key_of(w)
                     word.append(w)
                     tf.append(k)
                 word.append(b" %d %d" % key)
