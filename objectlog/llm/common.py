@@ -135,14 +135,22 @@ def _drawn(rows: DataFrame, per_target: int, targets: int) -> DataFrame:
 
 def labelled(marks: DataFrame, docs: DataFrame, per_target: int, targets: int, seed: int, most_bytes: int) -> DataFrame:
     """A bounded sample (doc_id, text, target) of documents by ``marks`` (doc_id, target), which may repeat: at most
-    ``per_target`` ids of each target, joined to ``docs``, and `bounded` again, since ids of documents may repeat too."""
-    rows = _drawn(marks.distinct().withColumn("draw", share(seed, F.col("doc_id").cast("string"))), per_target, targets)
+    ``per_target`` ids of each target among those that ``docs`` has, joined to it, and `bounded` again, since ids of documents
+    may repeat too. Labels of other documents take no part, however many there are."""
+    there = marks.distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = _drawn(there.withColumn("draw", share(seed, F.col("doc_id").cast("string"))), per_target, targets)
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("draw", "doc_id"))).filter(F.col("rank") <= per_target)
     chosen = ranked.select("doc_id", "target")
     few = F.broadcast(chosen) if targets * per_target <= 200_000 else chosen
     return bounded(docs.select("doc_id", "text").join(few, "doc_id"), per_target, targets, seed, most_bytes)
 
 
+def portion(per_target: int, most_bytes: int, targets: int, of: int) -> tuple[int, int]:
+    """``per_target`` and ``most_bytes`` for each of so many targets, lowered where they would be more than ``of`` targets' in all
+    (one row of each target stays)."""
+    return max(1, min(per_target, per_target * of // max(targets, 1))), max(1, min(most_bytes, most_bytes * of // max(targets, 1)))
+
+
 def bounded(rows: DataFrame, per_target: int, targets: int, seed: int, most_bytes: int) -> DataFrame:
     """At most ``per_target`` of the rows (doc_id, text, target) of each of about ``targets`` targets, and of those as many as
     hold ``most_bytes`` bytes of text (but one at least): those of the least hash of id and text, very long ones last. Rows

@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, fold, lean, rowed, send, slices, text_of, unrowed
+from .common import bounded, fold, lean, portion, rowed, send, slices, text_of, unrowed
 from .fit import Adam, gather, minibatches, sigmoid
 from .subword import WordCache, ngram_ids, plain_words, word_sums
 
 BUCKETS, SIZES, GAIN = 1 << 14, (1, 2, 3, 4), 8.0
-#: Documents that training reads of each language at most, and bytes of them; every language is learned.
-PER_LANGUAGE, MOST_BYTES = 400, 4 << 20
+#: Documents that training reads of each language at most, and bytes of them; every language is learned. In all it reads as
+#: much as that of so many languages, so that more of them make more rows of features only beyond one document of each.
+PER_LANGUAGE, MOST_BYTES, LANGUAGES = 400, 4 << 20, 10
 #: Pairs of languages that the draws of codewords compare in all, and (document, language) pairs decoded at once.
 DRAWN, AT_ONCE = 300_000_000, 512_000
 #: A document is ambiguous when the best language leads the second by less than this.
@@ -95,7 +96,8 @@ def identified(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 3
     spark = docs.sparkSession
     marked = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), parts) != held)).select("doc_id", "text", F.col("lang").cast("string").alias("target"))
     languages = marked.agg(F.approx_count_distinct("target").alias("n")).first().n
-    names, code, w, b, say = train(*gather(bounded(marked, per_language, languages, 5, MOST_BYTES), features, BUCKETS))
+    most, most_bytes = portion(per_language, MOST_BYTES, languages, LANGUAGES)
+    names, code, w, b, say = train(*gather(bounded(marked, most, languages, 5, most_bytes), features, BUCKETS))
     model = send(spark, (names, code, w.astype(np.float32), b, say))
 
     def predict(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,8 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int =
     """All columns of ``docs`` and held_out, lang_pred, score (0 to 1), ambiguous; one row for each row.
 
     Learns from doc_id, text and non-null lang only, of rows whose crc32(doc_id as text) mod ``parts`` is not ``held`` (a
-    null id counts as the empty text): at most ``per_language`` documents of each language, of which there may be any number;
+    null id counts as the empty text): at most ``per_language`` documents of each language, of which there may be any number
+    (beyond ``LANGUAGES`` of them fewer documents of each, one at least);
     rows that share an id are drawn one by one. A null text, one without a letter, and any text when nothing could be
     learned is ``und`` with score 0 and ambiguous. Whole texts; repeated rows agree; of languages that are equally near the
     first by name is taken, and the document is ambiguous. Columns of ``docs`` named as the new ones are replaced.

@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled, lean, send, slices
+from .common import fold, labelled, lean, portion, send, slices
 from .fit import Adam, gather, minibatches, sigmoid
 from .subword import WordCache, ngram_ids, word_sums
 
 BUCKETS, SIZES, GAIN = 1 << 15, (2, 3, 4), 10.0
-#: Rated documents that training reads of each grade, at most, and bytes of them; every grade is learned.
-PER_GRADE, MOST_BYTES = 1_500, 16 << 20
+#: Rated documents that training reads of each grade, at most, and bytes of them; every grade is learned. In all it reads as
+#: much as that of so many grades, but one document of each.
+PER_GRADE, MOST_BYTES, GRADES = 1_500, 16 << 20, 4
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -83,14 +84,15 @@ def quality(docs: DataFrame, ratings: DataFrame, at_least: int = 1, threshold: f
 
     ``ratings`` holds doc_id and an integer grade; null ids and grades are left out, repeated ratings count once. Training
     reads at most ``per_grade`` documents of each grade and ``MOST_BYTES`` bytes of their texts, none held out; there may be
-    any number of grades. Null and empty texts are scored by their
+    any number of grades (beyond ``GRADES`` of them fewer documents of each). Null and empty texts are scored by their
     manner alone. With one grade only that grade is certain; with no rating at all the numbers are null and nothing is
     selected. Repeated rows agree; other columns take no part.
     """
     spark = docs.sparkSession
     marked = ratings.select("doc_id", F.col("grade").cast("long").alias("target")).filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & (fold(F.col("doc_id"), parts) != held))
     grades_in = marked.agg(F.approx_count_distinct("target").alias("n")).first().n
-    grades, weights, cuts = train(*gather(labelled(marked, docs, per_grade, grades_in, 9, MOST_BYTES), features, BUCKETS))
+    most, most_bytes = portion(per_grade, MOST_BYTES, grades_in, GRADES)
+    grades, weights, cuts = train(*gather(labelled(marked, docs, most, grades_in, 9, most_bytes), features, BUCKETS))
     model = send(spark, (grades, weights.astype(np.float32), cuts))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
