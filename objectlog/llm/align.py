@@ -28,7 +28,7 @@ from .common import batches, cleaned, lean, materialise, rows_of
 #: Bytes of a dense block of counts; documents and links of a batch; batches in a lane.
 BLOCK_BYTES, BATCH_DOCS, BATCH_LINKS, LANE = 256 << 20, 65_000, 1_000_000, 256
 #: Distinct pieces that a task keeps, and their characters, until it begins anew.
-KEPT, KEPT_CHARS = 200_000, 8_000_000
+KEPT, KEPT_CHARS = 400_000, 16_000_000
 #: Before spaces, if a printing character stands before them and one follows later on.
 CUT = re.compile(r"(?<=\S)(?= \s*\S)")
 #: The mark of a space in pieces.
@@ -62,6 +62,7 @@ class Aligner:
             self.bytes_a[i] = bytes(at[c] for c in w) if all(c in at for c in w) else w.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
         # Only then do tokens of a whole text fall apart into those of its pieces.
         self.apart = not any(MARK in p.lstrip(MARK) for p in pieces) and not any(re.search(r"\S\s", x.decode("utf-8", "ignore")) for x in self.bytes_a)
         self.forget()
@@ -87,27 +88,33 @@ class Aligner:
         new = list(pieces - self.index.keys())
         for at in range(0, len(new), 2_000):
             part = new[at : at + 2_000]
-            tokens_a = self.a.encode_batch_fast(part, add_special_tokens=False)
+            tokens_a = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
             tokens_b = self.b.encode([p[1:] for p in part], num_threads=1)  # the library puts one space before
-            got = [self.groups(p.encode(), x.ids, y) for p, x, y in zip(part, tokens_a, tokens_b, strict=True)]
+            given_back = [b"".join(map(self.bytes_a.__getitem__, x)) == t and b"".join(map(self.bytes_b.__getitem__, y)) == t for t, x, y in zip(map(str.encode, part), tokens_a, tokens_b, strict=True)]
+            n, said, links = self.groups([x if ok else [] for x, ok in zip(tokens_a, given_back, strict=True)], [y if ok else [] for y, ok in zip(tokens_b, given_back, strict=True)])
+            n[:2, ~np.array(given_back)] = -1
             self.index.update(zip(part, range(len(self.said), len(self.said) + len(part)), strict=True))
-            self.said.extend([g[2] for g in got])
+            self.said.extend(said)
             self.chars += sum(map(len, part))
-            n = np.array([[g[0] for g in got], [g[1] for g in got], [len(g[3]) for g in got]], np.int64)
             before = len(self.links) + np.cumsum(n[2]) - n[2]
             self.table = np.concatenate([self.table, np.vstack([n, before])], axis=1)
-            self.links = np.concatenate([self.links, *[g[3] for g in got]])
-
-    def groups(self, text: bytes, a: list[int], b: list[int]) -> tuple[int, int, str, np.ndarray]:
-        if b"".join([self.bytes_a[i] for i in a]) != text or b"".join([self.bytes_b[i] for i in b]) != text:
-            return -1, -1, "", np.zeros(0, np.int64)
-        ends_a, ends_b = (np.cumsum([len(names[i]) for i in ids]) for names, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        _, in_a, in_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        said, last_a, last_b = [], 0, 0
-        for i, j in zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True):
-            said.append(",".join(map(str, a[last_a:i])) + "|" + ",".join(map(str, b[last_b:j])))
-            last_a, last_b = i, j
-        return len(a), len(b), ";".join(said), (np.asarray(b, np.int64)[in_b] << 32) | np.asarray(a, np.int64)[in_a]
+            self.links = np.concatenate([self.links, links])
+
+    def groups(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of pieces whose tokens A and B both make up: tokens of A, of B and links of each, its groups, and all links. The
+        pieces stand in one row of bytes, in which both end together."""
+        n_a, n_b = np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64)
+        flat_a, flat_b = [i for x in a for i in x], [i for x in b for i in x]
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        _, in_a, in_b = np.intersect1d(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]), assume_unique=True, return_indices=True)
+        upto = np.searchsorted(in_a, np.cumsum(n_a) - 1, "right")  # links up to each piece's last
+        names_a, names_b = [*map(str, flat_a)], [*map(str, flat_b)]
+        said, i, j = [], 0, 0
+        for k, m in zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True):
+            said.append(f"{names_a[i] if k == i + 1 else ','.join(names_a[i:k])}|{names_b[j] if m == j + 1 else ','.join(names_b[j:m])}")
+            i, j = k, m
+        ends = upto.tolist()
+        return np.vstack([n_a, n_b, np.diff(upto, prepend=0)]), [";".join(said[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)], (ids_b[in_b] << 32) | ids_a[in_a]
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """Of each text the tokens of A and of B, the links and the groups; and all links in order of the texts."""
