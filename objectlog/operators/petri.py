@@ -75,7 +75,8 @@ def _reach(nodes: set[str], edges: set[tuple[str, str]]) -> dict[str, set[str]]:
 
 
 def mine(nodes: set[str], edges: set[tuple[str, str]], starts: set[str], ends: set[str], empty: bool = False) -> Tree:
-    """A process tree whose language has every trace of the graph; the flower of its activities if no cut fits."""
+    """A process tree of the graph; the flower of its activities if no cut fits. The tree has every trace of the graph but for
+    those that skip or interleave parts which run side by side, of which edges tell nothing; token replay tells how many."""
     if empty:
         return Tree("xor", [Tree(), mine(nodes, edges, starts, ends)])
     if not nodes:
@@ -90,7 +91,7 @@ def mine(nodes: set[str], edges: set[tuple[str, str]], starts: set[str], ends: s
     reach = _reach(nodes, edges)
     parts = _groups(nodes, lambda a, b: (b in reach[a]) == (a in reach[b]))  # neither or both: not in sequence
     if len(parts) > 1:
-        parts.sort(key=lambda p: sum(next(iter(q)) in reach[next(iter(p))] for q in parts if q is not p), reverse=True)
+        parts = sorted(parts, key=lambda p: sum(next(iter(q)) in reach[next(iter(p))] for q in parts if q is not p), reverse=True)
         children = []
         for i, p in enumerate(parts):
             before, after = set().union(*parts[:i], set()), set().union(*parts[i + 1 :], set())
@@ -110,7 +111,7 @@ def mine(nodes: set[str], edges: set[tuple[str, str]], starts: set[str], ends: s
         if p not in good:
             body |= p
     if good:
-        return Tree("loop", [mine(body, {(a, b) for a, b in both(body) if not (a in ends and b in starts)}, starts, ends)] + [mine(p, both(p), {b for a, b in edges if a in ends and b in p}, {a for a, b in edges if a in p and b in starts}) for p in good])
+        return Tree("loop", [mine(body, both(body), starts, ends)] + [mine(p, both(p), {b for a, b in edges if a in ends and b in p}, {a for a, b in edges if a in p and b in starts}) for p in good])
     return Tree("loop", [Tree(), *[Tree(activity=a) for a in sorted(nodes)]])
 
 
@@ -148,9 +149,10 @@ def net_of(tree: Tree) -> Net:
     return net
 
 
-def discover(log: ObjectLog, object_type: str | None = None) -> dict[str, Net]:
-    """A net for each object type (or the one asked for)."""
-    edges = traces.dfg_by_type(log if object_type is None else log.of_type(object_type)).select("otype", "src", "tgt")
+def discover(log: ObjectLog, object_type: str | None = None, least: int = 1) -> dict[str, Net]:
+    """A net for each object type (or the one asked for), of the edges that at least ``least`` pairs of events take, and of the
+    first and last activities of as many."""
+    edges = traces.dfg_by_type(log if object_type is None else log.of_type(object_type)).filter(F.col("frequency") >= least).select("otype", "src", "tgt")
     ends = log.e2o if object_type is None else log.e2o.filter(F.col("otype") == object_type)
     types = [r.otype for r in ends.select("otype").distinct().collect()]
     size = log.events.select("activity").distinct().count()
@@ -159,8 +161,7 @@ def discover(log: ObjectLog, object_type: str | None = None) -> dict[str, Net]:
     found = edges.collect()  # at most activities squared for each type
     out = {}
     for t in sorted(types):
-        starts = {r.activity for r in traces.start_activities(log, t).collect()}
-        last = {r.activity for r in traces.end_activities(log, t).collect()}
+        starts, last = ({r.activity for r in f(log, t).filter(F.col("frequency") >= least).collect()} for f in (traces.start_activities, traces.end_activities))
         own = {(r.src, r.tgt) for r in found if r.otype == t}
         nodes = {x for e in own for x in e} | starts | last
         out[t] = net_of(mine(nodes, own, starts, last))

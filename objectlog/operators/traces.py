@@ -60,7 +60,7 @@ def dfg(log: ObjectLog, object_type: str | None = None) -> DataFrame:
 
 
 def dfg_by_type(log: ObjectLog) -> DataFrame:
-    """otype, src, tgt, frequency."""
+    """otype, src, tgt, frequency: distinct pairs of events."""
     return pairs(log).select("otype", "src", "tgt", "e1", "e2").distinct().groupBy("otype", "src", "tgt").agg(F.count("*").alias("frequency"))
 
 
@@ -80,8 +80,9 @@ def end_activities(log: ObjectLog, object_type: str | None = None) -> DataFrame:
     return _edge(log, object_type, False)
 
 
-def variants(log: ObjectLog, object_type: str | None = None, limit: int | None = None) -> DataFrame:
-    """variant_id, sequence, length, frequency, otypes: equal traces, counted over all types, most frequent first.
+def variant_arrays(log: ObjectLog, object_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """sequence (an array of activities), length, frequency, otypes: equal traces, counted over all types; with ``limit`` those as
+    frequent as the limit-th one.
 
     Traces are told apart by their length and two sums of hashes of (place, activity), which aggregate like any sum; only
     one trace of each variant that is asked for is put together as an array.
@@ -95,8 +96,12 @@ def variants(log: ObjectLog, object_type: str | None = None, limit: int | None =
         found = found.join(F.broadcast(least), F.col("frequency") >= F.col("least")).drop("least")  # one row
     chosen = found.select(F.col("one.otype").alias("otype"), F.col("one.oid").alias("oid"), "length", "frequency", "otypes")
     sequence = F.transform(F.sort_array(F.collect_list(F.struct("pos", "activity"))), lambda x: x["activity"])
-    out = placed.join(chosen, list(_KEY)).groupBy(*_KEY, "length", "frequency", "otypes").agg(sequence.alias("sequence"))
-    top = out.select(F.array_join("sequence", " → ", "null").alias("sequence"), "length", "frequency", "otypes").orderBy(F.desc("frequency"), "sequence")
+    return placed.join(chosen, list(_KEY)).groupBy(*_KEY, "length", "frequency", "otypes").agg(sequence.alias("sequence")).select("sequence", "length", "frequency", "otypes")
+
+
+def variants(log: ObjectLog, object_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """variant_id, sequence, length, frequency, otypes: `variant_arrays` as text, most frequent first."""
+    top = variant_arrays(log, object_type, limit).select(F.array_join("sequence", " → ", "null").alias("sequence"), "length", "frequency", "otypes").orderBy(F.desc("frequency"), "sequence")
     if not limit:
         return top
     return top.limit(limit).withColumn("variant_id", F.row_number().over(Window.orderBy(F.desc("frequency"), "sequence")))  # `limit` rows
