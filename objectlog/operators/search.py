@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..log import ObjectLog
+from ..sources.staging import staged
 
 #: Fixed value: a token is a run of letters, digits and underscores of any script.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -63,13 +64,21 @@ def _of_types(chunks: DataFrame, types: list[str] | None) -> DataFrame:
     return chunks.filter(F.col("chunk_type").isin(names))
 
 
-def bm25(chunks: DataFrame, query: str, k: int | None = 5, types: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """id, score (rounded to 6): Okapi BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)), over the idf and length of all
-    chunks; types filter what is returned. Only the query's terms are counted, inside each chunk, with no shuffle of
-    tokens. Ties by id."""
+def _ranked(scored: DataFrame, k: int | None) -> DataFrame:
+    """id and score, the best k first (all, in any order, without k)."""
+    out = scored.select("id", "score")
+    return out.orderBy(F.desc("score"), "id").limit(k) if k else out
+
+
+def _nothing(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", "chunk_type", F.lit(0.0).alias("score")).limit(0)
+
+
+def _bm25(chunks: DataFrame, query: str, types: list[str] | None, k1: float = K1, b: float = B) -> DataFrame:
+    """id, chunk_type, score of every chunk with a term of the query."""
     terms = list(dict.fromkeys(query_terms(query)))
     if not terms:
-        return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
+        return _nothing(chunks)
     toks = chunks.select("id", "chunk_type", tokens_of(F.col("content")).alias("t"))
     times = lambda w: F.size(F.filter("t", lambda x: x == w))
     tf = [times(w).alias(f"tf{i}") for i, w in enumerate(terms)]
@@ -83,31 +92,45 @@ def bm25(chunks: DataFrame, query: str, k: int | None = 5, types: list[str] | No
         ),
         F.lit(0.0),
     )
-    out = _of_types(counted.filter(hit), types).crossJoin(F.broadcast(whole)).select("id", F.round(score, 6).alias("score"))  # one row
-    return out.orderBy(F.desc("score"), "id").limit(k) if k else out
+    return _of_types(counted.filter(hit), types).crossJoin(F.broadcast(whole)).select("id", "chunk_type", F.round(score, 6).alias("score"))  # one row
 
 
-def phrase(chunks: DataFrame, query: str, k: int | None = 5, types: list[str] | None = None) -> DataFrame:
-    """id, score (rounded to 6): chunks in which the query's tokens stand next to each other, by BM25 of its terms."""
+def bm25(chunks: DataFrame, query: str, k: int | None = 5, types: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """id, score (rounded to 6): Okapi BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)), over the idf and length of all
+    chunks; types filter what is returned. Only the query's terms are counted, inside each chunk, with no shuffle of
+    tokens. Ties by id."""
+    return _ranked(_bm25(chunks, query, types, k1, b), k)
+
+
+def _phrase(chunks: DataFrame, query: str, types: list[str] | None) -> DataFrame:
     terms = query_terms(query)
     if not terms:
-        return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
+        return _nothing(chunks)
     # Tokens hold no space, so neighbours can be found in their joined text, which is built once.
     here = F.contains(F.concat(F.lit(" "), F.array_join(tokens_of(F.col("content")), " "), F.lit(" ")), F.lit(f" {' '.join(terms)} "))
-    ids = chunks.filter(here).select("id")
-    out = bm25(chunks, query, None, types).join(ids, "id", "left_semi")
-    return out.orderBy(F.desc("score"), "id").limit(k) if k else out
+    return _kept(_bm25(chunks, query, types), chunks.filter(here))
+
+
+def phrase(chunks: DataFrame, query: str, k: int | None = 5, types: list[str] | None = None) -> DataFrame:
+    """id, score (rounded to 6): chunks in which the query's tokens stand next to each other, by BM25 of its terms."""
+    return _ranked(_phrase(chunks, query, types), k)
 
 
 def hybrid(chunks: DataFrame, query: str, k: int = 5, types: list[str] | None = None) -> DataFrame:
     """id, score: the best 2k by phrase and by BM25, half of each score, summed where both have the chunk."""
-    return _halves(phrase(chunks, query, 2 * k, types), bm25(chunks, query, 2 * k, types), k)
+    return _halves(_phrase(chunks, query, types), _bm25(chunks, query, types), k)
+
+
+def _kept(scored: DataFrame, found: DataFrame) -> DataFrame:
+    """The chunks of ``scored`` that are in ``found``; a chunk is known by its id and its type."""
+    ids = found.select(F.col("id").alias("id_"), F.col("chunk_type").alias("type_"))
+    return scored.join(ids, F.col("id").eqNullSafe(F.col("id_")) & F.col("chunk_type").eqNullSafe(F.col("type_")), "left_semi")
 
 
 def _halves(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-    a, b = first.select("id", F.col("score").alias("p")), second.select("id", F.col("score").alias("s"))
+    best = lambda df, name: df.orderBy(F.desc("score"), "id").limit(2 * k).select("id", F.coalesce("chunk_type", F.lit("")).alias("type"), F.col("score").alias(name))
     score = F.round(0.5 * F.coalesce("p", F.lit(0.0)) + 0.5 * F.coalesce("s", F.lit(0.0)), 6)
-    return a.join(b, "id", "full").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return best(first, "p").join(best(second, "s"), ["id", "type"], "full").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 MODES = {"bm25": bm25, "phrase": phrase, "hybrid": hybrid}
@@ -142,7 +165,10 @@ class Index:
     def build(chunks: DataFrame, folder: str, buckets: int = 64, force: str | None = None) -> Index:
         """Index ``chunks`` (id, content, chunk_type) into a folder; rows that share id and type are one chunk."""
         rows = inverted_index(chunks)
-        lengths = chunks.groupBy("id", "chunk_type").agg(F.sum(F.size(tokens_of(F.col("content")))).alias("dl"), F.sum(F.octet_length("content")).alias("bytes"))
+        rows = staged(rows, "postings")  # tokens are counted once: a chunk's length is the sum of its terms' counts
+        long = rows.groupBy("id", "chunk_type").agg(F.sum("tf").alias("dl"))
+        sizes = chunks.groupBy("id", "chunk_type").agg(F.sum(F.octet_length("content")).alias("bytes")).withColumnsRenamed({"id": "id_", "chunk_type": "type_"})
+        lengths = sizes.join(long, F.col("id").eqNullSafe(F.col("id_")) & F.col("chunk_type").eqNullSafe(F.col("type_")), "left").select(F.col("id_").alias("id"), F.col("type_").alias("chunk_type"), F.coalesce("dl", F.lit(0)).alias("dl"), "bytes")
         same = [F.col("id").eqNullSafe(F.col("id_")), F.col("chunk_type").eqNullSafe(F.col("type_"))]
         posted = rows.join(lengths.select(F.col("id").alias("id_"), F.col("chunk_type").alias("type_"), "dl"), same).drop("id_", "type_").withColumn("bucket", _bucket(F.col("term"), buckets))
         # Several files a bucket at scale: the order of rows within each is what lets row groups be skipped.
@@ -168,33 +194,36 @@ class Index:
         wanted = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), self.buckets)).collect()})
         return self.postings.filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
 
-    def bm25(self, query: str, k: int | None = 5, types: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
-        """As `bm25` over the chunks."""
+    def _bm25(self, query: str, types: list[str] | None, k1: float = K1, b: float = B) -> DataFrame:
         terms = list(dict.fromkeys(query_terms(query)))
         if not terms:
-            return self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
+            return _nothing(self.postings)
         mine = self._of(terms)
         df = mine.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         rows = _of_types(mine, types).join(F.broadcast(df), "term").crossJoin(F.broadcast(self.totals.select("n", "avgdl")))  # one row
-        out = rows.groupBy("id", "chunk_type").agg(F.round(F.sum(part), 6).alias("score")).select("id", "score")
-        return out.orderBy(F.desc("score"), "id").limit(k) if k else out
+        return rows.groupBy("id", "chunk_type").agg(F.round(F.sum(part), 6).alias("score"))
 
-    def phrase(self, query: str, k: int | None = 5, types: list[str] | None = None) -> DataFrame:
-        """As `phrase` over the chunks: by the positions of the query's terms."""
+    def bm25(self, query: str, k: int | None = 5, types: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """As `bm25` over the chunks."""
+        return _ranked(self._bm25(query, types, k1, b), k)
+
+    def _phrase(self, query: str, types: list[str] | None) -> DataFrame:
         terms = query_terms(query)
         if not terms:
-            return self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
+            return _nothing(self.postings)
         wide = self._of(terms).groupBy("id", "chunk_type").agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(terms)])
         follows = lambda p: F.forall(F.array(*[F.array_contains(F.col(f"p{i}"), p + i) for i in range(1, len(terms))]), lambda x: x) if len(terms) > 1 else F.lit(True)
-        ids = wide.filter(F.forall(F.array(*[F.col(f"p{i}").isNotNull() for i in range(len(terms))]), lambda x: x)).filter(F.exists("p0", follows)).select("id")
-        out = self.bm25(query, None, types).join(ids, "id", "left_semi")
-        return out.orderBy(F.desc("score"), "id").limit(k) if k else out
+        return _kept(self._bm25(query, types), wide.filter(F.forall(F.array(*[F.col(f"p{i}").isNotNull() for i in range(len(terms))]), lambda x: x)).filter(F.exists("p0", follows)))
+
+    def phrase(self, query: str, k: int | None = 5, types: list[str] | None = None) -> DataFrame:
+        """As `phrase` over the chunks: by the positions of the query's terms."""
+        return _ranked(self._phrase(query, types), k)
 
     def hybrid(self, query: str, k: int = 5, types: list[str] | None = None) -> DataFrame:
         """As `hybrid` over the chunks."""
-        return _halves(self.phrase(query, 2 * k, types), self.bm25(query, 2 * k, types), k)
+        return _halves(self._phrase(query, types), self._bm25(query, types), k)
 
     def search(self, query: str, k: int = 5, types: list[str] | None = None, mode: str | None = None) -> DataFrame:
         """Search by a mode, or by the index's own strategy."""
@@ -205,30 +234,62 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+#: Values of a label that a chunk lists with their counts; of more than these it lists some.
+FULL, SOME = 1_000, 10
+
+
+def _hex(c: str, digits: int) -> Column:
+    """The first hexadecimal digits of a text's MD5, as a number: batches that any engine can repeat."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(c), F.lit(""))), 1, digits), 16, 10).cast("long")
+
+
+def _told(said: DataFrame, keys: list[str], full: int = FULL, some: int = SOME) -> DataFrame:
+    """keys and content: of rows (keys, label, value) a line for each label with its values and how often they occur, all of
+    them if there are at most ``full``, else their number and ``some`` of them. Labels and values in order."""
+    values = said.filter("value is not null").groupBy(*keys, "label", "value").agg(F.count("*").alias("n"))
+    sizes = values.groupBy(*keys, "label").agg(F.count("*").alias("distinct"))
+    both = values.join(sizes, [*keys, "label"])
+    # Of very many values only about ten times those wanted are sorted.
+    both = both.filter((F.col("distinct") <= full) | (F.pmod(F.xxhash64("value"), F.col("distinct")) < 10 * some))
+    both = both.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "label").orderBy("value"))).filter((F.col("distinct") <= full) | (F.col("_place") <= some))
+    entry = F.concat_ws(" ", "value", F.when(F.col("distinct") <= full, F.col("n").cast("string")))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("value", entry.alias("entry")))), lambda x: x["entry"]), ", ")
+    lines = both.groupBy(*keys, "label", "distinct").agg(listed.alias("listed"))
+    line = F.concat(F.ltrim("label"), F.lit(": "), F.when(F.col("distinct") > full, F.concat(F.col("distinct").cast("string"), F.lit(" values, such as "))).otherwise(""), F.col("listed"))
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+
+
 def event_chunks(log: ObjectLog, per: int = 100) -> DataFrame:
-    """id, content, chunk_type, n: events in batches of ``per`` by time, as counts by activity with first and last time.
+    """id, content, chunk_type, n: events in batches of ``per`` by time. The content tells the activities, the span of time, the ids of the
+    events and of their objects, and the values of each attribute, with counts (see `_told`).
 
-    Batches are cut within days, so no window holds more than a day of events.
+    Batches are cut within days and sixteen lanes of ids, so no window holds more than a lane of a day.
     """
     day = F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none"))
     order = Window.partitionBy("day", "lane").orderBy("ts", "eid")
-    lane = F.pmod(F.xxhash64("eid"), F.lit(16))
-    rows = log.events.withColumn("day", day).withColumn("lane", lane).withColumn("batch", F.floor((F.row_number().over(order) - 1) / per))
-    by = rows.groupBy("day", "lane", "batch", "activity").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
-    text = F.concat_ws(" ", F.sort_array(F.collect_list(F.concat_ws(" ", "activity", "n"))))
-    span = F.concat_ws(" ", F.min("a").cast("string"), F.max("b").cast("string"))
-    return by.groupBy("day", "lane", "batch").agg(F.concat_ws(" ", text, span).alias("content"), F.sum("n").alias("n")).select(
-        F.concat_ws("_", F.lit("events"), "day", "lane", "batch").alias("id"), "content", F.lit("events").alias("chunk_type"), "n"
-    )
+    rows = log.events.withColumn("day", day).withColumn("lane", _hex("eid", 1)).withColumn("batch", F.floor((F.row_number().over(order) - 1) / per))
+    keys = ["day", "lane", "batch"]
+    rows = rows.select(*keys, "eid", "activity", "ts", "attrs")
+    of = lambda df, label, value: df.select(*keys, F.lit(label).alias("label"), F.col(value).alias("value"))
+    objects = rows.select(*keys, "eid").join(log.e2o.select("eid", "oid").distinct(), "eid")
+    attrs = rows.select(*keys, F.explode("attrs").alias("label", "value"))
+    told = _told(of(rows, " activities", "activity").unionByName(of(rows, " events", "eid")).unionByName(of(objects, " objects", "oid")).unionByName(attrs), keys)
+    span = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.concat_ws(" ", F.lit("time:"), F.min("ts").cast("string"), F.max("ts").cast("string")).alias("span"))
+    return span.join(told, keys, "left").select(F.concat_ws("_", F.lit("events"), *keys).alias("id"), F.concat_ws("\n", "span", "content").alias("content"), F.lit("events").alias("chunk_type"), "n")
 
 
 def object_chunks(log: ObjectLog, per: int = 100) -> DataFrame:
-    """id, content, chunk_type, n: objects of a type in hashed batches of about ``per``, with their ids."""
+    """id, content, chunk_type, n: objects of a type in hashed batches of about ``per``, with their ids, the values that their
+    attributes have had and the objects that they are related to, with counts (see `_told`)."""
     sizes = log.objects.groupBy("otype").agg(F.ceil(F.count("*") / per).alias("batches"))
-    rows = log.objects.join(sizes, "otype").withColumn("batch", F.pmod(F.xxhash64("oid"), F.col("batches")))
-    return rows.groupBy("otype", "batch").agg(F.concat_ws(" ", F.lit("objects"), F.first("otype"), F.sort_array(F.collect_list("oid"))).alias("content"), F.count("*").alias("n")).select(
-        F.concat_ws("_", F.lit("objects"), "otype", "batch").alias("id"), "content", F.lit("objects").alias("chunk_type"), "n"
-    )
+    keys = ["otype", "batch"]
+    rows = log.objects.join(sizes, "otype").select(F.col("otype"), (_hex("oid", 8) % F.col("batches")).alias("batch"), "oid")
+    of = lambda df, label, value: df.select(*keys, F.lit(label).alias("label"), F.col(value).alias("value"))
+    attrs = rows.join(log.changes.select("otype", "oid", F.explode("attrs").alias("label", "value")), ["otype", "oid"]).select(*keys, "label", "value")
+    related = rows.join(log.o2o.select(F.col("src_oid").alias("oid"), "tgt_oid"), "oid")
+    told = _told(of(rows, " objects", "oid").unionByName(of(related, " related", "tgt_oid")).unionByName(attrs), keys, max(FULL, 2 * per))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.join(told, keys, "left").select(F.concat_ws("_", F.lit("objects"), *keys).alias("id"), F.concat_ws("\n", F.concat_ws(" ", F.lit("objects"), "otype"), "content").alias("content"), F.lit("objects").alias("chunk_type"), "n")
 
 
 def type_chunks(log: ObjectLog) -> DataFrame:

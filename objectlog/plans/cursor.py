@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from ..log import ObjectLog
+from ..sources.staging import version
 
 
 @dataclass
@@ -61,7 +62,8 @@ class Cursors:
 class Models:
     """Discovered models by log and name, the ones used last; safe to share between threads.
 
-    A log is told by the meaning of its tables' plans, so the same files read again give the same model, another log not.
+    A log is told by its tables' versions, so the same files read again give the same model; another log, or the same one
+    after an insert, does not.
     """
 
     def __init__(self, most: int = 32):
@@ -69,7 +71,7 @@ class Models:
 
     def get(self, log: ObjectLog, name: str, make: Callable[[], Any]) -> Any:
         """The model, made if it isn't held."""
-        key = (log.spark.sparkContext.applicationId, log.events.semanticHash(), log.objects.semanticHash(), log.e2o.semanticHash(), name)
+        key = (log.spark.sparkContext.applicationId, *map(version, (log.events, log.objects, log.e2o)), name)
         with self._lock:
             if key in self._held:
                 self._held.move_to_end(key)

@@ -15,7 +15,7 @@ from ..functions import scalars
 from ..operators import filters, petri, search, setops, stats, traces, validate
 from ..sources import mappers
 from ..sources.adapters import activity_log, commerce_log, conversation_log, shipment_log, table, text_chunks
-from ..sources.staging import folder
+from ..sources.staging import folder, version
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -357,9 +357,10 @@ def hybrid_search(spark, d):
 
 def _index(spark, d):
     """The stored index of all chunks, written once for the searches of a session over the same tables."""
-    key = (spark.sparkContext.applicationId, d)
+    chunks = text_chunks(spark, d)
+    key = (spark.sparkContext.applicationId, version(chunks))
     if key not in _INDEXES:
-        _INDEXES[key] = search.Index.build(text_chunks(spark, d), folder(spark, "index"))
+        _INDEXES[key] = search.Index.build(chunks, folder(spark, "index"))
     return _INDEXES[key]
 
 
@@ -391,6 +392,17 @@ def chunk_sizes(spark, d):
     return search.chunks(activity_log(spark, d)).groupBy("chunk_type").agg(F.sum("n").alias("n"))
 
 
+@query(_LOG + """, c AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, instr('0123456789abcdef', md5(eid)[1]) - 1 AS lane FROM base),
+b AS (SELECT *, (row_number() OVER (PARTITION BY day, lane ORDER BY ts, eid) - 1) // 100 AS batch FROM c),
+o AS (SELECT DISTINCT otype, oid FROM r), k AS (SELECT otype, CAST(ceil(count(*) / 100) AS BIGINT) AS batches FROM o GROUP BY otype)
+SELECT DISTINCT concat_ws('_', 'events', day, lane, batch) AS id FROM b WHERE user_id = 7
+UNION SELECT concat_ws('_', 'objects', otype, CAST('0x' || md5(oid)[1:8] AS BIGINT) % batches) FROM o JOIN k USING (otype) WHERE oid = 'u7'""")
+def log_value_search(spark, d):
+    """The chunks of the activity log that hold a value: the batches of the events whose attribute it is, and the batch of the
+    object of that name."""
+    return search.bm25(search.chunks(activity_log(spark, d)), "u7", None).select("id")
+
+
 @query(
     """WITH v AS (SELECT 'kind' AS attribute, event_type AS value FROM events WHERE event_type IS NOT NULL UNION ALL SELECT 'user', 'u' || user_id FROM events WHERE user_id IS NOT NULL),
 c AS (SELECT attribute, value, count(*) AS n FROM v GROUP BY attribute, value),

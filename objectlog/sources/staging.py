@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import tempfile
 import uuid
@@ -38,3 +39,10 @@ def streamed(spark: SparkSession, rows: Iterable[tuple], schema: str, name: str,
     empty = spark.createDataFrame([], schema)
     empty.write.mode("append").parquet(path)
     return spark.read.schema(empty.schema).parquet(path)
+
+
+def version(df: DataFrame) -> str:
+    """What tells one state of a table from another: its plan's meaning, the names of its files and their bytes. Files that are
+    added or written anew change it; a table without files is told by its plan."""
+    sizes = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return hashlib.sha256("\n".join([str(df.semanticHash()), sizes, *sorted(df.inputFiles())]).encode()).hexdigest()

@@ -5,28 +5,50 @@ from __future__ import annotations
 import re
 import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
+from .. import schema
 from ..log import ObjectLog
 from .staging import staged, streamed
 
+#: The key of each table, of which the first write wins, and what its rows are dealt over folders by.
+KEYS = {"objects": ["oid"], "events": ["eid"], "e2o": ["eid", "oid", "qualifier"], "o2o": ["src_oid", "tgt_oid", "qualifier"], "changes": ["oid", "ts", "changed_field"], "event_types": ["name"], "object_types": ["name"]}
+#: Folders that a table's rows are dealt over by a hash of their key's first column.
+BUCKETS = 32
 NAMES = ("events", "objects", "e2o", "o2o", "changes", "event_types", "object_types")
 
 
+SCHEMAS = {"events": schema.EVENTS, "objects": schema.OBJECTS, "e2o": schema.E2O, "o2o": schema.O2O, "changes": schema.CHANGES, "event_types": schema.TYPES, "object_types": schema.TYPES}
+
+
+def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stored table with the columns of its folders; an empty one has no file that tells its schema."""
+    by = [StructField("day", DateType())] * (name == "events") + [StructField("bucket", IntegerType())]
+    return spark.read.schema(StructType([*SCHEMAS[name].fields, *by])).parquet(f"{folder}/{name}")
+
+
+def _dealt(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """The rows with the columns of their folders: a hash of the key, events by day before it."""
+    df = df.select(*SCHEMAS[name].names).withColumn("bucket", _bucket(F.col(KEYS[name][0])))
+    return (df.withColumn("day", F.to_date("ts")), ["day", "bucket"]) if name == "events" else (df, ["bucket"])
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def write(log: ObjectLog, folder: str, mode: str = "errorifexists") -> None:
-    """The tables as Parquet; events by day, so that a time range prunes files."""
+    """The tables as Parquet, by day (events) and hashed key, so that a time range or a few keys prune files."""
     for name in NAMES:
-        df = getattr(log, name)
-        if name == "events":
-            df.withColumn("day", F.to_date("ts")).repartition("day", F.pmod(F.xxhash64("eid"), F.lit(8))).write.mode(mode).partitionBy("day").parquet(f"{folder}/{name}")
-        else:
-            df.write.mode(mode).parquet(f"{folder}/{name}")
+        df, by = _dealt(getattr(log, name), name)
+        df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(f"{folder}/{name}")
 
 
 def read(spark: SparkSession, folder: str) -> ObjectLog:
     """A log that `write` has written."""
-    return ObjectLog(**{n: spark.read.parquet(f"{folder}/{n}").drop("day") for n in NAMES})
+    return ObjectLog(**{n: _stored(spark, folder, n).drop("day", "bucket") for n in NAMES})
 
 
 def write_bucketed(log: ObjectLog, database: str, buckets: int = 64) -> None:
@@ -53,6 +75,20 @@ def attribute_names(rows: DataFrame, type_column: str) -> dict[str, list[str]]:
     return out
 
 
+def table_names(types: list[str]) -> dict[str, str]:
+    """A table's name for each type: its letters and digits; types that agree in these, but for case, are numbered in order."""
+    out: dict[str, str] = {}
+    used = {"map_type"}
+    for t in sorted(types):
+        plain = re.sub("[^a-zA-Z0-9]", "", t)
+        name, k = plain, 2
+        while name.lower() in used:
+            name, k = f"{plain}_{k}", k + 1
+        used.add(name.lower())
+        out[t] = name
+    return out
+
+
 def export_sqlite(log: ObjectLog, path: str, batch: int = 5_000) -> None:
     """A relational store in one SQLite file on the driver, streamed; the first write of a key wins. Meant for logs that
     fit one file: Parquet is the store for others. ValueError if an event has no object."""
@@ -72,23 +108,23 @@ def export_sqlite(log: ObjectLog, path: str, batch: int = 5_000) -> None:
                 held = []
         db.executemany(f"INSERT OR IGNORE INTO {quoted(name)} VALUES ({','.join('?' * len(columns))})", held)
 
-    clean = lambda t: re.sub("[^a-zA-Z0-9]", "", t)
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     table("event", ["ocel_id", "ocel_type"], 1, log.events.select("eid", "activity"))
     table("object", ["ocel_id", "ocel_type"], 1, log.objects)
     table("event_object", ["ocel_event_id", "ocel_object_id", "ocel_qualifier"], 3, log.e2o.select("eid", "oid", F.coalesce("qualifier", F.lit("related"))))
     table("object_object", ["ocel_source_id", "ocel_target_id", "ocel_qualifier"], 3, log.o2o)
     for prefix, rows, column, key in (("event", log.events, "activity", ["eid"]), ("object", log.changes, "otype", ["oid"])):
-        types = [r[0] for r in (log.events if prefix == "event" else log.objects).select("activity" if prefix == "event" else "otype").distinct().orderBy(1).collect()]
+        types = [r[0] for r in (log.events if prefix == "event" else log.objects).select("activity" if prefix == "event" else "otype").distinct().orderBy(1).collect() if r[0] is not None]
         names = attribute_names(rows, column)
         spark = rows.sparkSession
-        table(f"{prefix}_map_type", ["ocel_type", "ocel_type_map"], 1, spark.createDataFrame([(t, clean(t)) for t in types], "a string, b string"))
+        tables = table_names(types)
+        table(f"{prefix}_map_type", ["ocel_type", "ocel_type_map"], 1, spark.createDataFrame([*tables.items()], "a string, b string"))
         for t in types:
             own = names.get(t, [])
             extra = [] if prefix == "event" else [F.coalesce("changed_field", F.lit("")).alias("changed_field")]
             head = ["ocel_id", "ocel_time"] + ([] if prefix == "event" else ["ocel_changed_field"])
             mine = rows.filter(F.col(column) == t).select(*key, time, *extra, *[F.col("attrs")[a] for a in own])
-            table(f"{prefix}_{clean(t)}", head + own, len(head) if prefix == "object" else 1, mine)
+            table(f"{prefix}_{tables[t]}", head + own, len(head) if prefix == "object" else 1, mine)
     db.execute("CREATE INDEX IF NOT EXISTS event_object_by_object ON event_object (ocel_object_id)")
     db.commit()
     db.close()
@@ -120,25 +156,44 @@ def insert(log: ObjectLog, folder: str) -> dict[str, int]:
     """Add a log to the tables that `write` has written; how many rows each gained.
 
     What is there stays: of a key (an event's id, an object's id, a relation, a snapshot's object, time and field) the first
-    write wins. ValueError if a new event has no object. Types and attributes may be new: attributes are maps, and `wide`
-    gives each its column. Rows are compared by joins, and only new ones are written; each part is complete before the next
-    begins, objects and events before what refers to them, so a rerun after a failure adds what is missing.
+    write wins. Within the log the row of the least ``seq`` (order of ingest) is the first where a table has that column, and
+    else the least one by its other columns, times before the rest. ValueError if a new event has no object. Types and
+    attributes may be new: attributes are maps, and `wide` gives each its column.
+
+    Only the folders that new keys hash to are read, and of these only the keys; rows are compared by joins, and only new
+    ones are written; each part is complete before the next begins, objects and events before what refers to them, so a
+    rerun after a failure adds what is missing.
     """
     spark = log.spark
     if log.events.join(log.e2o.select("eid"), "eid", "left_anti").limit(1).count():
         raise ValueError("an event without an object can't be stored")
-    keys = {"objects": ["oid"], "events": ["eid"], "e2o": ["eid", "oid", "qualifier"], "o2o": ["src_oid", "tgt_oid", "qualifier"], "changes": ["oid", "ts", "changed_field"], "event_types": ["name"], "object_types": ["name"]}
     gained = {}
-    for name, key in keys.items():
-        there = spark.read.parquet(f"{folder}/{name}").select(*[F.col(k).alias(f"{k}_") for k in key]).distinct()
+    for name, key in KEYS.items():
+        rows = staged(_first(getattr(log, name), key), name)
+        there = keys_there(spark, folder, name, rows).select(*[F.col(k).alias(f"{k}_") for k in key]).distinct()
         same = F.lit(True)
         for k in key:
             same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-        new = staged(getattr(log, name).dropDuplicates(key).join(there, same, "left_anti"), name)
+        new = staged(rows.join(there, same, "left_anti"), name)
         gained[name] = new.count()
         if gained[name]:
-            if name == "events":
-                new.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(f"{folder}/{name}")
-            else:
-                new.write.mode("append").parquet(f"{folder}/{name}")
+            dealt, by = _dealt(new, name)
+            dealt.write.mode("append").partitionBy(*by).parquet(f"{folder}/{name}")
     return gained
+
+
+def _first(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key, without ``seq``."""
+    kept = [c for c in rows.columns if c != "seq"]
+    plain = lambda c: F.to_json(F.struct(c)) if rows.schema[c].dataType.typeName() in ("map", "array") else F.col(c)  # noqa: E731  maps have no order
+    rest = sorted((c for c in kept if c not in key), key=lambda c: (c != "ts", kept.index(c)))
+    order = [x for c in ([F.col("seq")] if "seq" in rows.columns else []) + [plain(c) for c in rest] for x in (c.isNull(), c)]
+    row = F.struct(*kept)
+    return rows.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]).agg((F.min_by(row, F.struct(*order)) if order else F.first(row)).alias("row")).select("row.*")
+
+
+def keys_there(spark: SparkSession, folder: str, name: str, rows: DataFrame) -> DataFrame:
+    """The stored rows of a table in the folders that the keys of ``rows`` hash to (at most `BUCKETS` of them)."""
+    stored = _stored(spark, folder, name)
+    wanted = [r[0] for r in rows.select(_bucket(F.col(KEYS[name][0])).alias("b")).distinct().collect()]
+    return stored.filter(F.col("bucket").isin(wanted)) if len(wanted) < BUCKETS else stored
