@@ -35,6 +35,8 @@ MEET, VERIFY, RARE = 1.0, 0.1, 0.25
 LEAST_SHARE = 6
 #: Postings of a frequent shingle in a lane, and of any list in a block.
 LANE, LIST = 10_000, 2_048
+#: Keys of a class of which pairs are made.
+PAIRED = 32
 #: What may stand for l and for a set's size in a posting.
 MOST, SIZES = (1 << 24) - 1, (1 << 32) - 1
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -135,16 +137,23 @@ def prefix(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: in
 
 
 def verified(found: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The rows (a, b) of (a, b, set_a, set_b) whose sets link."""
+    """Rows (node_a, node_b, linked, size_a, size_b, diff) of pairs (node_a, node_b, home, set_a, set_b): those that link, and those
+    of which a is the home of b, with the shingles that only one of them has if these are few."""
     for batch in found:
         for at in range(0, batch.num_rows, 1_024):
             part = batch.slice(at, 1_024)
-            keep = []
-            for x, y in zip(part.column("set_a"), part.column("set_b"), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for x, y, home in zip(part.column("set_a"), part.column("set_b"), part.column("home"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                diff = np.setxor1d(x, y, assume_unique=True)
+                linked = (100 + percent) * len(diff) <= (100 - percent) * (len(x) + len(y))
+                shown = home.as_py() and 2 * len(diff) <= len(y)
+                for c, v in zip(out, (linked or shown, linked, len(x), len(y), diff.view(np.int64) if shown else None), strict=True):
+                    c.append(v)
+            keep, *rest = out
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = [part.column("node_a"), part.column("node_b"), *[pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]]
+            yield pa.record_batch(columns, names=["node_a", "node_b", "linked", "size_a", "size_b", "diff"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _number(node: Column) -> Column:
@@ -187,7 +196,78 @@ def _candidates(met: DataFrame, percent: int, whole: bool) -> DataFrame:
     if whole:
         after = F.greatest(_least(2 * size("a"), percent) - _l("meta_a"), F.ceil(size("b") * percent / 100) - _l("meta_b"))
         enough = F.greatest(enough, _least(size("a") + size("b"), percent) - after) - (_low(size("a")) - 1)
-    return n.filter(F.col("n") >= enough).select("a", "b")
+    return n.filter(F.col("n") >= enough).select("a", "b", "n")
+
+
+def _members(first: DataFrame) -> DataFrame:
+    """node, number, size, home, home_number, diff (the shingles that only one of node and home has): each class at its home, or at
+    its home's home if it is close enough to that; and each home at itself."""
+    at = first.filter("diff is not null").select(F.col("node_b").alias("node"), F.col("size_b").alias("size"), F.col("node_a").alias("home"), F.col("size_a").alias("home_size"), "diff")
+    for _ in range(2):
+        up = at.select(F.col("node").alias("home"), F.col("home").alias("up"), F.col("home_size").alias("up_size"), F.col("diff").alias("up_diff"))
+        far = F.array_union(F.array_except("diff", "up_diff"), F.array_except("up_diff", "diff"))
+        met = at.join(up, "home", "left").withColumn("far", far)
+        moved = F.coalesce(2 * F.size("far") <= F.col("size"), F.lit(False))
+        at = met.select("node", "size", *[F.when(moved, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("up", "home"), ("up_size", "home_size"), ("far", "diff"))])
+    homes = at.select("home", "home_size").distinct().select(F.col("home").alias("node"), F.col("home_size").alias("size"), "home", "home_size", F.array().cast("array<long>").alias("diff"))
+    return at.unionByName(homes).select("node", _number(F.col("node")).alias("number"), "size", "home", _number(F.col("home")).alias("home_number"), "diff")
+
+
+def _links_of_groups(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join all classes of a home that link with each other, by what tells them from the home.
+
+    Two sets differ in what exactly one of their differences has. With slack (100 - percent) * size - (100 + percent) * |diff| they
+    link if both slacks and 2 * (100 + percent) for each difference that they share come to 0 at least. So all that can link
+    without sharing any link with the class of most slack. The others need some shared ones: differences that the same
+    classes have are one key that weighs as many. Keys are ordered rare first, and of each class only a prefix counts, whose rest
+    weighs too little; where one key is never enough, a pair of keys stands for a list, else a key does. In a list all link with
+    its class of most slack if what the key weighs is enough; only what is left over is paired in blocks, and tested.
+    """
+    each = 2 * (100 + percent)
+    slack = (100 - percent) * F.col("size") - (100 + percent) * F.size("diff")
+    rated = members.select("node", "home", "diff", slack.alias("slack"))
+    tops = rated.groupBy("home").agg(F.max(F.struct("slack", "node")).alias("top"))
+    met = rated.join(tops, "home").withColumn("open", F.col("slack") + F.col("top.slack") < 0)
+    links = met.filter("not open and node <> top.node").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    left = met.groupBy("home").agg(F.max(F.when(F.col("open"), F.col("slack"))).alias("most_open"), F.first("top.slack").alias("most")).filter("most_open is not null")
+    if left.isEmpty():
+        return links
+    need = lambda other: F.ceil((-F.col("slack") - other) / each)  # noqa: E731  shared differences, with one of so much slack
+    # Whom an open class may meet has any slack up to the most; whom another one may meet is open.
+    some = met.drop("top").join(left, "home").withColumn("need", F.greatest(F.when(F.col("open"), need(F.col("most"))).otherwise(need(F.col("most_open"))), need_of_open(F.col("most_open"), F.col("most"), each)))
+    some = materialise(some, "near-open")
+    has = some.select("home", "node", "open", F.explode("diff").alias("shingle"))
+    alike = has.groupBy("home", "shingle").agg(F.count("*").alias("n"), F.max("open").alias("open"), *[F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]).filter("n > 1 and open")
+    keys = alike.groupBy("home", "n", "h1", "h2").agg(F.count("*").alias("weight"), F.min("shingle").alias("shingle")).select("home", "shingle", "n", "weight")
+    own = has.select("home", "node", "shingle").join(keys, ["home", "shingle"])
+    order = Window.partitionBy("home", "node").orderBy("n", "shingle")
+    own = own.withColumns({"rest": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)), "heaviest": F.max("weight").over(Window.partitionBy("home", "node"))})
+    own = own.join(some.select("home", "node", "open", "slack", "need"), ["home", "node"])
+    # A home's lists are of pairs of keys if no class can link by one, and if none has very many.
+    single = own.filter("rest >= need")
+    double = own.filter("rest >= need - heaviest")
+    by_two = double.groupBy("home", "node").agg(F.count("*").alias("keys"), F.max("heaviest").alias("heaviest"), F.max("need").alias("need"), F.max("open").alias("open")).groupBy("home").agg((F.max("keys") <= PAIRED).alias("few"), F.min(F.when(F.col("open"), F.col("need") > F.col("heaviest"))).alias("short")).select("home", (F.col("few") & F.coalesce("short", F.lit(True))).alias("two"))
+    plain = single.join(by_two.filter("two"), "home", "left_anti").select("home", "node", "open", "slack", F.col("shingle").alias("k1"), F.lit(None).cast("long").alias("k2"), "weight")
+    listed = double.join(by_two.filter("two"), "home", "left_semi").groupBy("home", "node", "open", "slack").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "weight"))).alias("own"))
+    second = F.explode(F.slice("own", F.col("i") + 2, F.size("own"))).alias("y")
+    two = listed.select("home", "node", "open", "slack", "own", F.posexplode("own").alias("i", "x")).select("home", "node", "open", "slack", "x", second)
+    pairs = two.select("home", "node", "open", "slack", F.col("x.shingle").alias("k1"), F.col("y.shingle").alias("k2"), (F.col("x.weight") + F.col("y.weight")).alias("weight"))
+    lists = materialise(plain.unionByName(pairs).withColumn("key", F.struct("k1", F.coalesce("k2", "k1").alias("k2"))).drop("k1", "k2"), "near-lists")
+    best = lists.groupBy("home", "key").agg(F.max(F.struct("slack", "node")).alias("top"), F.count("*").alias("n"), F.max("open").alias("any")).filter("any and n > 1").drop("any")
+    here = lists.join(best, ["home", "key"]).withColumn("sure", F.col("slack") + F.col("top.slack") + each * F.col("weight") >= 0)
+    joined = here.filter("sure and node <> top.node").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    x = here.filter("open and not sure").select("home", "key", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))
+    y = here.select("home", "key", F.col("node").alias("b"), F.col("open").alias("open_b"), F.col("sure").alias("sure_b"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part"))
+    tried = x.join(y, ["home", "key", "part"]).filter((F.col("a") != F.col("b")) & (F.col("sure_b") | ~F.col("open_b") | (F.col("a") < F.col("b")))).select("home", "a", "b").distinct()
+    side = lambda k: some.select("home", F.col("node").alias(k), F.col("diff").alias(f"diff_{k}"), F.col("slack").alias(f"slack_{k}"))
+    tested = tried.join(side("a"), ["home", "a"]).join(side("b"), ["home", "b"]).filter(F.col("slack_a") + F.col("slack_b") + each * F.size(F.array_intersect("diff_a", "diff_b")) >= 0).select("a", "b")
+    return links.unionByName(joined).unionByName(tested)
+
+
+def need_of_open(most_open: Column, most: Column, each: int) -> Column:
+    """How many differences any open class must share at least, with whomever."""
+    return F.greatest(F.ceil((-most_open - most) / each), F.lit(1))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, lane: int = LANE, block: int = LIST) -> DataFrame:
@@ -263,16 +343,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                 sets = [s.tobytes() for s in shingler(part.column("text").to_pylist())]
                 yield pa.record_batch([part.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs of numbers (a, b) that link, as pairs of names."""
-        pairs = materialise(pairs.select("a", "b"), "near-pairs")
+    def links_of(pairs: DataFrame, homes: bool) -> DataFrame:
+        """What `verified` says of the pairs of numbers (a, b); the home of b is the a that it meets most often."""
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")) == 1
+        pairs = materialise(pairs.select("a", "b", best.alias("home")) if homes else pairs.select("a", "b", F.lit(False).alias("home")), "near-pairs")
         wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
         rows_ = numbered.join(wanted, numbered.number == wanted.a, "left_semi").select("node", F.col("row.doc_id").alias("want_id"), F.col("row.text_hash").alias("want_hash"))
         found = texts.join(rows_, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash"))).select("node", "text").dropDuplicates(["node"])
         sets = materialise(found.mapInArrow(lean(sets_of), "node binary, set binary"), "near-sets")
         side = lambda k: sets.select(_number(F.col("node")).alias(k), F.col("node").alias(f"node_{k}"), F.col("set").alias(f"set_{k}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "set_a", "set_b")
-        links = materialise(both.mapInArrow(lean(lambda found: verified(found, percent)), "a binary, b binary"), "near-links")
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("node_a", "node_b", "home", "set_a", "set_b")
+        links = materialise(both.mapInArrow(lean(lambda found: verified(found, percent)), "node_a binary, node_b binary, linked boolean, size_a long, size_b long, diff array<long>"), "near-links")
         discard(pairs, sets)
         return links
 
@@ -281,12 +362,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     hubs = posted.filter("number = hub.number").withColumn("top", F.max("hub").over(Window.partitionBy("shingle")))
     spokes = posted.select("hub", "number", "meta", "pos").unionByName(hubs.select(F.col("top").alias("hub"), "number", "meta", "pos")).filter("number <> hub.number")
     spokes = spokes.select(F.col("hub.number").alias("a"), F.col("hub.meta").alias("meta_a"), F.col("hub.pos").alias("pos_a"), F.col("number").alias("b"), F.col("meta").alias("meta_b"), F.col("pos").alias("pos_b"))
-    first = links_of(_candidates(spokes.filter(_can_link(percent, "pos")), percent, False))
+    first = links_of(_candidates(spokes.filter(_can_link(percent, "pos")), percent, False), True)
+    members = materialise(_members(first), "near-members")
+    inside = _links_of_groups(members, percent, block)
 
-    # Round two: what isn't joined to the same hub by now.
-    to = first.select(_number(F.col("b")).alias("number"), _number(F.col("a")).alias("up")).groupBy("number").agg(F.min("up").alias("up"))
-    for _ in range(2):
-        to = to.join(to.select(F.col("number").alias("up"), F.col("up").alias("further")), "up", "left").select("number", F.coalesce("further", "up").alias("up"))
+    # Round two: what isn't of the same group.
+    to = members.filter("node <> home").select("number", F.col("home_number").alias("up"))
     # What a class shares with others before a shingle that both have in their prefixes is among its postings.
     rank = (F.row_number().over(Window.partitionBy("number").orderBy("pos")) - 1).alias("rank")
     ranked = posted.select("shingle", "number", "meta", "pos", rank)
@@ -309,7 +390,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     turn = F.struct(_size("meta_x"), F.col("x")) > F.struct(_size("meta_y"), F.col("y"))
     met = met.select(*[F.when(turn, F.col(f"{c}{k}")).otherwise(F.col(f"{c}{j}")).alias(f"{c}{m}") for c in ("", "meta_", "pos_", "rank_", "use_") for m, j, k in (("a", "x", "y"), ("b", "y", "x"))])
     met = met.filter(F.col("use_a") & _can_link(percent, "rank"))
-    links = first.unionByName(links_of(_candidates(met, percent, True)))
+    named = [F.col("node_a").alias("a"), F.col("node_b").alias("b")]
+    links = first.filter("linked").select(*named).unionByName(links_of(_candidates(met, percent, True), False).filter("linked").select(*named)).unionByName(inside)
     discard(posted, split)
 
     group = components(links)
