@@ -84,7 +84,50 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_benchmark_decontamination, op3_toxicity, op4_source_mixing, op5_language_id, op6_quality_classifier, op7_ngram_jaccard_join, op8_lm_scoring, op9_exact_top_k, op10_substring_dedup, op11_sharding, op12_cross_tokenizer_alignment, op13_conversation_repair)}
+#: crc32 of a list of bytes, by its table of 256 entries.
+_CRC = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab)"
+_CRC_OF = "xor(4294967295, list_reduce([4294967295] || {}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+def _repair_sql() -> str:
+    """op13 as a forward dynamic programme: of each conversation, after each of its rows, the least (cost, audit, turns) by grammar
+    state. States that can't be reached cost very much."""
+    go = lambda s, cost, edit, turn="[]::VARCHAR[]": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 't': {s}.t || {turn}}}"
+    least = lambda *of: f"list_min([{', '.join(of)}])"
+    opened = lambda rows: f"SELECT conv_id, i, s0, s1, s2, {least('s3', go('s2', 2, 'I', "['assistant:']"))} AS s3 FROM (SELECT conv_id, i, s0, s1, {least('s2', *(go(f's{k}', 2, 'I', "['user:']") for k in (0, 1, 3)))} AS s2, s3 FROM {rows})"
+    far = "CASE WHEN {} THEN 0 ELSE 1000000000 END + cut"
+    kept, turned = "[role || ':' || text]", lambda r: f"['{r}:' || text]"
+    ok = "fault NOT IN ('b', 'd')"
+    to2 = [x for k in (0, 1, 3) for x in (go(f"s{k}", far.format(ok + " AND role[1] = 'u'"), "K", kept), go(f"s{k}", "2 + " + far.format(ok), "R", turned("user")))]
+    step = f"""SELECT x.conv_id, x.i + 1 AS i, {go('s0', 3, 'D')} AS s0, {least(go('s1', 3, 'D'), go('s0', far.format(ok + " AND role[1] = 's'"), 'K', kept))} AS s1,
+       {least(go('s2', 3, 'D'), *to2)} AS s2, {least(go('s3', 3, 'D'), go('s2', far.format(ok + " AND role[1] = 'a'"), 'K', kept), go('s2', '2 + ' + far.format(ok), 'R', turned('assistant')))} AS s3
+FROM way x JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i + 1"""
+    none = "{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}"
+    return f"""WITH RECURSIVE {_CRC},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+act AS (SELECT *, {_CRC_OF.format("list_transform(string_split(k, ''), lambda x: unicode(x)::BIGINT)")} % 20 AS act FROM src, tab),
+dmg AS (SELECT conv_id, turn, CASE WHEN act = 4 THEN 'user' ELSE role END AS role, CASE WHEN act = 1 THEN '' WHEN act = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN act = 3 THEN [0, 1] ELSE [0] END) AS again FROM act WHERE act <> 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM dmg),
+f AS (SELECT *, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS cut, lead(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS then_role FROM (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END AS fault FROM pos)),
+way AS ({opened("(SELECT DISTINCT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s0, " + f"{none} AS s1, {none} AS s2, {none} AS s3 FROM conversations)")}
+UNION ALL {opened(f"({step})")}),
+done AS (SELECT conv_id, list_min([s0, s3]) AS s FROM way QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+      count(*) FILTER (then_role IS NOT NULL AND role[1] || then_role NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, s.c AS cost, s.a AS audit, sha256(array_to_string(s.t, chr(10))) AS repaired_sha256
+FROM done LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_sharding": f"""
+WITH {_CRC},
+d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size, sum(strlen(coalesce(text, '')) + 16) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(strlen(coalesce(text, '')) + 16) OVER () AS total FROM documents),
+s AS (SELECT *, CAST((2 * upto - size) * 40 // (2 * total) AS INTEGER) AS shard FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({_CRC_OF.format("list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))")} AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s, tab""",
+    "op13_conversation_repair": _repair_sql(),
     "op2_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
