@@ -229,9 +229,69 @@ class Window:
 _WHO = "{ login __typename }"
 _SUM = "{ totalCount }"
 _TALK = f"id bodyText url createdAt updatedAt lastEditedAt isMinimized minimizedReason authorAssociation author {_WHO} reactions {_SUM}"
+_PAGE = "totalCount pageInfo { hasNextPage endCursor }"
+
+
+def _list(name: str, first: int, fields: str, include: str = "") -> str:
+    """A list inside a node: its first page, and what tells whether there are more (see `whole`)."""
+    return f"{name}(first: {first}) {{ {_PAGE} nodes{include} {{ {fields} }} }}"
+
+
+_PEOPLE, _LABELS, _NUMBER, _OID = "login", "id name", "number", "commit { oid }"
+_SUITE, _STATUS, _ASSET = "status conclusion workflowRun { databaseId }", "state createdAt description environmentUrl logUrl", "downloadCount"
+_LINE = f"{_TALK.replace('lastEditedAt ', '')} path line position diffHunk replyTo {{ id }}"
+_MARK = "id path createdAt originalLine outdated replyTo { id }"
+_REPLIED = f"{_TALK} isAnswer {_list('replies', 50, _TALK)}"
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What lists the nodes of a host's type hold: the fields of their nodes, and the type of these if they hold lists too."""
+
+    type: str
+    of: dict[str, str]
+    inner: dict[str, Lists] = field(default_factory=dict)
+
+
+#: The lists inside the nodes of each kind.
+NESTED = {
+    "issue": Lists("Issue", {"assignees": _PEOPLE, "labels": _LABELS}),
+    "pull_request": Lists("PullRequest", {"assignees": _PEOPLE, "labels": _LABELS, "commits": _OID}),
+    "review": Lists("PullRequestReview", {"comments": _LINE}),
+    "review_thread": Lists("PullRequestReviewThread", {"comments": _MARK}),
+    "commit": Lists("Commit", {"associatedPullRequests": _NUMBER, "checkSuites": _SUITE}),
+    "deployment": Lists("Deployment", {"statuses": _STATUS}),
+    "release": Lists("Release", {"releaseAssets": _ASSET}),
+    "discussion": Lists("Discussion", {"labels": "id", "comments": _REPLIED}, {"comments": Lists("DiscussionComment", {"replies": _TALK})}),
+    "discussion_comment": Lists("DiscussionComment", {"replies": _TALK}),
+}
+
+
+def whole(client: Client, node: dict, lists: Lists | None) -> dict:
+    """A node whose lists hold all of their nodes: what the first page left out is asked for by the node's id, page by page. Lists
+    that a profile leaves out stay out."""
+    for name, fields in (lists.of if lists else {}).items():
+        held = node.get(name)
+        if not held or "nodes" not in held:
+            continue
+        query = f"query($id: ID!, $cursor: String, $pageSize: Int!) {{ node(id: $id) {{ ... on {lists.type} {{ {name}(first: $pageSize, after: $cursor) {{ {_PAGE} nodes {{ {fields} }} }} }} }} rateLimit {{ cost remaining resetAt }} }}"
+        said, seen = held.get("pageInfo") or {}, None
+        while said.get("hasNextPage") and said.get("endCursor") and said["endCursor"] != seen and node.get("id"):
+            seen = said["endCursor"]
+            got = (client.graphql(query, id=node["id"], cursor=seen, pageSize=100).get("node") or {}).get(name)
+            if got is None:
+                raise FatalError(f"the answer has no {name!r} of {node['id']}")
+            held = {**held, "nodes": [*held["nodes"], *(got.get("nodes") or [])], "pageInfo": got.get("pageInfo") or {}}
+            said = held["pageInfo"]
+        if name in lists.inner:
+            held = {**held, "nodes": [whole(client, n, lists.inner[name]) for n in held["nodes"] if n]}
+        node = {**node, name: held}
+    return node
+
+
 _ABOUT = (
     f"id number title state url locked activeLockReason authorAssociation createdAt updatedAt closedAt bodyText author {_WHO} milestone {{ id }} reactionGroups {{ content reactors {_SUM} }} reactions {_SUM} participants {_SUM} "
-    f"comments {_SUM} timelineItems {_SUM} assignees(first: 20) {{ nodes {{ login }} }} labels(first: 50) {{ nodes {{ id name }} }}"
+    f"comments {_SUM} timelineItems {_SUM} {_list('assignees', 20, _PEOPLE)} {_list('labels', 50, _LABELS)}"
 )
 _COMMIT_STATE = f"statusCheckRollup {{ state }} associatedPullRequests(first: 1) {_SUM}"
 #: Kinds of timeline events with what they hold beside their time and actor, by where they occur.
@@ -282,24 +342,25 @@ _CREATED, _FALLING = Window(("createdAt",), True), Window(("createdAt",), False)
 _PR, _ISSUE = (("__pr_number", "number"),), (("__issue_number", "number"),)
 _REVIEW = f"id state bodyText submittedAt createdAt authorAssociation author {_WHO} commit {{ oid }}"
 
+#: Fixed values of the host's interface: the names of its connections, arguments and fields.
 RESOURCES: dict[str, Resource] = {
     "issues": Resource("issue", ("issues",), f"{_ABOUT} stateReason isPinned", _ASC % "UPDATED_AT" + ", filterBy: {since: $since}", "$since: DateTime", Window(("updatedAt",), True, True)),
-    "pull_requests": Resource("pull_request", ("pullRequests",), f"{_ABOUT} isDraft merged mergedAt headRefName baseRefName headRefOid reviewDecision additions deletions changedFiles mergedBy {_WHO} headRepository {{ nameWithOwner }} baseRepository {{ nameWithOwner }} autoMergeRequest {{ mergeMethod enabledBy {_WHO} }} statusCheckRollup @include(if: $withStatusChecks) {{ state }} reviews {_SUM} commits(first: 100) {{ totalCount nodes {{ commit {{ oid }} }} }}", _ASC % "CREATED_AT", "$withStatusChecks: Boolean = true", Window(("createdAt", "updatedAt"), True)),
+    "pull_requests": Resource("pull_request", ("pullRequests",), f"{_ABOUT} isDraft merged mergedAt headRefName baseRefName headRefOid reviewDecision additions deletions changedFiles mergedBy {_WHO} headRepository {{ nameWithOwner }} baseRepository {{ nameWithOwner }} autoMergeRequest {{ mergeMethod enabledBy {_WHO} }} statusCheckRollup @include(if: $withStatusChecks) {{ state }} reviews {_SUM} {_list('commits', 100, _OID)}", _ASC % "CREATED_AT", "$withStatusChecks: Boolean = true", Window(("createdAt", "updatedAt"), True)),
     "branches": Resource("branch", ("refs",), f"id name target {{ oid ... on Commit {{ committedDate author {{ user {{ login }} }} }} }} associatedPullRequests {_SUM} branchProtectionRule {{ requiresApprovingReviews requiredApprovingReviewCount requiresStatusChecks requiredStatusCheckContexts requiresLinearHistory allowsForcePushes allowsDeletions isAdminEnforced requiresConversationResolution requiresCodeOwnerReviews }}", 'refPrefix: "refs/heads/"'),
     "tags": Resource("tag", ("refs",), f"id name target {{ __typename oid ... on Commit {{ committedDate signature {{ isValid }} author {{ name email user {{ login }} }} {_COMMIT_STATE} }} ... on Tag {{ message tagger {{ name email date user {{ login }} }} target {{ oid ... on Commit {{ {_COMMIT_STATE} }} }} }} }}", 'refPrefix: "refs/tags/"'),
     "milestones": Resource("milestone", ("milestones",), f"id number title description state url dueOn createdAt updatedAt closedAt progressPercentage creator {_WHO} issues(states: OPEN) {_SUM} closedIssues: issues(states: CLOSED) {_SUM} pullRequests(states: OPEN) {_SUM} mergedPRs: pullRequests(states: MERGED) {_SUM} closedUnmergedPRs: pullRequests(states: CLOSED) {_SUM}"),
     "issue_comments": Resource("issue_comment", ("issue", "comments"), _TALK, parent="issue", carried=_ISSUE),
     "pr_comments": Resource("pr_comment", ("pullRequest", "comments"), _TALK, parent="pull_request", carried=_PR),
     "pr_commits": Resource("commit_of_pr", ("pullRequest", "commits"), "commit { oid }", parent="pull_request", carried=(("number", "number"),), page_size=100),
-    "pr_reviews": Resource("review", ("pullRequest", "reviews"), f"{_REVIEW} comments(first: 50) {{ totalCount nodes @include(if: $withReviewComments) {{ {_TALK.replace('lastEditedAt ', '')} path line position diffHunk replyTo {{ id }} }} }}", variables="$withReviewComments: Boolean = true", parent="pull_request", carried=_PR, page_size=30, profile="withReviews"),
-    "pr_threads": Resource("review_thread", ("pullRequest", "reviewThreads"), f"id isResolved isOutdated resolvedBy {_WHO} comments(first: 50) {{ totalCount nodes {{ id path createdAt originalLine outdated replyTo {{ id }} }} }}", parent="pull_request", carried=_PR, profile="withThreads"),
+    "pr_reviews": Resource("review", ("pullRequest", "reviews"), f"{_REVIEW} {_list('comments', 50, _LINE, ' @include(if: $withReviewComments)')}", variables="$withReviewComments: Boolean = true", parent="pull_request", carried=_PR, page_size=30, profile="withReviews"),
+    "pr_threads": Resource("review_thread", ("pullRequest", "reviewThreads"), f"id isResolved isOutdated resolvedBy {_WHO} {_list('comments', 50, _MARK)}", parent="pull_request", carried=_PR, profile="withThreads"),
     "pr_timeline": Resource("timeline", ("pullRequest", "timelineItems"), _happenings(PR_TIMELINE), parent="pull_request", carried=(*_PR, ("__pr_head_ref", "headRefName"), ("__parent_type", "=PullRequest")), profile="withTimeline"),
     "issue_timeline": Resource("timeline", ("issue", "timelineItems"), _happenings(TIMELINE), parent="issue", carried=(*_ISSUE, ("__parent_type", "=Issue")), profile="withTimeline"),
-    "commits": Resource("commit", ("defaultBranchRef", "target", "history"), f"oid message committedDate authoredDate additions deletions changedFilesIfAvailable parents {_SUM} author {{ name user {{ login }} }} committer {{ name user {{ login }} }} signature {{ isValid signer {{ login }} }} associatedPullRequests(first: 10) {{ nodes {{ number }} }} checkSuites(first: 10) @include(if: $withStatusChecks) {{ nodes {{ status conclusion workflowRun {{ databaseId }} }} }}", "since: $sinceGit", "$sinceGit: GitTimestamp, $withStatusChecks: Boolean = true", Window(("committedDate",), False, True)),
-    "deployments": Resource("deployment", ("deployments",), f"id databaseId environment state task createdAt commit {{ oid }} ref {{ name }} creator {_WHO} statuses(first: 50) {{ nodes {{ state createdAt description environmentUrl logUrl }} }}", _DESC % "CREATED_AT", window=_FALLING, page_size=100),
-    "releases": Resource("release", ("releases",), f"id databaseId tagName name description url isPrerelease isDraft createdAt publishedAt updatedAt author {_WHO} tag {{ id target {{ __typename oid ... on Tag {{ target {{ oid }} }} }} }} releaseAssets(first: 50) {{ totalCount nodes {{ downloadCount }} }}", _ASC % "CREATED_AT", window=_CREATED),
-    "discussions": Resource("discussion", ("discussions",), f"id number title url locked bodyText createdAt updatedAt upvoteCount answerChosenAt answerChosenBy {_WHO} category {{ name }} author {_WHO} labels(first: 20) {{ nodes {{ id }} }} reactions {_SUM} comments(first: 50) {{ totalCount nodes {{ {_TALK} isAnswer replies(first: 50) {{ nodes {{ {_TALK} }} }} }} }}", _ASC % "CREATED_AT", window=_CREATED, profile="withDiscussions"),
-    "discussion_comments": Resource("discussion_comment", ("discussion", "comments"), f"{_TALK} isAnswer", parent="discussion", carried=(("__discussion_number", "number"),), profile="withDiscussions"),
+    "commits": Resource("commit", ("defaultBranchRef", "target", "history"), f"id oid message committedDate authoredDate additions deletions changedFilesIfAvailable parents {_SUM} author {{ name user {{ login }} }} committer {{ name user {{ login }} }} signature {{ isValid signer {{ login }} }} {_list('associatedPullRequests', 10, _NUMBER)} {_list('checkSuites', 10, _SUITE, ' @include(if: $withStatusChecks)')}", "since: $sinceGit", "$sinceGit: GitTimestamp, $withStatusChecks: Boolean = true", Window(("committedDate",), False, True)),
+    "deployments": Resource("deployment", ("deployments",), f"id databaseId environment state task createdAt commit {{ oid }} ref {{ name }} creator {_WHO} {_list('statuses', 50, _STATUS)}", _DESC % "CREATED_AT", window=_FALLING, page_size=100),
+    "releases": Resource("release", ("releases",), f"id databaseId tagName name description url isPrerelease isDraft createdAt publishedAt updatedAt author {_WHO} tag {{ id target {{ __typename oid ... on Tag {{ target {{ oid }} }} }} }} {_list('releaseAssets', 100, _ASSET)}", _ASC % "CREATED_AT", window=_CREATED),
+    "discussions": Resource("discussion", ("discussions",), f"id number title url locked bodyText createdAt updatedAt upvoteCount answerChosenAt answerChosenBy {_WHO} category {{ name }} author {_WHO} {_list('labels', 20, 'id')} reactions {_SUM} {_list('comments', 50, _REPLIED)}", _ASC % "CREATED_AT", window=_CREATED, profile="withDiscussions"),
+    "discussion_comments": Resource("discussion_comment", ("discussion", "comments"), _REPLIED, parent="discussion", carried=(("__discussion_number", "number"),), profile="withDiscussions"),
 }
 _HISTORY = "defaultBranchRef { name target { ... on Commit { kept: history(since: $sinceGit) { totalCount } history { totalCount } } } }"
 #: The query of a repository's own attributes and of how many nodes its connections have.
@@ -379,7 +440,7 @@ def nodes(client: Client, name: str, since: str | None = None, until: str | None
             if place == "in":
                 if r.kind == "commit_of_pr":
                     node = {"__commit": (node.get("commit") or {}).get("oid")}
-                yield r.kind, said | node
+                yield r.kind, said | whole(client, node, NESTED.get(r.kind))
 
 
 def workflow_runs(client: Client, since: str | None = None, until: str | None = None) -> Iterator[tuple[str, dict]]:
@@ -497,9 +558,19 @@ def of_profile(landed_nodes: DataFrame, name: str = "standard") -> DataFrame:
 
 
 def overflowing(landed_nodes: DataFrame) -> DataFrame:
-    """repo, kind, number, total, embedded: nodes whose embedded comments (discussions) or commits (pull requests) are not all
-    there, so that their children have to be read by themselves."""
-    child = F.when(F.col("kind") == "discussion", F.get_json_object("node", "$.comments")).when(F.col("kind") == "pull_request", F.get_json_object("node", "$.commits"))
-    whole = landed_nodes.select("repo", "kind", F.get_json_object("node", "$.number").cast("long").alias("number"), child.alias("c")).filter("c is not null")
-    size = F.size(F.coalesce(F.from_json(F.get_json_object("c", "$.nodes"), "array<string>"), F.array().cast("array<string>")))
-    return whole.select("repo", "kind", "number", F.coalesce(F.get_json_object("c", "$.totalCount").cast("long"), F.lit(0)).alias("total"), size.alias("embedded")).filter("total > embedded")
+    """repo, kind, id, number, list, total, embedded: nodes of landed answers with a list that is not all there, so that its nodes
+    have to be read by themselves (`whole` does, where nodes are read by this source). ``list`` is a path (comments, comments.replies);
+    of the inner one each outer node has its row."""
+    nothing = F.array().cast("array<string>")
+    held = lambda node, name: F.get_json_object(node, f"$.{name}")
+    inside = lambda node: F.coalesce(F.from_json(F.get_json_object(node, "$.nodes"), "array<string>"), nothing)
+    row = lambda path, id_, said: F.struct(F.lit(path).alias("list"), id_.alias("id"), F.get_json_object(said, "$.totalCount").cast("long").alias("total"), F.size(inside(said)).alias("embedded"))
+    inner_rows = lambda name, x: F.transform(inside(held("node", name)), lambda n: row(f"{name}.{x}", held(n, "id"), held(n, x)))
+    kinds = []
+    for kind, lists in NESTED.items():
+        own = [F.array(row(name, held("node", "id"), held("node", name))) for name in lists.of]
+        own += [inner_rows(name, x) for name, inner in lists.inner.items() for x in inner.of]
+        kinds.append((kind, F.flatten(F.array(*own))))
+    found = F.coalesce(*[F.when(F.col("kind") == k, rows) for k, rows in kinds])
+    rows = landed_nodes.select("repo", "kind", held("node", "number").cast("long").alias("number"), F.explode(found).alias("r"))
+    return rows.select("repo", "kind", "r.id", "number", "r.list", "r.total", "r.embedded").filter("total > embedded")

@@ -176,7 +176,76 @@ def test_data_source(spark, host, tmp_path):
 
 
 def test_overflow_and_profile_of_landed_nodes(spark):
-    rows = [("x", "discussion", json.dumps({"number": 1, "comments": {"totalCount": 3, "nodes": [{"id": 1}]}})), ("x", "discussion", json.dumps({"number": 2, "comments": {"totalCount": 1, "nodes": [{"id": 1}]}})), ("x", "review_thread", "{}"), ("x", "issue", "{}")]
-    df = spark.createDataFrame(rows, "repo string, kind string, node string")
-    assert [(r.number, r.total, r.embedded) for r in connector.overflowing(df).collect()] == [(1, 3, 1)]
+    said = lambda total, *nodes: {"totalCount": total, "nodes": list(nodes)}
+    made = [
+        ("discussion", {"number": 1, "id": "D1", "comments": said(3, {"id": "c", "replies": said(2, {"id": "r"})}), "labels": said(1, {"id": "l"})}),
+        ("discussion", {"number": 2, "comments": said(1, {"id": "d", "replies": said(0)})}),
+        ("review_thread", {}), ("issue", {"number": 5, "id": "I5", "labels": said(60, *[{"id": k} for k in range(50)])}), ("deployment", {"id": "P", "statuses": said(2, {})}),
+    ]
+    df = spark.createDataFrame([("x", k, json.dumps(n)) for k, n in made], "repo string, kind string, node string")
+    found = {(r.kind, r.id, r.number, r.list, r.total, r.embedded) for r in connector.overflowing(df).collect()}
+    assert found == {("discussion", "D1", 1, "comments", 3, 1), ("discussion", "c", 1, "comments.replies", 2, 1), ("issue", "I5", 5, "labels", 60, 50), ("deployment", "P", None, "statuses", 2, 1)}
+    df = df.filter("kind <> 'deployment'")
     assert {r.kind for r in connector.of_profile(df, "standard").collect()} == {"discussion", "issue"} and connector.of_profile(df, "complete").count() == 4
+
+
+class Shelf:
+    """A host that holds one node with long lists, and gives pages of them by cursor."""
+
+    def __init__(self, lists, first):
+        self.lists, self.first, self.asked = lists, first, []
+
+    def page(self, key, cursor, size):
+        at = int(cursor or 0)
+        rows = self.lists[key]
+        return {"totalCount": len(rows), "nodes": rows[at : at + size], "pageInfo": {"hasNextPage": at + size < len(rows), "endCursor": str(at + size)}}
+
+    def graphql(self, query, **v):
+        assert query.count("{") == query.count("}")
+        if "id" not in v:  # the first page of everything
+            return {"repository": self.first(self)}
+        name = query.split("... on ")[1].split("{ ")[1].split("(")[0]
+        self.asked.append((v["id"], name, v["cursor"]))
+        page = self.page((v["id"], name), v["cursor"], v["pageSize"])
+        return {"node": {name: page}}
+
+
+def last_page(*nodes):
+    return {"nodes": list(nodes), "pageInfo": {"hasNextPage": False}}
+
+
+def test_lists_inside_nodes_are_read_whole():
+    asset = [{"downloadCount": k} for k in range(350)]
+    shelf = Shelf({("R", "releaseAssets"): asset}, lambda s: {"releases": last_page({"id": "R", "createdAt": "2024-01-01T00:00:00Z", "releaseAssets": s.page(("R", "releaseAssets"), None, 100)})})
+    ((kind, node),) = connector.nodes(shelf, "releases")
+    assert kind == "release" and sum(a["downloadCount"] for a in node["releaseAssets"]["nodes"]) == sum(range(350)) and [c for *_, c in shelf.asked] == ["100", "200", "300"]
+
+    talk = {("D", "labels"): [{"id": f"l{k}"} for k in range(45)], ("D", "comments"): []}
+    for k in range(120):
+        talk[(f"c{k}", "replies")] = [{"id": f"r{k}-{j}"} for j in range(130 if k in (3, 119) else 1)]
+    shelf = Shelf(talk, None)
+    talk[("D", "comments")] = [{"id": f"c{k}", "replies": shelf.page((f"c{k}", "replies"), None, 50)} for k in range(120)]
+    shelf.first = lambda s: {"discussions": last_page({"id": "D", "number": 1, "labels": s.page(("D", "labels"), None, 20), "comments": s.page(("D", "comments"), None, 50)})}
+    ((_, node),) = connector.nodes(shelf, "discussions")
+    assert len(node["labels"]["nodes"]) == 45 and [c["id"] for c in node["comments"]["nodes"]] == [f"c{k}" for k in range(120)]
+    assert [len(c["replies"]["nodes"]) for c in node["comments"]["nodes"]] == [130 if k in (3, 119) else 1 for k in range(120)]
+
+
+def test_every_list_goes_on_by_its_id():
+    """Each declared list of each kind is asked for in its query, with its count and its cursor, and read to its end."""
+    of_kind = {"issue": "issues", "pull_request": "pull_requests", "review": "pr_reviews", "review_thread": "pr_threads", "commit": "commits", "deployment": "deployments", "release": "releases", "discussion": "discussions", "discussion_comment": "discussion_comments"}
+    assert set(of_kind) == set(connector.NESTED)
+    for kind, lists in connector.NESTED.items():
+        query = connector.RESOURCES[of_kind[kind]].query
+        assert query.count("(first: ") == query.count("pageInfo { hasNextPage endCursor }") + query.count("(first: 1)")
+        for name in lists.of:
+            assert f"{name}(first: " in query and " id " in f" {connector.RESOURCES[of_kind[kind]].fields} "
+            shelf = Shelf({("N", name): [{"id": str(k), "n": k} for k in range(230)]}, None)
+            node = connector.whole(shelf, {"id": "N", name: shelf.page(("N", name), None, 20)}, lists)
+            assert [n["n"] for n in node[name]["nodes"]] == list(range(230)) and len(shelf.asked) == 3
+    off = {"id": "V", "comments": {"totalCount": 9, "pageInfo": {"hasNextPage": True, "endCursor": "5"}}}
+    assert connector.whole(Shelf({}, None), off, connector.NESTED["review"]) == off  # a profile has left the comments out
+    with pytest.raises(connector.FatalError):
+        gone = Shelf({}, None)
+        gone.graphql = lambda q, **v: {"node": None}
+        connector.whole(gone, {"id": "R", "releaseAssets": {"nodes": [], "pageInfo": {"hasNextPage": True, "endCursor": "5"}}}, connector.NESTED["release"])
