@@ -10,7 +10,7 @@ from collections import Counter
 
 import pytest
 
-from objectlog.llm import align, common, dialogue, langid, lm, sharding, toxicity
+from objectlog.llm import align, common, dialogue, langid, lm, near, sharding, toxicity
 from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
@@ -260,3 +260,61 @@ def test_long_words_of_every_text_are_frequent(spark):
     rows = [sorted(map(tuple, lm.lm_scores(docs, path, frequent=n).collect())) for n in (1, 1_000)]
     assert [r[:5] for r in rows[0]] == [r[:5] for r in rows[1]]
     assert all(abs(x - y) < 1e-6 * abs(x) for a, b in zip(*rows) for x, y in zip(a[5:], b[5:]))
+
+
+# --- Pages of one template, which all but link ---
+
+
+def jaccard_roots(rows, width, percent):
+    """Components by all pairs of sets."""
+    sets = {i: {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} for i, w in ((i, t.split()) for i, t in rows)}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return {i: find(i) for i in up}
+
+
+def grid_pages(n, own, places, pool=0, seed=0):
+    """Pages of 240 words, ``own`` of them their own or out of a pool, at some of ``places`` places four words apart."""
+    rnd, out = random.Random(seed), []
+    for i in range(n):
+        words = [f"t{k}" for k in range(240)]
+        for j in rnd.sample(range(2, 236, 4)[:places], own):
+            words[j] = f"own{rnd.randrange(pool)}" if pool else f"own{i}at{j}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize(("own", "places", "pool", "width", "percent"), [(3, 59, 0, 4, 85), (5, 59, 0, 4, 85), (3, 10, 30, 4, 85), (6, 30, 30, 5, 80)])
+def test_pages_just_below_the_threshold(spark, own, places, pool, width, percent):
+    rows = grid_pages(120, own, places, pool)
+    got = near.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3), width, percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == jaccard_roots(rows, width, percent)
+
+
+def test_work_on_such_pages_grows_with_them(spark, monkeypatch):
+    """Tested pairs and rows of lists of 150 and of 600 pages, whose pairs are 16 times as many."""
+    seen, real = Counter(), near.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        seen[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near, "materialise", counted)
+    work = []
+    for n in (150, 600):
+        seen.clear()
+        near.jaccard_components(spark.createDataFrame(grid_pages(n, 3, 59), DOCS)).count()
+        work.append({k: seen[k] for k in ("near-pairs", "near-lists", "near-split")})
+    assert work[1]["near-pairs"] <= 2 * 600 and all(work[1][k] <= 5 * max(work[0][k], 150) for k in work[0]), work
