@@ -9,6 +9,7 @@ each run. All phrases are searched backward at once by wavelet ranks; hits walk
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -229,38 +230,75 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_
     parts = max(1, -(-size // (item_words * 6)))
     out = rowed(docs).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
     schema = out.schema
-    for part in range(parts):
+
+    def phrases_of(part: int):  # noqa: ANN202
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        phrases = send(spark, Phrases(sorted((r.item, bytes(r.text)) for r in own), window))
+        return send(spark, Phrases(sorted((r.item, bytes(r.text)) for r in own), window))
+
+    def shards(texts: pa.Array, phrases) -> Iterator[tuple[int, list[tuple]]]:  # noqa: ANN001
+        """(where it begins, what `hits` says of each of its texts) of each shard; copies in a shard are indexed once."""
+        at = 0
+        while at < len(texts):
+            own, number, bytes_ = {}, [], 0
+            while at + len(number) < len(texts) and bytes_ < shard_words * 6:
+                t = texts[at + len(number)].as_py() or b""
+                bytes_ += len(t) if t not in own else 0
+                number.append(own.setdefault(t, len(own)))
+            got = hits(list(own), phrases.value)
+            yield at, [(n, _merged(spans), names) for n, spans, names in (got[k] for k in number)]
+            at += len(number)
+
+    def told(rows: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        n, spans, names = zip(*found, strict=True)
+        return pa.record_batch([rows, pa.array(n, pa.int64()), pa.array(spans, kinds[0]), pa.array(names, kinds[1])], names=["row", *NEW])
+
+    kinds = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string())
+    if parts == 1:
+        phrases = phrases_of(0)
+
+        def search(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                rows = batch.column("row")
+                for at, got in shards(text_of(rows).cast(pa.binary()), phrases):
+                    yield told(rows.slice(at, len(got)), got)
+
+        if last:
+            return out.select("row").mapInArrow(lean(lambda found: last(search(found))), out.select("row").schema)
+        return out.select("row").mapInArrow(lean(search), schema)
+
+    # Each part leaves only what it finds, by text; the documents are read again for each, and joined to all of it once.
+    key = F.substring(F.sha2(F.coalesce("row.text", F.lit("")), 256), 1, 32).alias("text_key")
+    texts = out.select(key, F.col("row.text").cast("binary").alias("text"))
+    parts_found = []
+    for part in range(parts):
+        phrases = phrases_of(part)
 
-        def search(found: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+        def search_part(found: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for batch in found:
-                texts = text_of(batch.column("row")).cast(pa.binary())
-                at = 0
-                while at < batch.num_rows:  # a shard
-                    own, number, bytes_ = {}, [], 0
-                    while at + len(number) < batch.num_rows and bytes_ < shard_words * 6:
-                        t = texts[at + len(number)].as_py() or b""
-                        bytes_ += len(t) if t not in own else 0
-                        number.append(own.setdefault(t, len(own)))  # copies in a shard are indexed once
-                    got, shard = hits(list(own), phrases.value), batch.slice(at, len(number))
-                    n, spans, items_ = [got[k][0] for k in number], shard.column("hit_spans").to_pylist(), shard.column("hit_items").to_pylist()
-                    for i, k in enumerate(number):
-                        _, s, it = got[k]
-                        if s:
-                            spans[i] = _merged([(x["first"], x["last"]) for x in spans[i]] + s)
-                            items_[i] = sorted({*items_[i], *it})
-                    at += len(number)
-                    new = [pa.array(n, pa.int64()), pa.array(spans, batch.schema.field("hit_spans").type), pa.array(items_, batch.schema.field("hit_items").type)]
-                    yield pa.record_batch([shard.column("row"), *new], names=["row", *NEW])
-
-        if last and part == parts - 1:
-            return out.mapInArrow(lean(lambda found, search=search: last(search(found))), out.select("row").schema)
-        out = out.mapInArrow(lean(search), schema)
-        if part < parts - 1:  # one stage for each part: no task holds the phrases of two
-            out = materialise(out, "benchmark-part")
-            phrases.unpersist()
-    return out
+                for at, got in shards(batch.column("text"), phrases):
+                    hit = [k for k, (_, spans, _) in enumerate(got) if spans]
+                    keys = batch.column("text_key").slice(at, len(got)).take(pa.array(hit, pa.int64()))
+                    yield pa.record_batch([keys, pa.array([got[k][1] for k in hit], kinds[0]), pa.array([got[k][2] for k in hit], kinds[1])], names=["text_key", "spans", "names"])
+
+        found = texts.mapInArrow(lean(search_part), f"text_key string, spans {SPANS.simpleString()}, names array<string>")
+        parts_found.append(materialise(found.groupBy("text_key").agg(F.first("spans").alias("spans"), F.first("names").alias("names")), "benchmark-part"))
+        phrases.unpersist()
+    all_found = reduce(DataFrame.unionByName, parts_found)  # of a text a row for each part at most
+    all_found = all_found.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    joined = out.select("row", key).join(all_found, "text_key", "left").select("row", "spans", "names")
+
+    def settle(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for part in slices(batch, "row"):
+                rows = part.column("row")
+                spans = [_merged([(x["first"], x["last"]) for x in s or ()]) for s in part.column("spans").to_pylist()]
+                names = [n or [] for n in part.column("names").to_pylist()]
+                n = [len(words_of((t or "").encode())) for t in text_of(rows).to_pylist()]
+                yield told(rows, list(zip(n, spans, names, strict=True)))
+
+    if last:
+        return joined.mapInArrow(lean(lambda found: last(settle(found))), out.select("row").schema)
+    return joined.mapInArrow(lean(settle), schema)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, item_words: int = ITEM_WORDS) -> DataFrame:
@@ -270,8 +308,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     A window is ``window`` consecutive words of an item, or all words of a shorter one. Null texts have no words; null and
     wordless items no windows; a null item id counts as the text ''. Repeated rows are searched once a shard and agree;
     items that share an id count as one. Columns of ``docs`` named as the new ones are replaced. Items go to the workers
-    in parts of at most ``item_words`` words (an item longer than that is a part of its own); each part is searched by a
-    stage of its own, written before the next one begins, so what is broadcast at once is bounded.
+    in parts of about ``item_words`` words, each searched by a job of its own, so what is broadcast at once is bounded. With
+    several parts only what each finds is written, by a digest of the text, and joined to the documents once.
     """
     return unrowed(searched(docs, benchmark, window, shard_words, item_words), docs.columns, NEW)
 
