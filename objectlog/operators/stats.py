@@ -82,3 +82,27 @@ def audit(log: ObjectLog) -> DataFrame:
     part = lambda df, section, name: df.groupBy(F.lit(section).alias("section"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
     linked = log.events.join(log.e2o.select("eid"), "eid", "left_semi").agg(F.lit("events").alias("section"), F.lit("linked").alias("name"), F.count("*").alias("n"))
     return part(log.events, "activity", "activity").unionByName(part(log.objects, "object_type", "otype")).unionByName(part(log.e2o, "e2o_qualifier", "qualifier")).unionByName(part(log.o2o, "o2o_qualifier", "qualifier")).unionByName(linked)
+
+
+def linked(log: ObjectLog) -> DataFrame:
+    """source_type, qualifier, target_type, n, sources, targets, source_ratio, target_ratio: relations between objects by kind, how
+    many distinct objects they link on either side, and what share of all objects of their type these are (rounded to 4).
+    Ends that are no objects of the log have a null type and ratio; an object of several types counts under the least one."""
+    types = log.objects.groupBy("oid").agg(F.min("otype").alias("otype"))
+    of = lambda end: types.select(F.col("oid").alias(f"{end}_oid"), F.col("otype").alias(f"{end}_type"))
+    rows = log.o2o.join(of("src"), "src_oid", "left").join(of("tgt"), "tgt_oid", "left")
+    counts = rows.groupBy("src_type", "qualifier", "tgt_type").agg(F.count("*").alias("n"), F.countDistinct("src_oid").alias("sources"), F.countDistinct("tgt_oid").alias("targets"))
+    sizes = types.groupBy("otype").agg(F.count("*").alias("size"))
+    size = lambda end: sizes.select(F.col("otype").alias(f"{end}_type"), F.col("size").alias(f"{end}_size"))
+    met = counts.join(size("src"), "src_type", "left").join(size("tgt"), "tgt_type", "left")
+    ratio = lambda part, end: F.round(F.col(part) / F.col(f"{end}_size"), 4)
+    return met.select(F.col("src_type").alias("source_type"), "qualifier", F.col("tgt_type").alias("target_type"), "n", "sources", "targets", ratio("sources", "src").alias("source_ratio"), ratio("targets", "tgt").alias("target_ratio"))
+
+
+def breakdown(log: ObjectLog, attribute: str, object_type: str | None = None) -> DataFrame:
+    """otype, value, objects: how many distinct objects of each type have had each value of an attribute; the value is null for
+    objects that never had one."""
+    mine = log.objects if object_type is None else log.objects.filter(F.col("otype") == object_type)
+    value = F.col("attrs")[attribute]
+    had = log.changes.filter(value.isNotNull()).select("otype", "oid", value.alias("value")).distinct()
+    return mine.select("otype", "oid").distinct().join(had, ["otype", "oid"], "left").groupBy("otype", "value").agg(F.count("*").alias("objects"))

@@ -180,6 +180,25 @@ def audit_report(spark, d):
     return stats.audit(activity_log(spark, d))
 
 
+@query(
+    """WITH o AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+SELECT 'Order' AS source_type, 'placed_by' AS qualifier, 'Customer' AS target_type, n, n AS sources, customers AS targets, round(n / (SELECT count(*) FROM orders), 4) AS source_ratio, round(customers / (SELECT count(*) FROM customer), 4) AS target_ratio FROM o"""
+)
+def linked_objects(spark, d):
+    """Relations between objects by kind, and which share of the objects they link."""
+    return stats.linked(commerce_log(spark, d))
+
+
+@query("SELECT 'Customer' AS otype, o_orderstatus AS value, count(DISTINCT c_custkey) AS objects FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY o_orderstatus")
+def attribute_breakdown(spark, d):
+    """How many customers have had orders of each status, or none."""
+    from dataclasses import replace
+
+    o = table(spark, d, "orders")
+    changes = o.select(F.concat(F.lit("c"), "o_custkey").alias("oid"), F.lit("Customer").alias("otype"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("status").alias("changed_field"), F.create_map(F.lit("status"), "o_orderstatus").alias("attrs"))
+    return stats.breakdown(replace(commerce_log(spark, d), changes=changes), "status", "Customer")
+
+
 # Set algebra
 
 
