@@ -88,33 +88,58 @@ class Aligner:
         new = list(pieces - self.index.keys())
         for at in range(0, len(new), 2_000):
             part = new[at : at + 2_000]
-            tokens_a = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            tokens_b = self.b.encode([p[1:] for p in part], num_threads=1)  # the library puts one space before
-            given_back = [b"".join(map(self.bytes_a.__getitem__, x)) == t and b"".join(map(self.bytes_b.__getitem__, y)) == t for t, x, y in zip(map(str.encode, part), tokens_a, tokens_b, strict=True)]
-            n, said, links = self.groups([x if ok else [] for x, ok in zip(tokens_a, given_back, strict=True)], [y if ok else [] for y, ok in zip(tokens_b, given_back, strict=True)])
-            n[:2, ~np.array(given_back)] = -1
-            self.index.update(zip(part, range(len(self.said), len(self.said) + len(part)), strict=True))
-            self.said.extend(said)
-            self.chars += sum(map(len, part))
-            before = len(self.links) + np.cumsum(n[2]) - n[2]
-            self.table = np.concatenate([self.table, np.vstack([n, before])], axis=1)
-            self.links = np.concatenate([self.links, links])
-
-    def groups(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Of pieces whose tokens A and B both make up: tokens of A, of B and links of each, its groups, and all links. The
-        pieces stand in one row of bytes, in which both end together."""
-        n_a, n_b = np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64)
-        flat_a, flat_b = [i for x in a for i in x], [i for x in b for i in x]
-        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
-        _, in_a, in_b = np.intersect1d(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]), assume_unique=True, return_indices=True)
+            # One text of all of them has the tokens of each, but for those that end in white space, which another space would join.
+            ends_plain = [p for p in part if not p[-1].isspace()] if self.apart else []
+            if ends_plain and (got := self.together(ends_plain)):
+                self.keep(ends_plain, *got)
+                part = [p for p in part if p[-1].isspace()]
+            if part:
+                self.keep(part, *self.one_by_one(part))
+
+    def keep(self, part: list[str], n: np.ndarray, said: list[str], links: np.ndarray) -> None:
+        self.index.update(zip(part, range(len(self.said), len(self.said) + len(part)), strict=True))
+        self.said.extend(said)
+        self.chars += sum(map(len, part))
+        before = len(self.links) + np.cumsum(n[2]) - n[2]
+        self.table = np.concatenate([self.table, np.vstack([n, before])], axis=1)
+        self.links = np.concatenate([self.links, links])
+
+    def together(self, part: list[str]) -> tuple[np.ndarray, list[str], np.ndarray] | None:
+        """`groups` of pieces from one text of all of them; None if either vocabulary does not give it back."""
+        text = "".join(part)
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:], num_threads=1)
+        raw = text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum([len(p.encode()) for p in part])
+        upto = lambda ids, sizes: np.diff(np.searchsorted(np.cumsum(sizes[ids]), ends, "right"), prepend=0)
+        return self.groups(a, b, upto(a, self.size_a), upto(b, self.size_b))
+
+    def one_by_one(self, part: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """`groups` of pieces that are tokenized by themselves; -1 tokens for those that are not given back."""
+        tokens_a = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
+        tokens_b = self.b.encode([p[1:] for p in part], num_threads=1)  # the library puts one space before
+        given_back = [b"".join(map(self.bytes_a.__getitem__, x)) == t and b"".join(map(self.bytes_b.__getitem__, y)) == t for t, x, y in zip(map(str.encode, part), tokens_a, tokens_b, strict=True)]
+        kept = lambda tokens: [x if ok else [] for x, ok in zip(tokens, given_back, strict=True)]
+        flat = lambda tokens: np.array([i for x in tokens for i in x], np.int64)
+        a, b = kept(tokens_a), kept(tokens_b)
+        n, said, links = self.groups(flat(a), flat(b), np.array([*map(len, a)], np.int64), np.array([*map(len, b)], np.int64))
+        n[:2, ~np.array(given_back)] = -1
+        return n, said, links
+
+    def groups(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of pieces whose tokens A and B both make up (``n_a`` and ``n_b`` of each): tokens of A, of B and links of each, its
+        groups, and all links. The pieces stand in one row of bytes, in which both end together."""
+        _, in_a, in_b = np.intersect1d(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), assume_unique=True, return_indices=True)
         upto = np.searchsorted(in_a, np.cumsum(n_a) - 1, "right")  # links up to each piece's last
-        names_a, names_b = [*map(str, flat_a)], [*map(str, flat_b)]
+        names_a, names_b = [*map(str, a.tolist())], [*map(str, b.tolist())]
         said, i, j = [], 0, 0
         for k, m in zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True):
             said.append(f"{names_a[i] if k == i + 1 else ','.join(names_a[i:k])}|{names_b[j] if m == j + 1 else ','.join(names_b[j:m])}")
             i, j = k, m
         ends = upto.tolist()
-        return np.vstack([n_a, n_b, np.diff(upto, prepend=0)]), [";".join(said[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)], (ids_b[in_b] << 32) | ids_a[in_a]
+        return np.vstack([n_a, n_b, np.diff(upto, prepend=0)]), [";".join(said[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)], (b[in_b] << 32) | a[in_a]
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
         """Of each text the tokens of A and of B, the links and the groups; and all links in order of the texts."""
