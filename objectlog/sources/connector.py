@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -21,7 +22,7 @@ from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 class ConnectorError(Exception):
@@ -328,11 +329,19 @@ class Resource:
     @property
     def query(self) -> str:
         """The text of the query for one page."""
-        inner = f"{self.path[-1]}(first: $pageSize, after: $cursor{', ' if self.arguments else ''}{self.arguments}) {{ totalCount pageInfo {{ hasNextPage endCursor }} nodes {{ {self.fields} }} }}"
+        return self._query(self.fields, self.variables)
+
+    @property
+    def steps(self) -> str:
+        """The same without the nodes' fields: how many nodes a page has, and where the next one begins."""
+        return self._query("__typename", ", ".join(v for v in self.variables.split(", ") if v and re.search(re.escape(v.split(":")[0]) + r"\b", self.arguments)))
+
+    def _query(self, fields: str, variables: str) -> str:
+        inner = f"{self.path[-1]}(first: $pageSize, after: $cursor{', ' if self.arguments else ''}{self.arguments}) {{ totalCount pageInfo {{ hasNextPage endCursor }} nodes {{ {fields} }} }}"
         for step in reversed(self.path[:-1]):
             inner = f"{STEPS.get(step, step)} {{ {f'... on Commit {{ {inner} }}' if step == 'target' else inner} }}"
         number = ", $number: Int!" if self.parent else ""
-        return f"query($owner: String!, $repo: String!, $cursor: String, $pageSize: Int!{number}{', ' if self.variables else ''}{self.variables}) {{ repository(owner: $owner, name: $repo) {{ {inner} }} rateLimit {{ cost remaining resetAt }} }}"
+        return f"query($owner: String!, $repo: String!, $cursor: String, $pageSize: Int!{number}{', ' if variables else ''}{variables}) {{ repository(owner: $owner, name: $repo) {{ {inner} }} rateLimit {{ cost remaining resetAt }} }}"
 
 
 #: How a step of a path is asked for where that isn't its name.
@@ -513,9 +522,110 @@ class NodeReader(DataSourceReader):
             yield o["repo"], kind, json.dumps(node, ensure_ascii=False)
 
 
+@dataclass
+class Page(InputPartition):
+    """What one task of a stream reads: so many nodes of a resource after a cursor."""
+
+    resource: str
+    after: str
+    first: int
+
+
+class NodeStreamReader(DataSourceStreamReader):
+    """Resources without parents as a stream. An offset is the cursor of each resource and how many nodes stand before it, so a
+    query that is stopped between pages goes on where its checkpoint says.
+
+    The driver only walks the cursors (pages without fields), at most ``pages_per_batch`` of them a batch over all resources: that is
+    the budget which the batch's tasks share, one request each. A resource must come in an order that new nodes end
+    (by time of creation or update, rising); at its end the stream waits for more.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.options = dict(options)
+        self.names = [n for n in self.options.get("resources", "").split(",") if n]
+        if unfit := [n for n in self.names if n not in RESOURCES or RESOURCES[n].parent or (RESOURCES[n].window and not RESOURCES[n].window.ascending)]:
+            raise ValueError(f"no rising resources without parents: {unfit}")
+        self.size = int(self.options.get("page_size", 50))
+        self.at: dict | None = None
+        self.known: dict[tuple[str, str, int], tuple[str, int, bool]] = {}
+
+    def _asked(self, r: Resource) -> dict:
+        o = self.options
+        return {k: v for k, v in (("since", o.get("since")), ("sinceGit", o.get("since")), *profile(o.get("profile", "standard")).items()) if f"${k}:" in r.variables}
+
+    def _step(self, client: Client, name: str, after: str, first: int) -> tuple[str, int, bool]:
+        """Where the page after a cursor ends, its nodes, and whether more follow."""
+        key = name, after, first
+        if key not in self.known:
+            r = RESOURCES[name]
+            at: Any = client.graphql(r.steps, cursor=after or None, pageSize=first, **{k: v for k, v in self._asked(r).items() if f"${k}:" in r.steps})
+            for step in ("repository", *r.path):
+                at = (at or {}).get(step)
+                if at is None:
+                    raise FatalError(f"the answer has no {step!r}")
+            said, n = at.get("pageInfo") or {}, min(len(at.get("nodes") or []), first)
+            found = (said.get("endCursor") or after, n, bool(said.get("hasNextPage"))) if n else (after, 0, False)
+            if n < first:
+                return found  # the last page may grow
+            self.known[key] = found
+        return self.known[key]
+
+    def initialOffset(self) -> dict:
+        return {n: {"after": "", "nodes": 0} for n in self.names}
+
+    def latestOffset(self) -> dict:
+        self.at = self.at or self.initialOffset()
+        client, left, open_ = NodeReader(self.options)._client(), int(self.options.get("pages_per_batch", 20)), list(self.names)
+        now = {n: dict(self.at[n]) for n in self.names}
+        while open_ and left > 0:
+            for name in list(open_):
+                if left <= 0:
+                    break
+                left -= 1
+                end, n, more = self._step(client, name, now[name]["after"], self.size)
+                if not n or end == now[name]["after"]:
+                    open_.remove(name)
+                    continue
+                now[name] = {"after": end, "nodes": now[name]["nodes"] + n}
+                if not more:
+                    open_.remove(name)
+        self.at = now
+        return now
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        """The pages between two offsets, also after a restart: the same nodes, whatever has been added since."""
+        self.at = self.at or end
+        client, out = NodeReader(self.options)._client(), []
+        for name in self.names:
+            after, left = start[name]["after"], end[name]["nodes"] - start[name]["nodes"]
+            while left > 0:
+                first = min(self.size, left)
+                out.append(Page(name, after, first))
+                after, n, _ = self._step(client, name, after, first) if left > first else (after, first, False)
+                if not n:
+                    raise FatalError(f"{left} nodes of {name!r} are gone")
+                left -= n
+        return out
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        o, r, client = self.options, RESOURCES[partition.resource], NodeReader(self.options)._client()
+        at: Any = client.graphql(r.query, cursor=partition.after or None, pageSize=partition.first, **self._asked(r))
+        for step in ("repository", *r.path):
+            at = at[step]
+        a, b = moment(o.get("since")), moment(o.get("until"))
+        for node in (n for n in (at.get("nodes") or [])[: partition.first] if n):
+            if not r.window or r.window.place(node, a, b) == "in":
+                yield o["repo"], r.kind, json.dumps(whole(client, node, NESTED.get(r.kind)), ensure_ascii=False)
+
+    def commit(self, end: dict) -> None:
+        self.at = self.at or end
+        self.known.clear()
+
+
 class NodeSource(DataSource):
     """``spark.read.format("host_nodes")``: repo, kind, node. Options: repository (owner/name), repo (its object id), rest,
-    graphql, token, resources (comma-separated), parents (a JSON list), since, until, profile, page_size, tries, pause."""
+    graphql, token, resources (comma-separated), parents (a JSON list), since, until, profile, page_size, tries, pause.
+    ``spark.readStream`` too, for resources without parents that come in rising order; option pages_per_batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -527,6 +637,9 @@ class NodeSource(DataSource):
     def reader(self, schema) -> NodeReader:
         return NodeReader(self.options)
 
+    def streamReader(self, schema) -> NodeStreamReader:
+        return NodeStreamReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
     """Make the source known to a session."""

@@ -19,7 +19,7 @@ ISSUES = [issue(k, f"2024-01-{k:02d}T00:00:00Z") for k in range(1, 8)]
 
 
 class Host(BaseHTTPRequestHandler):
-    seen, fail = [], []
+    seen, fail, nodes, nulls = [], [], None, True
 
     def log_message(self, *_):
         pass
@@ -44,7 +44,9 @@ class Host(BaseHTTPRequestHandler):
             return self.answer(200, {"data": {"repository": {"issue": {"comments": {"nodes": nodes, "pageInfo": {"hasNextPage": False}}}}}})
         at = int(v["cursor"] or 0)
         end = at + v["pageSize"]
-        page = {"nodes": [*ISSUES[at:end], None], "pageInfo": {"hasNextPage": end < len(ISSUES), "endCursor": str(end)}}
+        held = ISSUES if Host.nodes is None else Host.nodes
+        end = min(end, len(held)) if Host.nodes is not None else end
+        page = {"nodes": held[at:end] + [None] * Host.nulls, "pageInfo": {"hasNextPage": end < len(held), "endCursor": str(end)}}
         self.answer(200, {"data": {"repository": {"issues": page}, "rateLimit": {"cost": 1, "remaining": 5000, "resetAt": "2024-01-01T00:00:00Z"}}})
 
     def do_GET(self):
@@ -249,3 +251,34 @@ def test_every_list_goes_on_by_its_id():
         gone = Shelf({}, None)
         gone.graphql = lambda q, **v: {"node": None}
         connector.whole(gone, {"id": "R", "releaseAssets": {"nodes": [], "pageInfo": {"hasNextPage": True, "endCursor": "5"}}}, connector.NESTED["release"])
+
+
+def test_a_stream_goes_on_where_it_was_stopped(spark, host, tmp_path, monkeypatch):
+    """Nodes come once each, over stops, restarts, a batch that was planned but not done, and nodes that are added later."""
+    Host.seen.clear(), Host.fail.clear()
+    monkeypatch.setattr(Host, "nulls", False)
+    monkeypatch.setattr(Host, "nodes", [issue(k, "2024-01-05T00:00:00Z") for k in range(1, 12)])
+    connector.register(spark)
+    read = lambda: spark.readStream.format("host_nodes").options(repository="o/r", repo="repo1", rest=host, graphql=host + "/graphql", resources="issues", page_size="3", pages_per_batch="2").load()
+    out, kept = str(tmp_path / "out"), str(tmp_path / "kept")
+
+    def run():
+        q = read().writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(json.loads(r.node)["number"] for r in spark.read.parquet(out).collect())
+
+    assert run() == list(range(1, 12))
+    assert len([v for v in Host.seen if v["pageSize"] == 3]) >= 4
+    Host.nodes.extend(issue(k, "2024-01-06T00:00:00Z") for k in range(12, 16))
+    assert run() == list(range(1, 16)) and run() == list(range(1, 16))
+    reader = connector.NodeStreamReader({"repository": "o/r", "repo": "x", "rest": host, "graphql": host + "/graphql", "resources": "issues", "page_size": "4", "pages_per_batch": "1"})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert end == {"issues": {"after": "4", "nodes": 4}} and reader.latestOffset()["issues"]["nodes"] == 8
+    again = connector.NodeStreamReader(reader.options)
+    pages = again.partitions(start, {"issues": {"after": "10", "nodes": 10}})
+    assert [(p.after, p.first) for p in pages] == [("", 4), ("4", 4), ("8", 2)]
+    assert [json.loads(n)["number"] for p in pages for *_, n in again.read(p)] == list(range(1, 11))
+    with pytest.raises(ValueError):
+        connector.NodeStreamReader({"resources": "commits"})
+    assert "$withStatusChecks" not in connector.RESOURCES["pull_requests"].steps and "$since:" in connector.RESOURCES["issues"].steps
