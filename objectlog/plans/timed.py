@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import cube, history, overlap, petri
+from ..operators import cube, history, overlap, petri, table_functions, traces
 from ..operators import replay as replays
 from ..sources.adapters import activity_log, commerce_log, conversation_log, table
 from ..sources.staging import folder
@@ -89,3 +89,11 @@ def replay_fitness(spark, d):
     log = conversation_log(spark, d)
     pairs = log.e2o.select(F.count("*")).first()[0]
     return replays.replay_fitness(log, petri.discover(log, least=max(1, pairs // 50)))
+
+
+@query(_LOG + "SELECT otype, oid, eid, activity, row_number() OVER w - 1 AS step, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap_us, row_number() OVER (PARTITION BY otype, oid, activity ORDER BY ts, eid) - 1 AS seen FROM t WINDOW w AS (PARTITION BY otype, oid ORDER BY ts, eid)")
+def trace_steps(spark, d):
+    """Places, gaps and loops of every trace, by a table function in SQL."""
+    table_functions.register(spark)
+    traces.trace(activity_log(spark, d)).createOrReplaceTempView("steps_of")
+    return spark.sql("SELECT otype, oid, eid, activity, step, gap_us, seen FROM trace_steps(TABLE(steps_of) PARTITION BY (otype, oid) ORDER BY (ts, eid))")

@@ -279,3 +279,15 @@ def test_parts_in_sequence_are_in_order():
     """Whatever their names: c before b before a."""
     assert str(petri.mine(set("abc"), {("c", "b"), ("b", "a")}, {"c"}, {"a"})) == "seq(c, b, a)"
     assert str(petri.mine(set("abx"), {("a", "b"), ("b", "x"), ("x", "a")}, {"a"}, {"b"})) == "loop(seq(a, b), x)"
+
+
+def test_steps_of_traces_in_sql(spark):
+    from objectlog.operators import table_functions
+
+    table_functions.register(spark)
+    rows = [("o1", "a", at(0), 1), ("o1", "b", at(5.5), 2), ("o1", "a", at(5.5), 3), ("o2", "a", at(9), 4), ("o1", None, None, 5), ("o2", "a", at(8), 6)]
+    spark.createDataFrame(rows, "oid string, activity string, ts timestamp, k int").createOrReplaceTempView("some_rows")
+    got = spark.sql("SELECT k, step, gap_us, seen FROM trace_steps(TABLE(some_rows) PARTITION BY oid ORDER BY (ts, k))").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, None, 0), (2, 2, 5_500_000, 0), (3, 3, 0, 1), (4, 1, 1_000_000, 1), (5, 0, None, 0), (6, 0, None, 0)]
+    with pytest.raises(Exception, match="activity and ts"):
+        spark.sql("SELECT * FROM trace_steps(TABLE(SELECT 1 AS x))").collect()
