@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text; null and empty texts have none. Each of repeated rows has its row."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside occurrences of benchmark windows, and the items that occur; null texts have no words, null items no windows."""
     found = decontaminate.find_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return found.select(
@@ -32,15 +34,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text, null and empty ones included (the bias alone); learned from labels of rows that are not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; null sources are one source, null texts have size 0 and nothing is taken of them."""
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text; null texts and texts without a letter are `und`."""
     found = langid.language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
@@ -52,18 +57,22 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document; null and wordless texts link with nothing, rows with equal sets link."""
     return near.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text; null and empty texts hold only the end. Repeated rows are scored and counted each."""
     return lm.lm_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every query vector; vectors that are null or hold null or non-finite components take no part."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without passages that occur before by id; null and empty texts stay as they are."""
     return chunks.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
