@@ -32,8 +32,13 @@ def _spans(rows: DataFrame, span: int) -> DataFrame:
 def pairs(log: ObjectLog, object_type: str | None = None, extra: dict[str, Column] | None = None, span: int = SPAN) -> DataFrame:
     """otype, oid, e1, src, t1, e2, tgt, t2 (and extra columns as x1, x2): consecutive events of each object, in the order
     of time, then event id."""
-    carried = ["eid", "activity", "ts", *(extra or {})]
-    rows = _spans(trace(log, object_type, extra), span)
+    return paired(trace(log, object_type, extra), list(extra or {}), span)
+
+
+def paired(rows: DataFrame, extra: list[str] | None = None, span: int = SPAN) -> DataFrame:
+    """`pairs` of rows that `trace` has made, or others like them."""
+    carried = ["eid", "activity", "ts", *(extra or [])]
+    rows = _spans(rows, span)
     within = Window.partitionBy(*_KEY, "span").orderBy("ts", "eid")
     it = F.struct(*carried)
     led = rows.select(*_KEY, "span", it.alias("a"), F.lead(it).over(within).alias("b"), F.row_number().over(within).alias("k"))

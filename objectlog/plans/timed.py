@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import cube, history, overlap, petri, table_functions, traces
+from ..operators import cube, history, maintained, overlap, petri, table_functions, traces
 from ..operators import replay as replays
 from ..sources.adapters import activity_log, commerce_log, conversation_log, table
 from ..sources.staging import folder
@@ -97,3 +97,14 @@ def trace_steps(spark, d):
     table_functions.register(spark)
     traces.trace(activity_log(spark, d)).createOrReplaceTempView("steps_of")
     return spark.sql("SELECT otype, oid, eid, activity, step, gap_us, seen FROM trace_steps(TABLE(steps_of) PARTITION BY (otype, oid) ORDER BY (ts, eid))")
+
+
+@query(_LOG + "SELECT src, tgt, frequency FROM dfg")
+def maintained_dfg(spark, d):
+    """The graph of all events after two inserts, the events of odd ids first: the second one's fall between the first one's."""
+    path, log = folder(spark, "maintained"), activity_log(spark, d)
+    maintained.create(spark, path)
+    odd = F.col("eid").cast("long") % 2 == 1
+    for part in (odd, ~F.coalesce(odd, F.lit(False))):
+        maintained.insert(log.with_events(log.events.filter(part)), path)
+    return maintained.dfg(spark, path)

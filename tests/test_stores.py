@@ -99,3 +99,30 @@ def test_chunks_that_share_an_id(spark, tmp_path):
     assert pairs(search.bm25(chunks, "red fox", None)) == pairs(index.bm25("red fox", None)) and len(pairs(index.bm25("red fox", None))) == 5
     assert pairs(search.hybrid(chunks, "red fox", 9)) == pairs(index.hybrid("red fox", 9))
     assert index.info()["chunks"] == 5
+
+
+def test_a_graph_kept_by_inserts(spark, tmp_path):
+    """After any inserts it is that of all events: new events fall between old ones, come twice, and share pairs over objects."""
+    import random
+
+    from objectlog.operators import maintained, traces
+
+    rnd, folder = random.Random(3), str(tmp_path / "g")
+    rows = [(f"e{k}", rnd.choice("abc"), rnd.randrange(4_000_000), [f"o{rnd.randrange(9)}" for _ in range(rnd.choice([1, 2, 3]))]) for k in range(150)]
+    rnd.shuffle(rows)
+
+    def part(some):
+        events = spark.createDataFrame([(e, a, t) for e, a, t, _ in some], "eid string, activity string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        e2o = spark.createDataFrame([(e, o, "A" if o < "o5" else "B", None) for e, _, _, os_ in some for o in os_], "eid string, oid string, otype string, qualifier string")
+        return ObjectLog.of(events, e2o.select("oid", "otype").distinct(), e2o)
+
+    maintained.create(spark, folder)
+    assert maintained.dfg(spark, folder).count() == 0
+    edges = lambda df: sorted(tuple(r) for r in df.select("otype", "src", "tgt", "frequency").collect())
+    for upto, some in ((90, rows[:90]), (120, rows[80:120]), (150, rows[120:]), (150, rows[:10])):
+        gained = maintained.insert(part(some), folder)
+        assert edges(maintained.dfg_by_type(spark, folder)) == edges(traces.dfg_by_type(part(rows[:upto])))
+    assert gained == 0
+    # What an insert that has not finished wrote does not count.
+    spark.createDataFrame([("A", "x", "y", 7, "lost")], maintained.SCHEMAS["edges"]).write.mode("append").parquet(f"{folder}/edges")
+    assert edges(maintained.dfg_by_type(spark, folder)) == edges(traces.dfg_by_type(part(rows)))
