@@ -1,7 +1,7 @@
 """Traces: the time-ordered events of each object, and what follows from consecutive pairs.
 
-An object that touches most events would make one window partition of nearly the whole log. Windows therefore run within
-spans of time of an object, and the few rows at the spans' edges are stitched by a second, small window.
+An object that touches most events would make one window partition of nearly the whole log. Windows of objects with very many
+events therefore run within spans of time, and the few rows at the spans' edges are stitched by a second, small window.
 """
 
 from __future__ import annotations
@@ -11,18 +11,35 @@ from pyspark.sql import functions as F
 
 from ..log import ObjectLog
 from ..sources.staging import staged
+from .crowds import crowded, parted
 
 #: Seconds in a span.
 SPAN = 30 * 86_400
 _KEY = ("otype", "oid")
 
 
-def trace(log: ObjectLog, object_type: str | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+def _of_type(log: ObjectLog, object_type: str | None) -> DataFrame:
+    return log.e2o if object_type is None else log.e2o.filter(F.col("otype") == object_type)
+
+
+def relations(log: ObjectLog, object_type: str | None = None) -> DataFrame:
+    """otype, oid, eid, each once, and ``only``: whether the event has no other object of the type. Dealt by event, as the
+    join with events needs them, so that they are shuffled once."""
+    of_event = Window.partitionBy("eid").orderBy(*_KEY)
+    rows = _of_type(log, object_type).select(*_KEY, "eid").filter("eid is not null")
+    rows = rows.withColumn("again", F.lag(F.struct(*_KEY)).over(of_event).eqNullSafe(F.struct(*_KEY))).filter("not again").drop("again")
+    same = lambda other: other(F.struct("otype")).over(of_event).eqNullSafe(F.struct("otype"))
+    return rows.withColumn("only", ~(same(F.lag) | same(F.lead)))
+
+
+def trace(log: ObjectLog, object_type: str | None = None, extra: dict[str, Column] | None = None, alone: bool = False) -> DataFrame:
     """otype, oid, eid, activity, ts (and extra columns of events): an event once for each of its objects. Events without
-    a time come first. Partitioned by object, so that what follows needs no further shuffle."""
-    rel = log.e2o if object_type is None else log.e2o.filter(F.col("otype") == object_type)
+    a time come first. With ``alone`` whether no other row has the event and the type."""
     events = log.events.select("eid", "activity", "ts", *[c.alias(n) for n, c in (extra or {}).items()])
-    return rel.select(*_KEY, "eid").distinct().join(events, "eid")
+    if not alone:
+        return relations(log, object_type).drop("only").join(events, "eid")
+    events = events.withColumn("once", F.count("*").over(Window.partitionBy("eid")) == 1)
+    return relations(log, object_type).join(events, "eid").withColumn("alone", F.col("only") & F.col("once")).drop("only", "once")
 
 
 def _spans(rows: DataFrame, span: int) -> DataFrame:
@@ -32,22 +49,27 @@ def _spans(rows: DataFrame, span: int) -> DataFrame:
 def pairs(log: ObjectLog, object_type: str | None = None, extra: dict[str, Column] | None = None, span: int = SPAN) -> DataFrame:
     """otype, oid, e1, src, t1, e2, tgt, t2 (and extra columns as x1, x2): consecutive events of each object, in the order
     of time, then event id."""
-    return paired(trace(log, object_type, extra), list(extra or {}), span)
+    return paired(trace(log, object_type, extra), list(extra or {}), span, crowded(_of_type(log, object_type), list(_KEY)))
 
 
-def paired(rows: DataFrame, extra: list[str] | None = None, span: int = SPAN) -> DataFrame:
-    """`pairs` of rows that `trace` has made, or others like them."""
+def paired(rows: DataFrame, extra: list[str] | None = None, span: int = SPAN, crowd: DataFrame | None = None) -> DataFrame:
+    """`pairs` of rows that `trace` has made, or others like them. ``crowd``: slots of objects whose windows run in spans."""
     carried = ["eid", "activity", "ts", *(extra or [])]
-    rows = _spans(rows, span)
-    within = Window.partitionBy(*_KEY, "span").orderBy("ts", "eid")
+    few, many = parted(rows, list(_KEY), crowded(rows, list(_KEY)) if crowd is None else crowd)
     it = F.struct(*carried)
+    whole = few.select(*_KEY, it.alias("a"), F.lead(it).over(Window.partitionBy(*_KEY).orderBy("ts", "eid")).alias("b")).filter("b is not null")
+    both = whole.unionByName(_paired_in_spans(_spans(many, span), it))
+    names = {"eid": ("e1", "e2"), "activity": ("src", "tgt"), "ts": ("t1", "t2")}
+    return both.select(*_KEY, *[F.col(f"{side}.{c}").alias(names.get(c, (f"{c}1", f"{c}2"))[i]) for i, side in enumerate("ab") for c in carried])
+
+
+def _paired_in_spans(rows: DataFrame, it: Column) -> DataFrame:
+    within = Window.partitionBy(*_KEY, "span").orderBy("ts", "eid")
     led = rows.select(*_KEY, "span", it.alias("a"), F.lead(it).over(within).alias("b"), F.row_number().over(within).alias("k"))
     # The last event of a span is followed by the first one of the next, and of those there are two a span at most.
     ends = led.filter("k = 1 or b is null").withColumn("next", F.lead("a").over(Window.partitionBy(*_KEY).orderBy("a.ts", "a.eid")))
     stitched = ends.filter("b is null and next is not null").select(*_KEY, "a", F.col("next").alias("b"))
-    both = led.filter("b is not null").select(*_KEY, "a", "b").unionByName(stitched)
-    names = {"eid": ("e1", "e2"), "activity": ("src", "tgt"), "ts": ("t1", "t2")}
-    return both.select(*_KEY, *[F.col(f"{side}.{c}").alias(names.get(c, (f"{c}1", f"{c}2"))[i]) for i, side in enumerate("ab") for c in carried])
+    return led.filter("b is not null").select(*_KEY, "a", "b").unionByName(stitched)
 
 
 def positions(log: ObjectLog, object_type: str | None = None, span: int = SPAN) -> DataFrame:
@@ -59,14 +81,23 @@ def positions(log: ObjectLog, object_type: str | None = None, span: int = SPAN)
     return placed.join(offsets, [*_KEY, "span"]).select(*_KEY, "eid", "activity", "ts", (F.col("k") + F.col("offset")).alias("pos"))
 
 
+def _pair_counts(log: ObjectLog, object_type: str | None, by: list[str]) -> DataFrame:
+    """by.., frequency: distinct pairs of events of each object type. Two objects can only have the same pair if they share both
+    events, so all other pairs are counted where they are."""
+    found = paired(trace(log, object_type, alone=True), ["alone"], crowd=crowded(_of_type(log, object_type), list(_KEY)))
+    shared = ~(F.col("alone1") | F.col("alone2"))
+    n = found.groupBy("otype", "src", "tgt", F.when(shared, F.struct("e1", "e2")).alias("pair")).agg(F.count("*").alias("n"))
+    return n.groupBy(*by).agg(F.sum(F.when(F.col("pair").isNull(), F.col("n")).otherwise(F.lit(1))).alias("frequency"))
+
+
 def dfg(log: ObjectLog, object_type: str | None = None) -> DataFrame:
     """src, tgt, frequency: distinct pairs of events for each object type, summed over types."""
-    return pairs(log, object_type).select("otype", "src", "tgt", "e1", "e2").distinct().groupBy("src", "tgt").agg(F.count("*").alias("frequency"))
+    return _pair_counts(log, object_type, ["src", "tgt"])
 
 
 def dfg_by_type(log: ObjectLog) -> DataFrame:
     """otype, src, tgt, frequency: distinct pairs of events."""
-    return pairs(log).select("otype", "src", "tgt", "e1", "e2").distinct().groupBy("otype", "src", "tgt").agg(F.count("*").alias("frequency"))
+    return _pair_counts(log, None, ["otype", "src", "tgt"])
 
 
 def _edge(log: ObjectLog, object_type: str | None, first: bool) -> DataFrame:
