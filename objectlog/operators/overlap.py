@@ -5,6 +5,9 @@ one or two bins of each coarser width in which intervals of the other side are a
 where the longer one is at home; of the bins they share there only the first keeps the pair. What meets in a bin is dealt
 over lanes by counts, the larger side split, the smaller one repeated, so a life over the whole span fills no task, and
 neither does a busy hour.
+
+Where rows must agree in other columns too, only those values that many rows share need bins; of any other value each row
+meets a few rows, and these meet where the value is.
 """
 
 from __future__ import annotations
@@ -13,20 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..log import ObjectLog
+from .crowds import crowded, parted
 from .traces import trace
 
 #: Microseconds of the finest bins, and how much wider the next ones are.
 UNIT, FACTOR = 1_000_000, 4
 #: Rows of one side in a lane of a bin.
 LANE = 100_000
+#: Rows on the left with the same values in the columns that must agree, from which on they meet in bins.
+SHARED = 64
 
 
-def _binned(rows: DataFrame, levels: list[int], home: bool) -> DataFrame:
+def _binned(rows: DataFrame, levels: DataFrame | None) -> DataFrame:
     """The rows (on.., row, start, end, level) in their bins: at home, or at the coarser ones of ``levels`` as visitors."""
-    if home:
+    if levels is None:
         rows = rows.withColumn("at", F.col("level"))
     else:
-        rows = rows.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x > F.col("level"))))
+        rows = rows.crossJoin(F.broadcast(levels)).withColumn("at", F.explode(F.filter("levels", lambda x: x > F.col("level")))).drop("levels")  # one row
     width = (F.lit(UNIT) * F.pow(F.lit(float(FACTOR)), F.col("at"))).cast("long")
     rows = rows.withColumns({"first": F.floor(F.col("start") / width), "last": F.floor(F.col("end") / width)})
     return rows.withColumn("bin", F.explode(F.sequence("first", "last"))).drop("last", "level")
@@ -66,10 +72,20 @@ def overlapping(left: DataFrame, right: DataFrame, on: list[str] | None = None,
         return rows.withColumn("level", F.greatest(F.ceil(F.log(float(FACTOR), length)), F.lit(0)).cast("int"))
 
     a, b = prepared(left), prepared(right)
-    levels = lambda df: sorted(r.level for r in df.select("level").distinct().collect())  # noqa: E731  one for each power of FACTOR at most
-    at_a, at_b = levels(a), levels(b)
-    first = _meet(_binned(a, [], True), _binned(b, [], True).unionByName(_binned(b, at_a, False)), keys, lane).select(F.col("home").alias("a"), F.col("other").alias("b"))
-    second = _meet(_binned(b, [], True), _binned(a, at_b, False), keys, lane).select(F.col("other").alias("a"), F.col("home").alias("b"))
+    if not keys:
+        return _in_bins(a, b, keys, lane)
+    few, busy = parted(a.groupBy(*keys).agg(F.count("*").alias("n")), keys, crowded(b, keys))
+    many = few.filter(F.col("n") > SHARED).unionByName(busy).select(*keys)
+    rename = {"row": "b", "start": "start_b", "end": "end_b"}
+    met = a.drop("level").join(many, keys, "left_anti").join(b.drop("level").withColumnsRenamed(rename), keys)
+    plain = met.filter((F.col("start") <= F.col("end_b")) & (F.col("start_b") <= F.col("end"))).select(F.col("row").alias("a"), "b")
+    return plain.unionByName(_in_bins(a.join(many, keys, "left_semi"), b.join(many, keys, "left_semi"), keys, lane))
+
+
+def _in_bins(a: DataFrame, b: DataFrame, keys: list[str], lane: int) -> DataFrame:
+    levels = lambda df: df.agg(F.collect_set("level").alias("levels"))  # noqa: E731  one for each power of FACTOR at most
+    first = _meet(_binned(a, None), _binned(b, None).unionByName(_binned(b, levels(a))), keys, lane).select(F.col("home").alias("a"), F.col("other").alias("b"))
+    second = _meet(_binned(b, None), _binned(a, levels(b)), keys, lane).select(F.col("other").alias("a"), F.col("home").alias("b"))
     return first.unionByName(second)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objectlog.log import ObjectLog
-from objectlog.operators import crowds, traces
+from objectlog.operators import crowds, overlap, traces
 
 
 def plan(df):
@@ -60,3 +60,27 @@ def test_pairs_that_no_other_object_can_have_are_not_told_apart(spark):
     got = traces.dfg(log)
     assert [tuple(r) for r in got.collect()] == [("A", "A", 390)]
     assert not re.search(r"keys=\[otype#\d+, src#\d+, tgt#\d+, e1#\d+, e2#\d+\]", plan(got))
+
+
+@pytest.mark.parametrize(("share", "crowd"), [(64, 10_000), (3, 10_000), (64, 20), (0, 1)])
+def test_keyed_overlaps_are_the_same_in_bins_and_at_their_keys(spark, monkeypatch, share, crowd):
+    rng = random.Random(3)
+    monkeypatch.setattr(overlap, "SHARED", share)
+    monkeypatch.setattr(crowds, "CROWD", crowd)
+    make = lambda n: [(i, rng.choice([None, 1, 1, 2, 3, 4]), s := rng.randrange(1_000), s + rng.choice([0, 1, 5, 300, -1])) for i in range(n)]
+    left, right = make(60), make(80)
+    df = lambda rows: spark.createDataFrame(rows, "i int, k int, s long, e long").select("i", "k", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds("e").alias("end"))
+    got = overlap.overlapping(df(left), df(right), ["k"]).select("a.i", F.col("b.i").alias("j")).collect()
+    want = [(a[0], b[0]) for a in left for b in right if a[1] is not None and a[1] == b[1] and a[2] <= a[3] and b[2] <= b[3] and a[2] <= b[3] and b[2] <= a[3]]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_rows_of_keys_with_few_rows_are_not_repeated_in_bins(spark):
+    """Formerly each point visited all widths of bins in which intervals of the other side were at home."""
+    days = lambda c: F.timestamp_seconds(c * 86_400)
+    a = spark.range(300).select(F.col("id").alias("k"), days(F.lit(0)).alias("start"), days(F.col("id") % 100).alias("end"))
+    b = spark.range(300).select(F.col("id").alias("k"), days(F.lit(0)).alias("start"), days(F.lit(0)).alias("end"))
+    found = overlap.overlapping(a, b, ["k"])
+    assert found.count() == 300
+    joined = re.search(r"Join \[k0#\d+L\], \[k0#\d+L\], Inner", plan(found))
+    assert joined and "bin#" not in plan(found)[: joined.start()]
