@@ -34,6 +34,15 @@ def term_table(chunks: DataFrame) -> DataFrame:
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _several(chunks: DataFrame) -> DataFrame:
+    """id2, type2: the chunks of several rows."""
+    return chunks.groupBy("id", "chunk_type").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("id2"), F.col("chunk_type").alias("type2"))
+
+
+#: How many chunks of several rows are broadcast when an index is built.
+MERGED = 100_000
+
+
 def inverted_index(chunks: DataFrame) -> DataFrame:
     """term, id, chunk_type, tf, positions (from 0): one row for each token of each chunk; rows that share id and type are
     one chunk.
@@ -41,9 +50,13 @@ def inverted_index(chunks: DataFrame) -> DataFrame:
     A chunk of one row gets its postings inside the row, by a sort of its tokens; only those of several rows are shuffled
     as tokens.
     """
+    return _postings(chunks, _several(chunks)).drop("dl")
+
+
+def _postings(chunks: DataFrame, several: DataFrame) -> DataFrame:
+    """`inverted_index` with dl, the number of the chunk's tokens; ``several`` are its chunks of several rows."""
     key = ("id", "chunk_type")
     rows = chunks.select(*key, "content")
-    several = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("id2"), F.col("chunk_type").alias("type2"))
     same = F.col("id").eqNullSafe(F.col("id2")) & F.col("chunk_type").eqNullSafe(F.col("type2"))
     pairs = F.transform(tokens_of(F.col("content")), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     alone = rows.join(several, same, "left_anti").select(*key, F.sort_array(pairs).alias("at"))
@@ -52,9 +65,10 @@ def inverted_index(chunks: DataFrame) -> DataFrame:
     alone = alone.select(*key, "at", starts.alias("starts"))
     run = lambda a, k: F.slice("at", a + 1, F.coalesce(F.try_element_at("starts", k + 2), F.size("at")) - a)
     runs = F.transform("starts", lambda a, k: F.struct(term(a).alias("term"), F.transform(run(a, k), lambda x: x["pos"]).alias("positions")))
-    one = alone.select(*key, F.inline(runs)).select("term", *key, F.size("positions").cast("long").alias("tf"), "positions")
+    one = alone.select(*key, F.size("at").cast("long").alias("dl"), F.inline(runs)).select("term", *key, F.size("positions").cast("long").alias("tf"), "positions", "dl")
     at = rows.join(several, same, "left_semi").select(*key, F.posexplode(tokens_of(F.col("content"))).alias("pos", "term"))
-    return one.unionByName(at.groupBy("term", *key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
+    of_chunk = at.groupBy("term", *key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return one.unionByName(of_chunk.withColumn("dl", F.sum("tf").over(Window.partitionBy(*key))))
 
 
 def _of_types(chunks: DataFrame, types: list[str] | None) -> DataFrame:
@@ -164,13 +178,13 @@ class Index:
     @staticmethod
     def build(chunks: DataFrame, folder: str, buckets: int = 64, force: str | None = None) -> Index:
         """Index ``chunks`` (id, content, chunk_type) into a folder; rows that share id and type are one chunk."""
-        rows = inverted_index(chunks)
-        rows = staged(rows, "postings")  # tokens are counted once: a chunk's length is the sum of its terms' counts
-        long = rows.groupBy("id", "chunk_type").agg(F.sum("tf").alias("dl"))
-        sizes = chunks.groupBy("id", "chunk_type").agg(F.sum(F.octet_length("content")).alias("bytes")).withColumnsRenamed({"id": "id_", "chunk_type": "type_"})
-        lengths = sizes.join(long, F.col("id").eqNullSafe(F.col("id_")) & F.col("chunk_type").eqNullSafe(F.col("type_")), "left").select(F.col("id_").alias("id"), F.col("type_").alias("chunk_type"), F.coalesce("dl", F.lit(0)).alias("dl"), "bytes")
-        same = [F.col("id").eqNullSafe(F.col("id_")), F.col("chunk_type").eqNullSafe(F.col("type_"))]
-        posted = rows.join(lengths.select(F.col("id").alias("id_"), F.col("chunk_type").alias("type_"), "dl"), same).drop("id_", "type_").withColumn("bucket", _bucket(F.col("term"), buckets))
+        several = staged(_several(chunks), "several")
+        if several.limit(MERGED + 1).count() <= MERGED:
+            several = F.broadcast(several)  # so that texts stay where they are
+        posted = _postings(chunks, several).withColumn("bucket", _bucket(F.col("term"), buckets))
+        # Lengths are counted from the texts once more, which costs less than to write and join all postings for them.
+        said = chunks.select("id", "chunk_type", F.size(tokens_of(F.col("content"))).alias("dl"), F.octet_length("content").alias("bytes"))
+        lengths = said.groupBy("id", "chunk_type").agg(F.sum("dl").alias("dl"), F.sum("bytes").alias("bytes"))
         # Several files a bucket at scale: the order of rows within each is what lets row groups be skipped.
         posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
         lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/totals")

@@ -84,3 +84,19 @@ def test_rows_of_keys_with_few_rows_are_not_repeated_in_bins(spark):
     assert found.count() == 300
     joined = re.search(r"Join \[k0#\d+L\], \[k0#\d+L\], Inner", plan(found))
     assert joined and "bin#" not in plan(found)[: joined.start()]
+
+
+def test_an_index_is_built_without_a_copy_of_its_postings(spark, monkeypatch, tmp_path):
+    """Formerly all postings were written once and joined to the lengths of their chunks before the index was written."""
+    from objectlog.operators import search
+
+    names, stage = [], search.staged
+    monkeypatch.setattr(search, "staged", lambda df, name: names.append(name) or stage(df, name))
+    chunks = spark.createDataFrame([("a", "red red fox", "t"), ("a", "fox of the hill", "t"), ("b", "the fox", "t"), ("c", None, "t"), ("a", "red", "u"), (None, "the red hill", "t")], "id string, content string, chunk_type string")
+    for k, most in enumerate((100, 0)):
+        monkeypatch.setattr(search, "MERGED", most)
+        index = search.Index.build(chunks, str(tmp_path / str(k)))
+        assert {tuple(r) for r in index.postings.select("id", "chunk_type", "dl").distinct().collect()} == {("a", "t", 7), ("b", "t", 2), ("a", "u", 1), (None, "t", 3)}
+        said = index.totals.first()
+        assert (said.n, said.avgdl, said.bytes) == (5, 13 / 5, 48)
+    assert "postings" not in names
