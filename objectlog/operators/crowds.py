@@ -26,3 +26,11 @@ def parted(rows: DataFrame, keys: list[str], crowd: DataFrame) -> tuple[DataFram
     """The rows whose keys lie in no slot of ``crowd``, and the others."""
     marked = rows.withColumn("_slot", _slot(keys))
     return tuple(marked.join(F.broadcast(crowd), "_slot", how).drop("_slot") for how in ("left_anti", "left_semi"))  # SLOTS rows at most
+
+
+def met(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """``rows`` joined to ``known``, which has each key once. Keys that more than ``most`` of ``rows`` have (`CROWD`) are
+    met by a broadcast, so their rows stay where they are; there is one such key for each ``most`` rows at most."""
+    often = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > (CROWD if most is None else most)).select(key)
+    many = rows.join(F.broadcast(known.join(F.broadcast(often), key, "left_semi")), key, how)
+    return rows.join(F.broadcast(often), key, "left_anti").join(known, key, how).unionByName(many)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..log import ObjectLog
+from ..operators.crowds import met
 from ..schema import EPOCH
 from .staging import staged
 
@@ -455,7 +456,7 @@ def assemble(nodes: DataFrame, files: int | None = None) -> ObjectLog:
     """The log of all nodes (repo, kind, node, and optionally seq, the order of ingest); unknown kinds are left out. Repeated
     nodes count once, and of several that describe one object the first write wins, attribute by attribute: that of the
     least seq, and of those the first in the order of its text. ``files`` bounds how many files of a commit are linked
-    (None: all). Nodes and facts are written once to the shared folder, since all five tables read them."""
+    (None: all). Nodes, facts and objects are written once to the shared folder, since all five tables read them."""
     nodes = staged(nested(nodes), "nodes")
     facts = None
     for name in KINDS:
@@ -470,10 +471,12 @@ def assemble(nodes: DataFrame, files: int | None = None) -> ObjectLog:
     involved = happened.select("eid", F.explode("rels").alias("r")).select("eid", "r.*")
     stubs = linked.filter("stub").select("oid", "otype").unionByName(involved.filter("stub").select("oid", "otype")).distinct()
     objects = described.unionByName(stubs.join(described.select("oid"), "oid", "left_anti")).dropDuplicates(["oid"])
+    objects = staged(objects, "objects")
     names = objects.select("oid")
-    e2o = involved.join(objects.withColumnRenamed("otype", "known"), "oid").select("eid", "oid", F.col("known").alias("otype"), "qualifier").distinct()
+    # Most nodes name the repository, and many one milestone or branch.
+    e2o = met(involved, objects.withColumnRenamed("otype", "known"), "oid").select("eid", "oid", F.col("known").alias("otype"), "qualifier").distinct()
     sources = names.withColumnRenamed("oid", "src")
-    o2o = linked.join(names, "oid", "left_semi").join(sources, "src", "left_semi").select(F.col("src").alias("src_oid"), F.col("oid").alias("tgt_oid"), "qualifier").distinct()
+    o2o = met(linked, names, "oid", "left_semi").join(sources, "src", "left_semi").select(F.col("src").alias("src_oid"), F.col("oid").alias("tgt_oid"), "qualifier").distinct()
     o2o = o2o.unionByName(retries(facts, objects))
     events = happened.join(e2o.select("eid"), "eid", "left_semi").select("eid", "activity", F.try_to_timestamp("time").alias("ts"), "attrs")
     said = facts.filter("attrs is not null").join(names, "oid", "left_semi").select("oid", "seq", F.explode("attrs").alias("name", "value"))

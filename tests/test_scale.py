@@ -100,3 +100,13 @@ def test_an_index_is_built_without_a_copy_of_its_postings(spark, monkeypatch, tm
         said = index.totals.first()
         assert (said.n, said.avgdl, said.bytes) == (5, 13 / 5, 48)
     assert "postings" not in names
+
+
+def test_rows_of_a_frequent_key_meet_by_broadcast(spark):
+    """Formerly all links to one object, such as the repository, went to one task."""
+    rows = spark.createDataFrame([("r", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3), ("gone", 4)] + [("lost", i) for i in range(20)], "oid string, i int")
+    known = spark.createDataFrame([("r", "R"), ("a", "A"), ("b", "B"), ("c", "C")], "oid string, otype string")
+    for most in (1, 10, 1_000):
+        for how in ("inner", "left_semi"):
+            assert Counter(map(tuple, crowds.met(rows, known, "oid", how, most).collect())) == Counter(map(tuple, rows.join(known, "oid", how).collect()))
+    assert plan(crowds.met(rows, known, "oid", most=10)).count("BroadcastHashJoin") >= 2
