@@ -110,3 +110,35 @@ def test_rows_of_a_frequent_key_meet_by_broadcast(spark):
         for how in ("inner", "left_semi"):
             assert Counter(map(tuple, crowds.met(rows, known, "oid", how, most).collect())) == Counter(map(tuple, rows.join(known, "oid", how).collect()))
     assert plan(crowds.met(rows, known, "oid", most=10)).count("BroadcastHashJoin") >= 2
+
+
+def _chunk(n=50):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{j} w{i % 7}y{j} the" for j in range(40)).encode() for i in range(n)]
+    return pa.record_batch([pa.array([*range(n)], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+
+def test_words_travel_by_the_chunk():
+    """Formerly a row for each document and word, each with the 16 bytes that tell documents apart."""
+    from objectlog.llm import tokens
+
+    (sent,) = list(tokens.chunked(iter([_chunk()]), {b"the": 1}, 3, 0))
+    pairs = 50 * 80
+    assert sent.num_rows <= 1 + 3 + pairs // tokens.MESSAGE
+    assert len(b" ".join(x for x in sent["words"].to_pylist() if x).split()) == 50 * 40 + 7 * 40  # each distinct word once
+    (first,) = [r for r in sent.to_pylist() if r["messages"] is not None]
+    assert first["messages"] == sent.num_rows - 1 and first["ids"] == [*range(50)] and first["known"] == [40] * 50
+
+
+def test_a_chunk_that_lacks_rows_is_an_error():
+    import pyarrow as pa
+
+    from objectlog.llm import tokens
+
+    (sent,) = list(tokens.chunked(iter([_chunk()]), {}, 3, 0))
+    assert sum(b.num_rows for b in tokens.summed(iter([sent]))) == 50
+    for lost in (0, sent.num_rows - 1):
+        kept = pa.Table.from_batches([sent]).filter(pa.array([i != lost for i in range(sent.num_rows)])).to_batches()
+        with pytest.raises(RuntimeError, match="another order"):
+            list(tokens.summed(iter(kept)))
