@@ -13,6 +13,29 @@ from pyspark.sql import functions as F
 SLOTS, CROWD = 1 << 16, 200_000
 
 
+#: Bytes of source files for each task that `dealt` deals rows over; sizes from this one on are unknown.
+SHARE, UNKNOWN = 2_000_000, 1 << 50
+
+
+def tasks(*of: DataFrame) -> int:
+    """Over how many tasks rows of these are to be dealt: one for each `SHARE` bytes of the files they are read from. 0 if Spark
+    may choose, for small ones and those that don't come from files."""
+    size = 0
+    for df in of:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        size += sum(x for x in sizes if x < UNKNOWN)
+    n = -(-size // SHARE)
+    return max(n, of[0].sparkSession.sparkContext.defaultParallelism) if n > 1 else 0
+
+
+def dealt(rows: DataFrame, *by: Column | str, beside: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``rows`` dealt by columns over a number of tasks that grows with the files that they and those ``beside`` them are read
+    from. Spark's own number is fixed, and it joins partitions up to a size on disk that is many times as large in a sort."""
+    n = tasks(rows, *beside)
+    return rows.repartition(n, *by) if n else rows
+
+
 def _slot(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int").alias("_slot")
 

@@ -9,12 +9,14 @@ its number is written, which is done last, so one that failed half-way leaves no
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..log import ObjectLog
 from ..sources.staging import staged
+from .crowds import dealt, tasks
 from .traces import paired, trace
 
 BUCKETS = 64
@@ -38,6 +40,12 @@ def _kept(spark: SparkSession, folder: str, name: str, near: DataFrame | None =
     return rows.join(F.broadcast(done), "batch", "left_semi")  # one row for each insert
 
 
+def _filed(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by bucket, so that each folder gets few files; a bucket of many rows by several tasks."""
+    lanes = max(1, tasks(rows) // BUCKETS)
+    return dealt(rows, "bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(lanes)))
+
+
 def create(spark: SparkSession, folder: str) -> None:
     """An empty graph."""
     for name, schema in {**SCHEMAS, "batches": "batch string"}.items():
@@ -47,26 +55,29 @@ def create(spark: SparkSession, folder: str) -> None:
 def insert(log: ObjectLog, folder: str) -> int:
     """Add the events of a log; how many rows of traces are new. An event that an object has already is left as it is."""
     spark, batch = log.spark, uuid.uuid4().hex
-    rows = staged(trace(log).withColumn("bucket", _bucket("otype", "oid")), "touched")
+    # Every step is dealt over tasks by its size, so that none holds more as the log grows.
+    rows = staged(trace(replace(log, e2o=dealt(log.e2o, "eid", beside=(log.events,)))).withColumn("bucket", _bucket("otype", "oid")), "touched")
     there = _kept(spark, folder, "traces", rows)
-    new = staged(rows.join(there.select("otype", "oid", "eid"), ["otype", "oid", "eid"], "left_anti"), "new-rows")
+    row = ["otype", "oid", "eid"]
+    new = staged(dealt(rows, *row, beside=(there,)).join(there.select(*row), row, "left_anti"), "new-rows")
     touched = new.select("otype", "oid").distinct()
     columns = ["otype", "oid", "eid", "activity", "ts"]
-    old = there.join(touched, ["otype", "oid"], "left_semi").select(*columns)
+    old = staged(there.join(touched, ["otype", "oid"], "left_semi").select(*columns), "touched-before")
     change = lambda df, by: paired(df).select("otype", "e1", "e2", "src", "tgt", F.lit(by).cast("long").alias("change"))
     both = change(old, -1).unionByName(change(old.unionByName(new.select(*columns)), 1))
-    changed = both.groupBy("otype", "e1", "e2", "src", "tgt").agg(F.sum("change").alias("change")).filter("change <> 0").withColumn("bucket", _bucket("e1"))
+    changed = dealt(both, "e1").groupBy("otype", "e1", "e2", "src", "tgt").agg(F.sum("change").alias("change")).filter("change <> 0").withColumn("bucket", _bucket("e1"))
     changed = staged(changed, "changed-pairs")
     key = ["otype", "e1", "e2"]
-    before = _kept(spark, folder, "pairs", changed).groupBy(*key).agg(F.sum("change").alias("objects"))
+    there = _kept(spark, folder, "pairs", changed)
+    before = dealt(there, *key, beside=(changed,)).groupBy(*key).agg(F.sum("change").alias("objects"))
     met = changed.join(before, key, "left").withColumn("objects", F.coalesce("objects", F.lit(0)))
     # An edge counts a pair of events once, however many objects of the type have it.
     step = (F.col("objects") + F.col("change") > 0).cast("long") - (F.col("objects") > 0).cast("long")
     edges = met.groupBy("otype", "src", "tgt").agg(F.sum(step).alias("change")).filter("change <> 0")
     name = F.lit(batch).alias("batch")
     edges.select("*", name).write.mode("append").parquet(f"{folder}/edges")
-    new.select(*columns, name, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{folder}/traces")
-    changed.select(*key, "change", name, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{folder}/pairs")
+    _filed(new.select(*columns, name, "bucket")).write.mode("append").partitionBy("bucket").parquet(f"{folder}/traces")
+    _filed(changed.select(*key, "change", name, "bucket")).write.mode("append").partitionBy("bucket").parquet(f"{folder}/pairs")
     gained = new.count()
     spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{folder}/batches")
     return gained

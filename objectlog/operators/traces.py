@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..log import ObjectLog
 from ..sources.staging import staged
-from .crowds import crowded, parted
+from .crowds import crowded, dealt, parted
 
 #: Seconds in a span.
 SPAN = 30 * 86_400
@@ -57,7 +57,7 @@ def paired(rows: DataFrame, extra: list[str] | None = None, span: int = SPAN, cr
     carried = ["eid", "activity", "ts", *(extra or [])]
     few, many = parted(rows, list(_KEY), crowded(rows, list(_KEY)) if crowd is None else crowd)
     it = F.struct(*carried)
-    whole = few.select(*_KEY, it.alias("a"), F.lead(it).over(Window.partitionBy(*_KEY).orderBy("ts", "eid")).alias("b")).filter("b is not null")
+    whole = dealt(few, *_KEY).select(*_KEY, it.alias("a"), F.lead(it).over(Window.partitionBy(*_KEY).orderBy("ts", "eid")).alias("b")).filter("b is not null")
     both = whole.unionByName(_paired_in_spans(_spans(many, span), it))
     names = {"eid": ("e1", "e2"), "activity": ("src", "tgt"), "ts": ("t1", "t2")}
     return both.select(*_KEY, *[F.col(f"{side}.{c}").alias(names.get(c, (f"{c}1", f"{c}2"))[i]) for i, side in enumerate("ab") for c in carried])
@@ -65,7 +65,7 @@ def paired(rows: DataFrame, extra: list[str] | None = None, span: int = SPAN, cr
 
 def _paired_in_spans(rows: DataFrame, it: Column) -> DataFrame:
     within = Window.partitionBy(*_KEY, "span").orderBy("ts", "eid")
-    led = rows.select(*_KEY, "span", it.alias("a"), F.lead(it).over(within).alias("b"), F.row_number().over(within).alias("k"))
+    led = dealt(rows, *_KEY, "span").select(*_KEY, "span", it.alias("a"), F.lead(it).over(within).alias("b"), F.row_number().over(within).alias("k"))
     # The last event of a span is followed by the first one of the next, and of those there are two a span at most.
     ends = led.filter("k = 1 or b is null").withColumn("next", F.lead("a").over(Window.partitionBy(*_KEY).orderBy("a.ts", "a.eid")))
     stitched = ends.filter("b is null and next is not null").select(*_KEY, "a", F.col("next").alias("b"))

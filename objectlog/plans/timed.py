@@ -106,5 +106,5 @@ def maintained_dfg(spark, d):
     maintained.create(spark, path)
     odd = F.col("eid").cast("long") % 2 == 1
     for part in (odd, ~F.coalesce(odd, F.lit(False))):
-        maintained.insert(log.with_events(log.events.filter(part)), path)
+        maintained.insert(replace(log, events=log.events.filter(part)), path)  # relations of other events meet none
     return maintained.dfg(spark, path)

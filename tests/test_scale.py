@@ -142,3 +142,24 @@ def test_a_chunk_that_lacks_rows_is_an_error():
         kept = pa.Table.from_batches([sent]).filter(pa.array([i != lost for i in range(sent.num_rows)])).to_batches()
         with pytest.raises(RuntimeError, match="another order"):
             list(tokens.summed(iter(kept)))
+
+
+def test_rows_are_dealt_over_more_tasks_as_their_files_grow(spark, tmp_path, monkeypatch):
+    """Formerly the number of tasks was fixed, and a task of an insert into the maintained graph held ever more."""
+    from objectlog.operators import maintained
+
+    spark.range(50_000).write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    assert crowds.tasks(files) == 0 and crowds.tasks(spark.createDataFrame([(1,)], "a int")) == 0
+    monkeypatch.setattr(crowds, "SHARE", 20_000)
+    one, two = crowds.tasks(files), crowds.tasks(files, files)
+    assert two > one > spark.sparkContext.defaultParallelism
+    assert crowds.dealt(files, "id").rdd.getNumPartitions() == one
+    events = files.select(F.col("id").cast("string").alias("eid"), F.lit("A").alias("activity"), F.timestamp_seconds("id").alias("ts")).filter("id < 300")
+    e2o = events.select("eid", F.concat(F.lit("o"), F.substring("eid", -1, 1)).alias("oid"), F.lit("O").alias("otype"), F.lit("q").alias("qualifier"))
+    log = ObjectLog.of(events, e2o.select("oid", "otype").distinct(), e2o)
+    assert "REPARTITION_BY_NUM" in plan(traces.pairs(log))
+    folder = str(tmp_path / "kept")
+    maintained.create(spark, folder)
+    assert maintained.insert(log, folder) == 300 and maintained.insert(log, folder) == 0
+    assert [tuple(r) for r in maintained.dfg(spark, folder).collect()] == [("A", "A", 290)]
