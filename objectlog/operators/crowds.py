@@ -36,18 +36,19 @@ def dealt(rows: DataFrame, *by: Column | str, beside: tuple[DataFrame, ...] = ()
     return rows.repartition(n, *by) if n else rows
 
 
-def _slot(keys: list[str]) -> Column:
+def slot(keys: list[str]) -> Column:
+    """The slot of a row's key."""
     return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int").alias("_slot")
 
 
 def crowded(rows: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """The slots with more than ``most`` rows (`CROWD`): `SLOTS` at most, and one for each ``most`` rows."""
-    return rows.select(_slot(keys)).groupBy("_slot").agg(F.count("*").alias("n")).filter(F.col("n") > (CROWD if most is None else most)).select("_slot")
+    return rows.select(slot(keys)).groupBy("_slot").agg(F.count("*").alias("n")).filter(F.col("n") > (CROWD if most is None else most)).select("_slot")
 
 
 def parted(rows: DataFrame, keys: list[str], crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose keys lie in no slot of ``crowd``, and the others."""
-    marked = rows.withColumn("_slot", _slot(keys))
+    marked = rows.withColumn("_slot", slot(keys))
     return tuple(marked.join(F.broadcast(crowd), "_slot", how).drop("_slot") for how in ("left_anti", "left_semi"))  # SLOTS rows at most
 
 

@@ -7,10 +7,15 @@ or its first and last visit (sessions).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import ObjectLog
+from ..sources.staging import staged
+from .crowds import crowded, dealt, slot
+from .traces import relations
 
 #: Seconds in a span.
 SPAN = 30 * 86_400
@@ -36,17 +41,21 @@ def as_of(events: DataFrame, changes: DataFrame, keys: list[str], values: list[s
     rows = events.select(*key, "ts", F.lit(1).alias("kind"), *nothing(changes, order, ords), *nothing(changes, values, vals), F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("row"))
     sets = changes.select(*key, "ts", F.lit(0).alias("kind"), *[F.col(c).alias(o) for c, o in zip(order, ords, strict=True)], *[F.col(c).alias(v) for c, v in zip(values, vals, strict=True)])
     sets = sets.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType))
-    both = rows.filter("ts is not null").unionByName(sets).withColumn("span", F.coalesce(_span("ts", span), start))
-    within = Window.partitionBy(*names, "span").orderBy(F.asc_nulls_first("ts"), "kind", *ords).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumns({v: F.last(v, ignorenulls=True).over(within) for v in vals}).filter("kind = 1")
-    # The last value of each span, carried over the spans after it: one row for each span of an object.
+    # Keys with few rows run whole, those in crowded slots in spans; so every row is shuffled once.
+    crowd = crowded(events.select(*key).unionByName(changes.select(*key)), names).withColumn("crowd", F.lit(True))
+    marked = lambda df: df.withColumn("_slot", slot(names)).join(F.broadcast(crowd), "_slot", "left").drop("_slot")  # noqa: E731  SLOTS rows at most
+    both = marked(rows.filter("ts is not null").unionByName(sets)).withColumn("span", F.when(F.col("crowd"), F.coalesce(_span("ts", span), start)).otherwise(start)).drop("crowd")
+    # The last value of each span, carried to the next spans of a crowded slot that have rows: one row for each span of an object.
     when = F.struct("ts", *ords)
-    ends = both.filter("kind = 0").groupBy(*names, "span").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), when)).alias(v) for v in vals])
-    marks = both.select(*names, "span").distinct().join(ends.withColumnsRenamed({n: f"_{n}" for n in [*names, "span"]}), [*[F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], F.col("span") == F.col("_span")], "left")
+    in_spans = lambda df: marked(df).filter("crowd").withColumn("span", F.coalesce(_span("ts", span), start))
+    ends = in_spans(sets).groupBy(*names, "span").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), when)).alias(v) for v in vals])
+    marks = in_spans(rows.filter("ts is not null").select(*names, "ts").unionByName(sets.select(*names, "ts"))).select(*names, "span").distinct()
+    marks = marks.join(ends.withColumnsRenamed({n: f"_{n}" for n in [*names, "span"]}), [*[F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], F.col("span") == F.col("_span")], "left")
     before = Window.partitionBy(*names).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("span").alias("_span"), *[F.last(v, ignorenulls=True).over(before).alias(f"_{v}") for v in vals])
-    met = seen.join(carried, [*[F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], F.col("span") == F.col("_span")], "left")
-    out = met.select("row", *[F.coalesce(v, f"_{v}").alias(v) for v in vals])
+    carried = marks.select(*names, "span", F.lit(-1).alias("kind"), *[F.last(v, ignorenulls=True).over(before).alias(v) for v in vals])
+    within = Window.partitionBy(*names, "span").orderBy(F.asc_nulls_first("ts"), "kind", *ords).rowsBetween(Window.unboundedPreceding, 0)
+    every = dealt(both.unionByName(carried, allowMissingColumns=True), *names, "span")
+    out = every.withColumns({v: F.last(v, ignorenulls=True).over(within) for v in vals}).filter("kind = 1").select("row", *vals)
     untimed = rows.filter("ts is null").select("row", *vals)
     kept = [c for c in events.columns if c not in values]
     return out.unionByName(untimed).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[F.col(v).alias(c) for c, v in zip(values, vals, strict=True)])
@@ -56,7 +65,8 @@ def values_at_events(log: ObjectLog, attribute: str, object_type: str | None = N
     """eid, otype, oid, ts, value: what the attribute of each event's objects was at the event. An attribute that no change has
     set by then has a null value; of changes at one instant the last by name of the changed field holds."""
     rel = log.e2o if object_type is None else log.e2o.filter(F.col("otype") == object_type)
-    events = rel.select("eid", "otype", "oid").distinct().join(log.events.select("eid", "ts"), "eid")
+    of_event = relations(replace(log, e2o=dealt(rel, "eid", beside=(log.events,)))).drop("only")
+    events = staged(of_event.join(log.events.select("eid", "ts"), "eid").select("eid", "otype", "oid", "ts"), "objects-at-events")  # it is read for crowds too
     changes = log.changes.select("otype", "oid", "ts", F.coalesce("changed_field", F.lit("")).alias("changed_field"), F.col("attrs")[attribute].alias("value"))
     return as_of(events, changes, ["otype", "oid"], ["value"], ["changed_field"], span).select("eid", "otype", "oid", "ts", "value")
 

@@ -159,7 +159,28 @@ def test_rows_are_dealt_over_more_tasks_as_their_files_grow(spark, tmp_path, mon
     e2o = events.select("eid", F.concat(F.lit("o"), F.substring("eid", -1, 1)).alias("oid"), F.lit("O").alias("otype"), F.lit("q").alias("qualifier"))
     log = ObjectLog.of(events, e2o.select("oid", "otype").distinct(), e2o)
     assert "REPARTITION_BY_NUM" in plan(traces.pairs(log))
+    monkeypatch.setattr(crowds, "SHARE", 500_000)
     folder = str(tmp_path / "kept")
     maintained.create(spark, folder)
     assert maintained.insert(log, folder) == 300 and maintained.insert(log, folder) == 0
     assert [tuple(r) for r in maintained.dfg(spark, folder).collect()] == [("A", "A", 290)]
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_values_as_of_are_the_same_in_spans_and_whole(spark, monkeypatch, most):
+    """Formerly every row was shuffled into a span and once more to meet what the spans before it had set."""
+    from objectlog.operators import history
+
+    monkeypatch.setattr(crowds, "CROWD", most)
+    rng = random.Random(9)
+    events = [(i, rng.choice([None, "a", "b"]), rng.choice([None, *range(200)])) for i in range(80)]
+    changes = [(rng.choice([None, "a", "b"]), rng.choice([None, *range(200)]), i, rng.choice([None, "x", "y", "z"])) for i in range(40)]
+    at = F.timestamp_seconds("s").alias("ts")
+    e, c = spark.createDataFrame(events, "i int, k string, s int").select("i", "k", at), spark.createDataFrame(changes, "k string, s int, o int, v string").select("k", at, "o", "v")
+    got = history.as_of(e, c, ["k"], ["v"], ["o"], 20)
+    want = []
+    for i, k, s in events:
+        before = sorted(((t is not None, t or 0, o), v) for q, t, o, v in changes if q == k and v and s is not None and (t is None or t <= s))
+        want.append((i, before[-1][1] if before else None))
+    assert Counter((r.i, r.v) for r in got.collect()) == Counter(want)
+    assert "_v0" not in plan(got)
