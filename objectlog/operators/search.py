@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..log import ObjectLog
 from ..sources.staging import staged
+from .crowds import dealt
 
 #: Fixed value: a token is a run of letters, digits and underscores of any script.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -260,12 +261,13 @@ def _hex(c: str, digits: int) -> Column:
 def _told(said: DataFrame, keys: list[str], full: int = FULL, some: int = SOME) -> DataFrame:
     """keys and content: of rows (keys, label, value) a line for each label with its values and how often they occur, all of
     them if there are at most ``full``, else their number and ``some`` of them. Labels and values in order."""
-    values = said.filter("value is not null").groupBy(*keys, "label", "value").agg(F.count("*").alias("n"))
-    sizes = values.groupBy(*keys, "label").agg(F.count("*").alias("distinct"))
-    both = values.join(sizes, [*keys, "label"])
-    # Of very many values only about ten times those wanted are sorted.
+    # Dealt by value first, so that a label of very many values is counted by many tasks.
+    values = dealt(said.filter("value is not null"), *keys, "label", "value").groupBy(*keys, "label", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys, "label").orderBy("value")
+    both = dealt(values, *keys).withColumn("distinct", F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # Of very many values only about ten times those wanted are numbered.
     both = both.filter((F.col("distinct") <= full) | (F.pmod(F.xxhash64("value"), F.col("distinct")) < 10 * some))
-    both = both.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "label").orderBy("value"))).filter((F.col("distinct") <= full) | (F.col("_place") <= some))
+    both = both.withColumn("_place", F.row_number().over(order)).filter((F.col("distinct") <= full) | (F.col("_place") <= some))
     entry = F.concat_ws(" ", "value", F.when(F.col("distinct") <= full, F.col("n").cast("string")))
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("value", entry.alias("entry")))), lambda x: x["entry"]), ", ")
     lines = both.groupBy(*keys, "label", "distinct").agg(listed.alias("listed"))
@@ -281,13 +283,16 @@ def event_chunks(log: ObjectLog, per: int = 100) -> DataFrame:
     """
     day = F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none"))
     order = Window.partitionBy("day", "lane").orderBy("ts", "eid")
-    rows = log.events.withColumn("day", day).withColumn("lane", _hex("eid", 1)).withColumn("batch", F.floor((F.row_number().over(order) - 1) / per))
+    rows = dealt(log.events.withColumn("day", day).withColumn("lane", _hex("eid", 1)), "day", "lane").withColumn("batch", F.floor((F.row_number().over(order) - 1) / per))
     keys = ["day", "lane", "batch"]
     rows = rows.select(*keys, "eid", "activity", "ts", "attrs")
-    of = lambda df, label, value: df.select(*keys, F.lit(label).alias("label"), F.col(value).alias("value"))
-    objects = rows.select(*keys, "eid").join(log.e2o.select("eid", "oid").distinct(), "eid")
-    attrs = rows.select(*keys, F.explode("attrs").alias("label", "value"))
-    told = _told(of(rows, " activities", "activity").unionByName(of(rows, " events", "eid")).unionByName(of(objects, " objects", "oid")).unionByName(attrs), keys)
+    pair = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
+    attrs = F.transform(F.map_entries("attrs"), lambda a: pair(a["key"], a["value"]))
+    own = F.array(pair(F.lit(" activities"), F.col("activity")), pair(F.lit(" events"), F.col("eid")))
+    own = rows.select(*keys, F.inline(F.concat(own, F.coalesce(attrs, F.array().cast("array<struct<label:string,value:string>>")))))
+    related = dealt(log.e2o.select("eid", "oid"), "eid", beside=(log.events,)).distinct()
+    objects = dealt(rows.select(*keys, "eid"), "eid", beside=(log.e2o,)).join(related, "eid").select(*keys, F.lit(" objects").alias("label"), F.col("oid").alias("value"))
+    told = _told(own.unionByName(objects), keys)
     span = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.concat_ws(" ", F.lit("time:"), F.min("ts").cast("string"), F.max("ts").cast("string")).alias("span"))
     return span.join(told, keys, "left").select(F.concat_ws("_", F.lit("events"), *keys).alias("id"), F.concat_ws("\n", "span", "content").alias("content"), F.lit("events").alias("chunk_type"), "n")
 

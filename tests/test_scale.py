@@ -1,5 +1,6 @@
 """Work that grows no faster than the tables: what is shuffled, how it is dealt, and the same results either way."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objectlog.log import ObjectLog
-from objectlog.operators import crowds, overlap, traces
+from objectlog.operators import crowds, overlap, search, traces
 
 
 def plan(df):
@@ -184,3 +185,43 @@ def test_values_as_of_are_the_same_in_spans_and_whole(spark, monkeypatch, most):
         want.append((i, before[-1][1] if before else None))
     assert Counter((r.i, r.v) for r in got.collect()) == Counter(want)
     assert "_v0" not in plan(got)
+
+
+def test_chunks_are_told_by_tasks_that_grow_with_their_files(spark, tmp_path, monkeypatch):
+    """Formerly each label's values were counted twice and joined, in a number of tasks that was fixed. Some events
+    have no objects, no attributes or no time."""
+    at = F.when(F.col("id") % 7 != 0, F.timestamp_seconds(F.col("id") * 10))
+    kept = lambda df, name: (df.write.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]
+    attrs = F.when(F.col("id") % 5 != 0, F.create_map(F.lit("by"), F.concat(F.lit("u"), F.col("id") % 3), F.lit("none"), F.lit(None).cast("string")))
+    events = kept(spark.range(900).select(F.concat(F.lit("e"), "id").alias("eid"), F.concat(F.lit("A"), F.col("id") % 2).alias("activity"), at.alias("ts"), attrs.alias("attrs")), "events")
+    links = spark.range(4_000).select(F.concat(F.lit("e"), F.col("id") % 600 + 1).alias("eid"), F.concat(F.lit("o"), F.col("id") % 1_500).alias("oid"), F.lit("O").alias("otype"), F.lit("q").alias("qualifier"))
+    e2o = kept(links, "e2o")
+    log = ObjectLog.of(events, e2o.select("oid", "otype").distinct(), e2o)
+    told = lambda: {r.id: (r.content, r.n) for r in search.event_chunks(log, 10).collect()}
+    once = told()
+    monkeypatch.setattr(crowds, "SHARE", 1_000)
+    assert told() == once
+    assert plan(search._told(events.select(F.lit(1).alias("k"), F.lit("l").alias("label"), F.col("eid").alias("value")), ["k"])).count("REPARTITION_BY_NUM") == 2
+
+    found = events.withColumn("day", F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("none"))).collect()
+    objects = {}
+    for r in e2o.collect():
+        objects.setdefault(r.eid, set()).add(r.oid)
+    lanes = {}
+    for r in found:
+        lanes.setdefault((r.day, int(hashlib.md5(r.eid.encode()).hexdigest()[0], 16)), []).append(r)
+    want = {}
+    for (day, lane), mine in lanes.items():
+        mine.sort(key=lambda r: (str(r.ts), r.eid))
+        for k in range(0, len(mine), 10):
+            batch = mine[k : k + 10]
+            said = [(" activities", r.activity) for r in batch] + [(" events", r.eid) for r in batch] + [(" objects", o) for r in batch for o in objects.get(r.eid, ())]
+            said += [x for r in batch for x in (r.attrs or {}).items() if x[1] is not None]
+            want[f"events_{day}_{lane}_{k // 10}"] = (len(batch), Counter(said))
+    assert set(once) == set(want)
+    for key, (n, said) in want.items():
+        lines = dict(x.split(": ", 1) for x in once[key][0].split("\n")[1:])
+        assert once[key][1] == n and set(lines) == {label.strip() for label, _ in said}
+        for label in {label for label, _ in said}:
+            values = {v: c for (name, v), c in said.items() if name == label}
+            assert lines[label.strip()] == ", ".join(f"{v} {c}" for v, c in sorted(values.items()))
