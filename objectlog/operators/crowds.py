@@ -15,17 +15,19 @@ SLOTS, CROWD = 1 << 16, 200_000
 
 #: Bytes of source files for each task that `dealt` deals rows over; sizes from this one on are unknown.
 SHARE, UNKNOWN = 2_000_000, 1 << 50
+#: The same for rows of a key or two that are only counted or looked up. Up to 200 tasks Spark writes rows for them unsorted.
+LIGHT = 32_000_000
 
 
-def tasks(*of: DataFrame) -> int:
-    """Over how many tasks rows of these are to be dealt: one for each `SHARE` bytes of the files they are read from. 0 if Spark
-    may choose, for small ones and those that don't come from files."""
+def tasks(*of: DataFrame, share: int | None = None) -> int:
+    """Over how many tasks rows of these are to be dealt: one for each ``share`` bytes (`SHARE`) of the files they are read from. 0
+    if Spark may choose, for small ones and those that don't come from files."""
     size = 0
     for df in of:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
         size += sum(x for x in sizes if x < UNKNOWN)
-    n = -(-size // SHARE)
+    n = -(-size // (share or SHARE))
     return max(n, of[0].sparkSession.sparkContext.defaultParallelism) if n > 1 else 0
 
 
@@ -58,3 +60,30 @@ def met(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", most: i
     often = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > (CROWD if most is None else most)).select(key)
     many = rows.join(F.broadcast(known.join(F.broadcast(often), key, "left_semi")), key, how)
     return rows.join(F.broadcast(often), key, "left_anti").join(known, key, how).unionByName(many)
+
+
+def counted(rows: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """key, n: how many of ``rows`` have each key. They are dealt; only those of crowded slots are counted before they move, as
+    a map of keys that are nearly all different would grow with what a task reads."""
+    rows = rows.select(key)
+    count = lambda df: df.groupBy(key).agg(F.count("*").alias("n"))
+    n = tasks(rows, share=LIGHT)
+    if not n:
+        return count(rows)
+    few, many = parted(rows, [key], crowded(rows, [key], most))
+    return count(few.repartition(n, key)).unionByName(count(many))
+
+
+def lacking(rows: DataFrame, known: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """The ``rows`` whose key is null or not in ``known``. Both are dealt; rows of crowded slots are left to Spark's join,
+    which splits partitions that are much larger than others."""
+    known = known.select(key).filter(F.col(key).isNotNull())
+    n = tasks(rows, known, share=LIGHT)
+    if not n:
+        return rows.join(known, key, "left_anti")
+    crowd = crowded(rows, [key], most)
+    few, many = parted(rows, [key], crowd)
+    # An anti join would be moved below the dealing, to tasks of Spark's own number.
+    once = known.repartition(n, key).distinct().withColumn("_known", F.lit(True))
+    few = few.repartition(n, key).join(once, key, "left").filter("_known is null").drop("_known")
+    return few.unionByName(many.join(parted(known, [key], crowd)[1], key, "left_anti"))

@@ -225,3 +225,19 @@ def test_chunks_are_told_by_tasks_that_grow_with_their_files(spark, tmp_path, mo
         for label in {label for label, _ in said}:
             values = {v: c for (name, v), c in said.items() if name == label}
             assert lines[label.strip()] == ", ".join(f"{v} {c}" for v, c in sorted(values.items()))
+
+
+@pytest.mark.parametrize("most", [1, 60, 10_000])
+def test_keys_are_counted_and_looked_up_by_tasks_that_grow_with_their_files(spark, tmp_path, monkeypatch, most):
+    """Formerly in a number of tasks that was fixed; null, repeated and crowded keys on both sides."""
+    kept = lambda df, name: (df.write.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]
+    key = lambda c: F.when(c % 13 != 0, F.concat(F.lit("k"), F.when(c % 5 == 0, 0).otherwise(c % 90)))
+    rows = kept(spark.range(900).select(key(F.col("id")).alias("k"), F.col("id").alias("v")), "rows")
+    known = kept(spark.range(300).filter("id % 3 = 0").select(key(F.col("id")).alias("k")), "known")
+    monkeypatch.setattr(crowds, "LIGHT", 1_000)
+    have = {r.k for r in known.collect()} - {None}
+    lack = crowds.lacking(rows, known, "k", most)
+    assert plan(lack).count(f"{crowds.tasks(rows, known, share=1_000)}), REPARTITION_BY_NUM") == 2
+    assert Counter((r.k, r.v) for r in lack.collect()) == Counter((r.k, r.v) for r in rows.collect() if r.k not in have)
+    assert {r.k: r.n for r in crowds.counted(rows, "k", most).collect()} == Counter(r.k for r in rows.collect())
+    assert crowds.tasks(rows, share=1 << 40) == 0 and "REPARTITION_BY_NUM" in plan(crowds.counted(rows, "k"))
