@@ -13,7 +13,8 @@ from . import schema
 @dataclass(frozen=True)
 class ObjectLog:
     """events(eid, activity, ts, attrs), objects(oid, otype), e2o(eid, oid, otype, qualifier), o2o(src_oid, tgt_oid,
-    qualifier), changes(oid, otype, ts, changed_field, attrs), and the declared event_types and object_types."""
+    qualifier), changes(oid, otype, ts, changed_field, attrs), and the declared event_types and object_types. Where a source has
+    events and their relations in one row, ``beside`` holds these rows with the events and e2o that say the same."""
 
     events: DataFrame
     objects: DataFrame
@@ -22,6 +23,7 @@ class ObjectLog:
     changes: DataFrame
     event_types: DataFrame
     object_types: DataFrame
+    beside: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     @staticmethod
     def of(events: DataFrame, objects: DataFrame, e2o: DataFrame, o2o: DataFrame | None = None, changes: DataFrame | None = None, event_types: DataFrame | None = None, object_types: DataFrame | None = None) -> ObjectLog:
@@ -41,6 +43,16 @@ class ObjectLog:
             object_types if object_types is not None else used(objects, "otype"),
         )
 
+    def with_rows(self, rows: DataFrame) -> ObjectLog:
+        """The log with rows (eid, activity, ts, attrs, rels: an array of oid, otype, qualifier) that hold its events beside their
+        relations."""
+        return replace(self, beside=(self.events, self.e2o, rows.select(*schema.EVENTS.names, "rels")))
+
+    @property
+    def rows(self) -> DataFrame | None:
+        """The rows of `with_rows`, so that nothing need be joined; None once events or relations are others."""
+        return self.beside[2] if self.beside and self.beside[0] is self.events and self.beside[1] is self.e2o else None
+
     @property
     def spark(self) -> SparkSession:
         return self.events.sparkSession

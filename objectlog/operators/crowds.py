@@ -74,6 +74,14 @@ def counted(rows: DataFrame, key: str, most: int | None = None) -> DataFrame:
     return count(few.repartition(n, key)).unionByName(count(many))
 
 
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """_hash: hashes of the keys that more than one of ``rows`` has. Only the 8 bytes of a hash are shuffled; keys that share one
+    with another key are in it too, so what is done with repeated keys must be right for others as well."""
+    hashes = rows.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_hash"))
+    n = tasks(rows, share=LIGHT)
+    return (hashes.repartition(n, "_hash") if n else hashes).groupBy("_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_hash")
+
+
 def lacking(rows: DataFrame, known: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """The ``rows`` whose key is null or not in ``known``. Both are dealt; rows of crowded slots are left to Spark's join,
     which splits partitions that are much larger than others."""

@@ -511,8 +511,8 @@ def mapped_nodes(spark, d):
     milestone = issues.limit(1).selectExpr("'r' as repo", "'milestone' as kind", """'{"id": "0", "number": 1}' as node""")
     log = mappers.assemble(issues.unionByName(milestone))
     four = lambda df, part, a, b, c: df.select(F.lit(part).alias("part"), F.col(a).alias("a"), F.col(b).alias("b"), (F.col(c) if c else F.lit("")).alias("c"))
-    subject = log.e2o.filter("qualifier = 'subject'").select("eid", "oid")
-    happened = log.events.filter("activity = 'IssueOpened'").join(subject, "eid").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    opened = log.rows.filter("activity = 'IssueOpened'").select("activity", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.explode("rels").alias("r"))
+    happened = opened.filter("r.qualifier = 'subject'").select("activity", "ts", "r.oid")
     titles = log.changes.filter("otype = 'Issue'").select("oid", F.col("attrs")["title"].alias("title"))
     return four(log.objects, "object", "oid", "otype", None).unionByName(four(happened, "event", "activity", "ts", "oid")).unionByName(four(log.o2o, "o2o", "src_oid", "tgt_oid", "qualifier")).unionByName(four(titles, "title", "oid", "title", None))
 

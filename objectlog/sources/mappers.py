@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..log import ObjectLog
-from ..operators.crowds import met
+from ..operators.crowds import met, repeated
 from ..schema import EPOCH
 from .staging import staged
 
@@ -456,34 +456,67 @@ def assemble(nodes: DataFrame, files: int | None = None) -> ObjectLog:
     """The log of all nodes (repo, kind, node, and optionally seq, the order of ingest); unknown kinds are left out. Repeated
     nodes count once, and of several that describe one object the first write wins, attribute by attribute: that of the
     least seq, and of those the first in the order of its text. ``files`` bounds how many files of a commit are linked
-    (None: all). Nodes, facts and objects are written once to the shared folder, since all five tables read them."""
+    (None: all). Nodes, facts, objects and what must be settled are written once to the shared folder, since all five tables
+    read them."""
     nodes = staged(nested(nodes), "nodes")
     facts = None
     for name in KINDS:
         one = _facts(nodes, name, files)
         facts = one if facts is None else facts.unionByName(one)
     facts = staged(facts, "facts")  # read by each of the tables below
-    described = facts.filter("owns").select("oid", "otype").distinct()
-    linked = facts.select(F.col("oid").alias("src"), F.col("otype").alias("src_type"), F.explode("links").alias("r")).select("src", "src_type", "r.*")
+    every = staged(_objects(facts), "objects")
+    objects = every.filter("there").select("oid", "otype")
+    # What several facts say of an object is settled by joins. A fact that alone describes its object needs none, nor does an
+    # event with its own id whose links bring their objects into being. Both stay where they are.
+    shared, mixed = (staged(every.filter(c).select("oid"), n) for c, n in (("facts > 1 or mixed", "shared"), ("mixed", "mixed")))
+    alone = facts.filter("owns").join(shared, "oid", "left_anti")
+    rest = facts.filter("not owns").unionByName(facts.filter("owns").join(shared, "oid", "left_semi"))
     happened = facts.select(F.explode("events").alias("e")).select("e.*").withColumn("rels", F.array_sort("rels"))
     key = F.transform("rels", lambda r: F.concat_ws(":", r["oid"], r["qualifier"]))
-    happened = happened.withColumn("eid", F.sha2(F.concat_ws("|", "activity", "time", F.array_join(key, ","), F.coalesce(F.to_json("attrs"), F.lit(""))), 256)).dropDuplicates(["eid"])
-    involved = happened.select("eid", F.explode("rels").alias("r")).select("eid", "r.*")
-    stubs = linked.filter("stub").select("oid", "otype").unionByName(involved.filter("stub").select("oid", "otype")).distinct()
-    objects = described.unionByName(stubs.join(described.select("oid"), "oid", "left_anti")).dropDuplicates(["oid"])
-    objects = staged(objects, "objects")
-    names = objects.select("oid")
+    happened = happened.withColumn("eid", F.sha2(F.concat_ws("|", "activity", "time", F.array_join(key, ","), F.coalesce(F.to_json("attrs"), F.lit(""))), 256)).withColumn("_hash", F.xxhash64("eid"))
+    odd = happened.select("_hash", F.explode("rels.oid").alias("oid")).join(mixed, "oid", "left_semi").select("_hash")
+    odd = staged(repeated(happened, "eid").unionByName(odd).distinct(), "odd")
+    plain = ~F.exists("rels", lambda r: ~r["stub"]) & (F.size("rels") > 0) & (F.size(F.array_distinct(_named("rels"))) == F.size("rels"))
+    others = happened.filter(~plain).unionByName(happened.filter(plain).join(odd, "_hash", "left_semi")).drop("_hash")
+    involved = others.select("eid", "activity", "time", "attrs", F.explode("rels").alias("r")).select("eid", "activity", "time", "attrs", "r.*").drop("otype")
+    linked = rest.select(F.col("oid").alias("src"), F.explode("links").alias("r")).select("src", "r.oid", "r.qualifier")
+    stubs, asked = (_named(F.filter("links", c)) for c in (lambda r: r["stub"], lambda r: ~r["stub"]))
+    asked = alone.select(F.col("oid").alias("src"), F.explode(F.array_except(asked, stubs)).alias("r")).select("src", "r.*")
+    sought = involved.select("oid").unionByName(linked.select("oid")).unionByName(asked.select("oid")).unionByName(rest.select("oid")).distinct()
+    known = staged(objects.join(staged(sought, "sought"), "oid", "left_semi"), "known")
+    names = known.select("oid")
     # Most nodes name the repository, and many one milestone or branch.
-    e2o = met(involved, objects.withColumnRenamed("otype", "known"), "oid").select("eid", "oid", F.col("known").alias("otype"), "qualifier").distinct()
-    sources = names.withColumnRenamed("oid", "src")
-    o2o = met(linked, names, "oid", "left_semi").join(sources, "src", "left_semi").select(F.col("src").alias("src_oid"), F.col("oid").alias("tgt_oid"), "qualifier").distinct()
-    o2o = o2o.unionByName(retries(facts, objects))
-    events = happened.join(e2o.select("eid"), "eid", "left_semi").select("eid", "activity", F.try_to_timestamp("time").alias("ts"), "attrs")
-    said = facts.filter("attrs is not null").join(names, "oid", "left_semi").select("oid", "seq", F.explode("attrs").alias("name", "value"))
+    settled = met(involved, known, "oid").groupBy("eid").agg(F.first("activity").alias("activity"), F.first("time").alias("time"), F.first("attrs").alias("attrs"), F.collect_set(F.struct("oid", "otype", "qualifier")).alias("rels"))
+    rows = happened.filter(plain).join(odd, "_hash", "left_anti").withColumn("rels", F.transform("rels", lambda r: F.struct(r["oid"], r["otype"], r["qualifier"])))
+    rows = rows.select(*settled.columns).unionByName(settled).select("eid", "activity", F.try_to_timestamp("time").alias("ts"), "attrs", "rels")
+    e2o = rows.select("eid", F.explode("rels").alias("r")).select("eid", "r.*")
+    o2o = met(linked, names, "oid", "left_semi").join(names.withColumnRenamed("oid", "src"), "src", "left_semi").select("src", "oid", "qualifier").distinct()
+    o2o = o2o.unionByName(alone.select(F.col("oid").alias("src"), F.explode(F.array_distinct(stubs)).alias("r")).select("src", "r.*")).unionByName(met(asked, names, "oid", "left_semi").select("src", "oid", "qualifier"))
+    o2o = o2o.withColumnsRenamed({"src": "src_oid", "oid": "tgt_oid"}).unionByName(retries(facts, objects))
+    said = rest.filter("attrs is not null").join(names, "oid", "left_semi").select("oid", "seq", F.explode("attrs").alias("name", "value"))
     first = said.groupBy("oid", "name").agg(F.min_by("value", F.struct("seq", "value")).alias("value")).groupBy("oid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("attrs"))
-    static = first.join(objects, "oid").select("oid", "otype", F.to_timestamp(F.lit(EPOCH)).alias("ts"), F.lit(None).cast("string").alias("changed_field"), "attrs")
+    first = first.join(known, "oid").select("oid", "otype", "attrs").unionByName(alone.filter(F.size("attrs") > 0).select("oid", "otype", F.map_from_entries(F.array_sort(F.map_entries("attrs"))).alias("attrs")))
+    static = first.select("oid", "otype", F.to_timestamp(F.lit(EPOCH)).alias("ts"), F.lit(None).cast("string").alias("changed_field"), "attrs")
     partial = facts.filter("later is not null").select("oid", "otype", F.try_to_timestamp("later.time").alias("ts"), F.col("later.changed_field").alias("changed_field"), F.col("later.attrs").alias("attrs"))
-    return ObjectLog.of(events, objects.select("oid", "otype"), e2o, o2o, static.unionByName(partial.dropDuplicates(["oid", "ts", "changed_field"])))
+    return ObjectLog.of(rows.select("eid", "activity", "ts", "attrs"), objects, e2o, o2o, static.unionByName(partial.dropDuplicates(["oid", "ts", "changed_field"]))).with_rows(rows)
+
+
+def _named(links: Column | str) -> Column:
+    return F.transform(links, lambda r: F.struct(r["oid"], r["qualifier"]))
+
+
+def _objects(facts: DataFrame) -> DataFrame:
+    """oid, otype, there, mixed, facts: of each id that a fact or a link names its type (that of a node goes before that of a
+    link, and of several the least one), whether it is an object, whether it is said to be of several types, and its facts."""
+    none = F.array().cast(f"array<{_REL}>")
+    links = F.concat(F.coalesce("links", none), F.coalesce(F.flatten("events.rels"), none))
+    # Links of a node to itself say no more than the node.
+    stubs = F.filter(links, lambda r: r["stub"] & ~(F.col("owns") & r["oid"].eqNullSafe(F.col("oid")) & r["otype"].eqNullSafe(F.col("otype"))))
+    said = facts.select("oid", F.when(F.col("owns"), F.col("otype")).alias("otype"), F.col("owns").alias("there"), F.col("owns").alias("node"), F.lit(1).alias("one"))
+    said = said.unionByName(facts.select(F.explode(stubs).alias("r")).select("r.oid", "r.otype", F.lit(True).alias("there"), F.lit(False).alias("node"), F.lit(0).alias("one")))
+    types = F.when(F.col("there"), F.coalesce("otype", F.lit("")))
+    found = said.groupBy("oid").agg(F.min(F.when(F.col("there"), F.struct(~F.col("node"), "otype"))).alias("type"), F.max("there").alias("there"), (F.min(types) != F.max(types)).alias("mixed"), F.sum("one").alias("facts"))
+    return found.select("oid", "type.otype", "there", F.coalesce("mixed", F.lit(False)).alias("mixed"), "facts")
 
 
 def retries(facts: DataFrame, objects: DataFrame) -> DataFrame:

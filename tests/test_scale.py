@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from objectlog.log import ObjectLog
 from objectlog.operators import crowds, overlap, search, traces
+from objectlog.sources import mappers
 
 
 def plan(df):
@@ -241,3 +242,33 @@ def test_keys_are_counted_and_looked_up_by_tasks_that_grow_with_their_files(spar
     assert Counter((r.k, r.v) for r in lack.collect()) == Counter((r.k, r.v) for r in rows.collect() if r.k not in have)
     assert {r.k: r.n for r in crowds.counted(rows, "k", most).collect()} == Counter(r.k for r in rows.collect())
     assert crowds.tasks(rows, share=1 << 40) == 0 and "REPARTITION_BY_NUM" in plan(crowds.counted(rows, "k"))
+
+
+def test_nodes_that_alone_describe_their_objects_are_not_joined(spark, monkeypatch):
+    """Formerly every link and event met all objects, and each attribute of each node was shuffled. Some issues are there twice,
+    some share an event, a type is said in two ways, milestones, commits and issues are missing."""
+    import json
+
+    day = "2024-01-0{}T00:00:00Z".format
+    issues = [("issue", {"number": i, "title": f"t{i}", "createdAt": day(1 + i % 3), "author": {"login": f"u{i % 4}"}, "milestone": {"id": str(i % 3)}}) for i in range(24)]
+    more = [("milestone", {"id": "0", "number": 1, "createdAt": day(1)}), ("issue", {"number": 3, "title": "again", "state": "CLOSED", "author": {"login": "u9"}, "createdAt": day(1)})] + issues[5:7]
+    more += [("issue_comment", {"id": f"C{i}", "__issue_number": i, "createdAt": day(4)}) for i in (1, 40)] + [("pr_comment", {"id": "C1", "__pr_number": 1, "createdAt": day(4)})]
+    more += [("commit", {"oid": "abc", "message": "fix: #4 #99", "committedDate": day(2), "author": {"name": "u1"}}), ("commit_files", {"sha": "abc", "files": [{"path": "a"}, {"path": "a"}]}), ("commit_files", {"sha": "lost", "files": [{"path": "b"}]})]
+    more += [("release", {"databaseId": 5, "tagName": "v1", "createdAt": day(2)})] + [("review_thread", {"id": "TH", "__pr_number": n, "isResolved": True, "resolvedAt": day(3)}) for n in (1, 50)]
+
+    def told(rows):
+        asked = []
+        monkeypatch.setattr(mappers, "met", lambda df, *a, **k: asked.append(df.count()) or crowds.met(df, *a, **k))
+        log = mappers.assemble(spark.createDataFrame([("r", k, json.dumps(n), i) for i, (k, n) in enumerate(rows)], "repo string, kind string, node string, seq long"))
+        tables = {n: getattr(log, n) for n in ("events", "objects", "e2o", "o2o", "changes")}
+        return asked, {n: Counter(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect()) for n, df in tables.items()}
+
+    monkeypatch.setattr(mappers, "KINDS", {k: mappers.KINDS[k] for k in {k for k, _ in issues + more}})
+    met, got = told(issues + more)
+    assert met[-1] == 24 - 3 + 1  # of the issues and the release that alone describe their objects, only links to what must exist
+    objects = mappers._objects
+    monkeypatch.setattr(mappers, "_objects", lambda facts: objects(facts).withColumn("facts", F.lit(2)))
+    monkeypatch.setattr(mappers, "repeated", lambda df, key: df.select(F.xxhash64(key).alias("_hash")))
+    every, want = told(issues + more)
+    assert sum(every) > sum(met) and got == want
+    assert all(x == 1 for t in ("events", "objects", "e2o", "o2o") for x in got[t].values())
