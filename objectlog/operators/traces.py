@@ -6,12 +6,14 @@ events therefore run within spans of time, and the few rows at the spans' edges
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import ObjectLog
 from ..sources.staging import staged
-from .crowds import crowded, dealt, parted
+from .crowds import crowded, dealt, parted, repeated
 
 #: Seconds in a span.
 SPAN = 30 * 86_400
@@ -34,12 +36,31 @@ def relations(log: ObjectLog, object_type: str | None = None) -> DataFrame:
 
 def trace(log: ObjectLog, object_type: str | None = None, extra: dict[str, Column] | None = None, alone: bool = False) -> DataFrame:
     """otype, oid, eid, activity, ts (and extra columns of events): an event once for each of its objects. Events without
-    a time come first. With ``alone`` whether no other row has the event and the type."""
-    events = log.events.select("eid", "activity", "ts", *[c.alias(n) for n, c in (extra or {}).items()])
+    a time come first. With ``alone`` whether no other row has the event and the type. Where the log has events beside their
+    relations, only ids that are there more than once are joined."""
+    columns = ["eid", "activity", "ts", *[c.alias(n) for n, c in (extra or {}).items()]]
+    if log.rows is None:
+        return _joined(log.events.select(*columns), relations(log, object_type), alone)
+    rows = log.rows.select(*columns, F.col("rels") if object_type is None else F.filter("rels", lambda r: r["otype"] == object_type).alias("rels"))
+    rows = rows.filter("eid is not null").withColumn("_hash", F.xxhash64("eid"))
+    again = staged(repeated(log.rows, "eid"), "repeated")
+    # Rows of an id that others have too are joined; the objects of all others are beside them.
+    joined = rows.join(again, "_hash", "left_semi").drop("_hash")
+    said = joined.select("eid", F.explode("rels").alias("r")).select("eid", "r.*")
+    joined = _joined(joined.drop("rels"), relations(replace(log, e2o=said)), alone)
+    its = F.array_distinct(F.transform("rels", lambda r: F.struct(r["otype"], r["oid"])))
+    same = lambda r: F.size(F.filter(its, lambda q: q["otype"].eqNullSafe(r["otype"]))) == 1
+    told = F.transform(its, lambda r: F.struct(r["otype"], r["oid"], same(r).alias("alone")))
+    apart = F.transform("rels", lambda r: F.struct(r["otype"], r["oid"], F.lit(True).alias("alone")))
+    rows = rows.join(again, "_hash", "left_anti").withColumn("r", F.explode(F.when(F.size(F.array_distinct("rels.otype")) == F.size("rels"), apart).otherwise(told)))
+    return rows.select(*[f"r.{c}" if c in (*_KEY, "alone") else c for c in joined.columns]).unionByName(joined)
+
+
+def _joined(events: DataFrame, rel: DataFrame, alone: bool) -> DataFrame:
     if not alone:
-        return relations(log, object_type).drop("only").join(events, "eid")
+        return rel.drop("only").join(events, "eid")
     events = events.withColumn("once", F.count("*").over(Window.partitionBy("eid")) == 1)
-    return relations(log, object_type).join(events, "eid").withColumn("alone", F.col("only") & F.col("once")).drop("only", "once")
+    return rel.join(events, "eid").withColumn("alone", F.col("only") & F.col("once")).drop("only", "once")
 
 
 def _spans(rows: DataFrame, span: int) -> DataFrame:
@@ -84,12 +105,25 @@ def positions(log: ObjectLog, object_type: str | None = None, span: int = SPAN)
 def _pair_counts(log: ObjectLog, object_type: str | None, by: list[str]) -> DataFrame:
     """by.., frequency: distinct pairs of events of each object type. Two objects can only have the same pair if they share both
     events, so all other pairs are counted where they are."""
-    found = paired(trace(log, object_type, alone=True), ["alone"], crowd=crowded(_of_type(log, object_type), list(_KEY)))
+    rows = trace(log, object_type, alone=True)
+    single = _single(rows) if log.rows is not None else []
+    found = paired(rows.filter(F.col("otype").isNull() | ~F.col("otype").isin(single)) if single else rows, ["alone"], crowd=crowded(_of_type(log, object_type), list(_KEY)))
     shared = ~(F.col("alone1") | F.col("alone2"))
     n = found.groupBy("otype", "src", "tgt", F.when(shared, F.struct("e1", "e2")).alias("pair")).agg(F.count("*").alias("n"))
+    if single:
+        # Whatever their order, each event but the last is followed by one of the same activity.
+        objects = rows.filter(F.col("otype").isin(single)).groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("activity").alias("src"))
+        edges = objects.filter("n > 1").groupBy("otype", "src").agg(F.sum(F.col("n") - 1).alias("n"))
+        n = n.unionByName(edges.withColumn("tgt", F.col("src")), allowMissingColumns=True)
     return n.groupBy(*by).agg(F.sum(F.when(F.col("pair").isNull(), F.col("n")).otherwise(F.lit(1))).alias("frequency"))
 
 
+def _single(rows: DataFrame) -> list[str]:
+    """The object types whose events all have one activity and no other object of the type."""
+    one = (F.count("activity") == F.count("*")) & (F.min("activity") == F.max("activity")) & F.every("alone")
+    return [r.otype for r in rows.filter("otype is not null").groupBy("otype").agg(one.alias("one")).filter("one").collect()]
+
+
 def dfg(log: ObjectLog, object_type: str | None = None) -> DataFrame:
     """src, tgt, frequency: distinct pairs of events for each object type, summed over types."""
     return _pair_counts(log, object_type, ["src", "tgt"])

@@ -42,8 +42,10 @@ def commerce_log(spark: SparkSession, sf_dir: str) -> ObjectLog:
     for name, key, letter, otype in (("customer", "c_custkey", "c", "Customer"), ("part", "p_partkey", "p", "Part"), ("supplier", "s_suppkey", "s", "Supplier")):
         objects = objects.unionByName(table(spark, sf_dir, name).select(F.concat(F.lit(letter), key).alias("oid"), F.lit(otype).alias("otype")))
     events = placed.select("eid", "activity", "ts").unionByName(shipped.select("eid", "activity", "ts"))
+    beside = lambda df, **types: df.select("eid", "activity", "ts", F.lit(None).cast("map<string,string>").alias("attrs"), F.array(*[F.struct(F.col(c).alias("oid"), F.lit(t).alias("otype"), F.lit(c).alias("qualifier")) for c, t in types.items()]).alias("rels"))
+    rows = beside(placed, order="Order", customer="Customer").unionByName(beside(shipped, order="Order", part="Part", supplier="Supplier"))
     o2o = placed.select(F.col("order").alias("src_oid"), F.col("customer").alias("tgt_oid"), F.lit("placed_by").alias("qualifier"))
-    return ObjectLog.of(events, objects, e2o, o2o)
+    return ObjectLog.of(events, objects, e2o, o2o).with_rows(rows)
 
 
 def shipment_log(spark: SparkSession, sf_dir: str) -> ObjectLog:
